@@ -24,3 +24,32 @@ def uniforms(n: int, seed: int, *ids: str | Column) -> list[Column]:
         / float(16**HEX_DIGITS)
         for i in range(n)
     ]
+
+
+def hash_order(df, by: list[str], name: str, seed: int, ids: list[str], *, small: bool = False):
+    """Zero-based position of each row of a group in the order of a digest of its ids:
+    a random permutation, or a dense index to draw from.
+
+    The leading digits of a digest are evenly spread and keep its order, so they cut
+    any group into 256 buckets that are numbered by themselves; `small=True` (groups
+    with a known bound) numbers each group in one window.
+    """
+    from pyspark.sql import Window
+
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(i).cast("string") for i in ids]))
+    df = df.withColumn("_digest", digest)
+    if small:
+        pos = F.row_number().over(Window.partitionBy(*by).orderBy("_digest")) - 1
+        return df.withColumn(name, pos.cast("bigint")).drop("_digest")
+    df = df.withColumn("_bucket", F.substring("_digest", 1, 2))
+    lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*by, "_bucket").agg(F.count("*").alias("_c")).select(
+        *by, "_bucket", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_below")
+    )
+    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_digest")) - 1
+    return (
+        df.withColumn("_in", inside)
+        .join(sizes, [*by, "_bucket"])
+        .withColumn(name, (F.col("_below") + F.col("_in")).cast("bigint"))
+        .drop("_digest", "_bucket", "_below", "_in")
+    )

@@ -45,3 +45,21 @@ def industries(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").groupBy(F.col("p_brand").alias("asset")).agg(
         F.min_by("p_type", "p_partkey").alias("industry")
     )
+
+
+def hourly_ticks(spark: SparkSession, folder: str) -> Panel:
+    """Hourly bars per event type from the event stream."""
+    at = F.struct("ts", "event_id")
+    bars = (
+        table(spark, folder, "events")
+        .groupBy(F.col("event_type").alias("asset"), F.date_trunc("hour", "ts").alias("hour"))
+        .agg(
+            F.min_by("value", at).alias("open"),
+            F.max("value").alias("high"),
+            F.min("value").alias("low"),
+            F.max_by("value", at).alias("close"),
+            F.count("*").alias("volume"),
+        )
+        .withColumnRenamed("hour", "ts")
+    )
+    return Panel(bars, keys=("asset",), ts="ts", grain="hour")
