@@ -1,5 +1,5 @@
 """All registered queries."""
-from . import backtests, features, validation  # noqa: F401
+from . import backtests, chance, features, running, tables, validation  # noqa: F401
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]

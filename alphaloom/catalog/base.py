@@ -59,7 +59,7 @@ def query(name: str, *, keys: str = "", ints: str = "", bools: str = "", nums: s
         text = None
         if sql is not None:
             cols = (
-                k
+                [f"{c} AS {c}" for c in k]
                 + [f"CAST({c} AS BIGINT) AS {c}" for c in i]
                 + [f"CAST({c} AS BOOLEAN) AS {c}" for c in b]
                 + [sig_sql(c) for c in n]

@@ -138,3 +138,17 @@ def group_quantiles(
         outs.append((lo + (hi - lo) * frac).alias(name))
     out = pos.groupBy(*by).agg(*outs)
     return out if keys else out.drop("_all")
+
+
+def group_values_at(
+    df: DataFrame, keys: list[str], value: str | Column, at: dict, buckets: int = BUCKETS
+) -> DataFrame:
+    """Sorted values at positions per group: `{name: function of the count column}`."""
+    pos = _positions(df, list(keys), col(value), buckets)
+    outs = [
+        F.max(
+            F.when((F.col("_lt") <= k(F.col("_n"))) & (k(F.col("_n")) < F.col("_lt") + F.col("_eq")), F.col("_v"))
+        ).alias(name)
+        for name, k in at.items()
+    ]
+    return pos.groupBy(*keys).agg(*outs)

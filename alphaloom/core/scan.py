@@ -6,13 +6,16 @@ one row per segment; the big side stays where its window put it.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .expr import col
 from .panel import Frame
 
-_AGG = {"sum": F.sum, "count": F.count, "product": F.product, "max": F.max, "min": F.min}
+_AGG = {
+    "sum": F.sum, "count": F.count, "product": F.product, "max": F.max, "min": F.min,
+    "last": lambda c: F.last(c, ignorenulls=True),
+}
 
 
 def _combine(kind: str, earlier: Column, local: Column) -> Column:
@@ -20,6 +23,8 @@ def _combine(kind: str, earlier: Column, local: Column) -> Column:
         both = earlier + local
     elif kind == "product":
         both = earlier * local
+    elif kind == "last":
+        return F.coalesce(local, earlier)
     else:
         return F.greatest(earlier, local) if kind == "max" else F.least(earlier, local)
     return F.coalesce(both, local, earlier)
@@ -34,8 +39,13 @@ def cumulative(frame: Frame, outs: dict[str, tuple[str, str | Column]]) -> Frame
 
     df = frame.df.filter("_core")
     keys = [k for k in frame.part if k != "_seg"]
+    def total(kind: str, c) -> Column:
+        if kind == "last":
+            return F.max_by(col(c), F.when(col(c).isNotNull(), F.col(frame.ts)))
+        return _AGG[kind](col(c))
+
     totals = df.groupBy(*frame.part).agg(
-        *[_AGG[k](col(c)).alias(f"_t_{n}") for n, (k, c) in outs.items()]
+        *[total(k, c).alias(f"_t_{n}") for n, (k, c) in outs.items()]
     )
     earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(
         Window.unboundedPreceding, -1
@@ -62,7 +72,3 @@ def numbered(frame: Frame, name: str = "rn") -> Frame:
     """Zero-based row number along time per key, BIGINT."""
     out = cumulative(frame, {name: ("count", F.lit(1))})
     return out.with_df(out.df.withColumn(name, (F.col(name) - 1).cast("bigint")))
-
-
-def collected(frame: Frame) -> DataFrame:
-    return frame.core()
