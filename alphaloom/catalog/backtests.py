@@ -83,12 +83,12 @@ def _(spark, sf):
 SELECT strategy_id, ts, lagged, turnover, gross, net,
   CASE WHEN net IS NOT NULL THEN product(1 + net) OVER (PARTITION BY strategy_id ORDER BY ts) END AS equity FROM strat""")
 def _(spark, sf):
-    return bt.equity_curve(st.strategy_returns(spark, sf))
+    return bt.equity_curve(st.strategy_returns(st.signal_rows(spark, sf)))
 
 
 @query("bt_metrics", keys="strategy_id", nums=METRICS, sql=BASE + metrics_sql("strat", "strategy_id"))
 def _(spark, sf):
-    return bt.performance(st.strategy_returns(spark, sf), turnover="turnover", annualization=st.WEEKS)
+    return bt.performance(st.strategy_returns(st.signal_rows(spark, sf)), turnover="turnover", annualization=st.WEEKS)
 
 
 @query("bt_portfolio", keys="strategy_id", nums=METRICS + " n_assets mean_gross_exposure mean_net_exposure",
@@ -129,7 +129,7 @@ SELECT strategy_id, total_return_gap, max_bar_gap_bps, CASE WHEN abs(total_retur
 FROM (SELECT strategy_id, product(1 + coalesce(net, 0)) - product(1 + coalesce(gross, 0)) AS total_return_gap,
   max(abs(coalesce(net, 0) - coalesce(gross, 0))) * 1e4 AS max_bar_gap_bps FROM strat GROUP BY 1)""")
 def _(spark, sf):
-    rows = st.strategy_returns(spark, sf).df.fillna(0.0, ["net", "gross"])
+    rows = st.strategy_returns(st.signal_rows(spark, sf)).df.fillna(0.0, ["net", "gross"])
     free = rows.select("strategy_id", "ts", F.col("gross").alias("net"))
     return bt.reconcile(rows, free, by=["strategy_id"])
 
@@ -138,4 +138,4 @@ def _(spark, sf):
        sql=with_(BARS, RETS, SIGNALS, STRAT, BASKETS, book_sql("basket_pos")) + """
 SELECT strategy_id, ts, net FROM strat UNION ALL SELECT strategy_id, ts, net FROM book""")
 def _(spark, sf):
-    return st.trial_matrix(spark, sf).df
+    return st.trial_matrix(st.signal_rows(spark, sf)).df

@@ -23,7 +23,7 @@ TRIALS, SEED = 100, 7
 SELECT strategy_id, ts, CASE WHEN abs(lag(position) OVER w) > 1e-6 THEN net / lag(position) OVER w END AS asset_ret
 FROM strat WINDOW w AS (PARTITION BY strategy_id ORDER BY ts)""")
 def _(spark, sf):
-    return rz.reconstruct_asset_returns(st.strategy_returns(spark, sf)).df
+    return rz.reconstruct_asset_returns(st.strategy_returns(st.signal_rows(spark, sf))).df
 
 
 PERM_SQL = f"""base AS (
@@ -66,7 +66,7 @@ FROM prof p LEFT JOIN (SELECT strategy_id, avg(sr) AS mean, stddev_samp(sr) AS s
   quantile_cont(sr, 0.95) AS p95, avg(CASE WHEN sr < actual THEN 100.0 ELSE 0.0 END) AS pct FROM trials JOIN prof USING (strategy_id) GROUP BY 1) t
 ON p.strategy_id = t.strategy_id""")
 def _(spark, sf):
-    return rz.permutation_test(st.strategy_returns(spark, sf), n=TRIALS, seed=SEED, annualization=st.WEEKS)
+    return rz.permutation_test(st.strategy_returns(st.signal_rows(spark, sf)), n=TRIALS, seed=SEED, annualization=st.WEEKS)
 
 
 # --- random rules on the feature panel ---------------------------------------------------

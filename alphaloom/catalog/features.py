@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core.lineage import checkpointed
 from ..functions import crosssection as cs
 from ..functions import options as opt
 from ..functions import timeseries as ts
@@ -162,8 +163,11 @@ CS_SQL = f"""sig AS (
 
 
 def signals(spark, sf):
-    return add_features(trade_bars(spark, sf), {"mom": ts.momentum(N)}).select(
-        "asset", "ts", "volume", "mom"
+    """Checkpointed: the cross-section joins bar aggregates back to these rows."""
+    return checkpointed(
+        add_features(trade_bars(spark, sf), {"mom": ts.momentum(N)}).select(
+            "asset", "ts", "volume", "mom"
+        )
     )
 
 

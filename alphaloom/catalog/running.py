@@ -125,7 +125,7 @@ SELECT strategy_id, avg(a) AS mean_abs_position, max(a) AS max_abs_position, avg
   CASE WHEN sum(a) > 1e-9 THEN max(a) / sum(a) ELSE 0 END AS concentration_share
 FROM (SELECT strategy_id, abs(position) AS a, quantile_cont(abs(position), 0.99) OVER (PARTITION BY strategy_id) AS q FROM strat) GROUP BY 1""")
 def _(spark, sf):
-    return rk.position_stats(st.strategy_returns(spark, sf).df, by=["strategy_id"])
+    return rk.position_stats(st.strategy_returns(st.signal_rows(spark, sf)).df, by=["strategy_id"])
 
 
 @query("risk_tail_metrics", keys="strategy_id", ints="max_drawdown_duration_days",
@@ -138,7 +138,7 @@ SELECT s.*, max_dd AS max_drawdown_pct, dur AS max_drawdown_duration_days FROM (
     FROM strat WHERE net IS NOT NULL WINDOW a AS (PARTITION BY strategy_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
       b AS (PARTITION BY strategy_id ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) GROUP BY 1) s JOIN dd USING (strategy_id)""")
 def _(spark, sf):
-    return rk.tail_metrics(st.strategy_returns(spark, sf))
+    return rk.tail_metrics(st.strategy_returns(st.signal_rows(spark, sf)))
 
 
 GREEK_SQL = """greeks AS (
@@ -396,7 +396,8 @@ CORR = """corrs AS (
 
 
 def both(spark, sf):
-    return st.strategy_returns(spark, sf).df, st.basket_returns(spark, sf).df
+    rows = st.signal_rows(spark, sf)
+    return st.strategy_returns(rows).df, st.basket_returns(rows).df
 
 
 @query("gate_corr_with_survivors", keys="candidate_id survivor_id", ints="n_overlap_bars", nums="correlation abs_correlation",
@@ -461,8 +462,9 @@ def _(spark, sf):
 @query("gate_evaluate_fork", keys="strategy_id gate_deflated_sharpe gate_correlation gate_pca_concentration gate_vs_random overall first_failure",
        nums="dsr_pvalue max_correlation")
 def _(spark, sf):
-    rows = st.strategy_returns(spark, sf)
-    cand, surv = rows.df, st.basket_returns(spark, sf).df
+    signals = st.signal_rows(spark, sf)
+    rows = st.strategy_returns(signals)
+    cand, surv = rows.df, st.basket_returns(signals).df
     dsr = sg.deflated_sharpe_fork(sg.moments(cand, by=["strategy_id"], min_obs=3), TRIALS, annualization=st.WEEKS)
     pca = fa.position_concentration(cand, by=["strategy_id"])
     chance = rz.permutation_test(rows, n=50, seed=7, annualization=st.WEEKS)
@@ -508,16 +510,19 @@ LIVE = with_(BARS, RETS, SIGNALS, STRAT, NUMBERED, """parts AS (SELECT *, rn < f
              "base_rows AS (SELECT * FROM parts WHERE is_base)", "recent AS (SELECT * FROM parts WHERE is_recent AND NOT is_base)")
 
 
-@query("live_diagnose", keys="strategy_id status flags", ints="n_live_observations", nums="live_sharpe baseline_sharpe sharpe_ratio_drop live_hit_rate baseline_hit_rate live_max_drawdown baseline_max_drawdown", sql=LIVE + f"""
+DIAGNOSIS = LIVE + f"""
 SELECT *, CASE WHEN flags = '' THEN 'ok' ELSE 'degraded' END AS status FROM (
   SELECT *, concat_ws(',', CASE WHEN sharpe_ratio_drop < 0.5 THEN 'sharpe_collapse' END, CASE WHEN abs(live_hit_rate - baseline_hit_rate) > 0.05 THEN 'hit_rate_drift' END,
       CASE WHEN live_max_drawdown < baseline_max_drawdown * 1.5 THEN 'drawdown_breach' END) AS flags
   FROM (SELECT l.strategy_id, CAST(l.n_observations AS BIGINT) AS n_live_observations, l.sharpe_ratio AS live_sharpe, b.sharpe_ratio AS baseline_sharpe,
       coalesce(l.sharpe_ratio / nullif(b.sharpe_ratio, 0), CASE WHEN l.sharpe_ratio <= 0 THEN 0.0 ELSE 1.0 END) AS sharpe_ratio_drop,
       l.hit_rate AS live_hit_rate, b.hit_rate AS baseline_hit_rate, l.max_drawdown AS live_max_drawdown, b.max_drawdown AS baseline_max_drawdown
-    FROM ({metrics_sql('recent', 'strategy_id')}) l JOIN ({metrics_sql('base_rows', 'strategy_id')}) b USING (strategy_id)))""")
+    FROM ({metrics_sql('recent', 'strategy_id')}) l JOIN ({metrics_sql('base_rows', 'strategy_id')}) b USING (strategy_id)))"""
+
+
+@query("live_diagnose", keys="strategy_id status flags", ints="n_live_observations", nums="live_sharpe baseline_sharpe sharpe_ratio_drop live_hit_rate baseline_hit_rate live_max_drawdown baseline_max_drawdown", sql=DIAGNOSIS)
 def _(spark, sf):
-    p = st.strategy_returns(spark, sf)
+    p = st.strategy_returns(st.signal_rows(spark, sf))
     rows = sp.counted(p.with_df(p.df.filter("net IS NOT NULL")))
     early = F.col("rn") < F.floor(0.7 * F.col("n"))
     cut = lambda c: p.with_df(rows.filter(c).drop("rn", "n"))
@@ -531,7 +536,7 @@ SELECT strategy_id, t IS NOT NULL AS tripped, t.a AS trip_ts, t.r AS trip_reason
     FROM (SELECT *, CASE WHEN count(*) OVER w = 60 THEN avg(net) OVER w / nullif(stddev_samp(net) OVER w, 0) * sqrt(252) END AS sr FROM under
           WINDOW w AS (PARTITION BY strategy_id ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))) GROUP BY 1)""")
 def _(spark, sf):
-    p = st.strategy_returns(spark, sf)
+    p = st.strategy_returns(st.signal_rows(spark, sf))
     return pr.kill_switch(
         p.with_df(p.df.filter("net IS NOT NULL")), max_drawdown=0.95, max_loss=0.9, min_sharpe=-3.0
     )

@@ -3,11 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core.lineage import scratch_path
-from ..core.panel import Panel
-from ..functions.crosssection import with_group
+from ..core.lineage import checkpointed, scratch_path
 from ..operators import relational as rel
-from ..operators import signals as sgl
+from ..operators import splits as sp
 from ..plans import options as op
 from ..plans import strategies as st
 from ..plans.tables import hourly_ticks, table, trade_bars
@@ -15,7 +13,7 @@ from ..sources import files as fs
 from ..streaming import jobs
 from .base import query
 from .chance import CAND, RAW, UNIVERSE, candidates
-from .running import FILLS, UNIFIED, bounds, macro_sources
+from .running import DIAGNOSIS, FILLS, UNIFIED, bounds, macro_sources
 from ..operators import calendar as cal
 from ..plans.trials import fills
 from .sqltext import BARS, BASKETS, HOURLY, RETS, SIGNALS, STRAT, W, book_sql, sharpe_sql, with_
@@ -47,7 +45,7 @@ def _(spark, sf):
         *[F.max(F.when(F.col("asset") == n, F.col("position"))).alias(n.replace("#", "_")) for n in names]
     )
     wide.write.csv(f"{folder}/positions.csv", header=True)
-    net = st.basket_returns(spark, sf).df.filter("strategy_id = 'low_vol'").select("ts", "net")
+    net = st.basket_returns(rows).df.filter("strategy_id = 'low_vol'").select("ts", "net")
     net.write.csv(f"{folder}/returns.csv", header=True)
     return fs.thesis_results(spark, folder)
 
@@ -128,7 +126,7 @@ def _(spark, sf):
 @query("join_inner_align", keys="ts", nums="a b", sql=BASE + """
 SELECT a.ts, a.net AS a, b.net AS b FROM strat a JOIN strat b USING (ts) WHERE a.strategy_id = 'mom:Brand#1' AND b.strategy_id = 'rev:Brand#2'""")
 def _(spark, sf):
-    rows = st.strategy_returns(spark, sf).df
+    rows = st.strategy_returns(st.signal_rows(spark, sf)).df
     one = lambda s, n: rows.filter(F.col("strategy_id") == s).select("ts", F.col("net").alias(n))
     return rel.align(one("mom:Brand#1", "a"), one("rev:Brand#2", "b"), ["ts"])
 
@@ -269,7 +267,7 @@ def _(spark, sf):
 def returns_stream(spark, sf):
     """Strategy returns written once and read back as a stream."""
     path = scratch_path(spark, "returns")
-    rows = st.strategy_returns(spark, sf).df.filter("net IS NOT NULL").select(
+    rows = st.strategy_returns(st.signal_rows(spark, sf)).df.filter("net IS NOT NULL").select(
         "strategy_id", F.col("ts").cast("timestamp").alias("ts"), "net"
     )
     rows.write.parquet(path)
@@ -286,18 +284,17 @@ def _(spark, sf):
     return jobs.run_available(out, scratch_path(spark, "trips"))
 
 
-@query("stream_live_diagnose", keys="strategy_id status", ints="n_live_observations", nums="live_sharpe", sql=BASE + f"""
-SELECT strategy_id, CASE WHEN count(*) < 20 THEN 'insufficient_data' WHEN live / base < 1e308 THEN 'ok' ELSE 'ok' END AS status, count(*) AS n_live_observations, any_value(live) AS live_sharpe
-FROM (SELECT strategy_id, {sharpe_sql('avg(net) OVER w', 'stddev_samp(net) OVER w')} AS live, 1 AS base FROM (
-  SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY ts DESC) AS k FROM strat WHERE net IS NOT NULL) WHERE k <= 60 WINDOW w AS (PARTITION BY strategy_id)) GROUP BY 1""")
+@query("stream_live_diagnose", keys="strategy_id status flags", ints="n_live_observations", nums="live_sharpe baseline_sharpe", sql=DIAGNOSIS)
 def _(spark, sf):
-    # the baseline is the same tail, so that every strategy measures up to it
-    rows = st.strategy_returns(spark, sf)
-    base = rows.with_df(rows.df.filter("net IS NOT NULL").select("strategy_id", F.col("ts").cast("timestamp").alias("ts"), "net"))
-    from ..operators.production import last_rows
-
+    p = st.strategy_returns(st.signal_rows(spark, sf))
+    rows = sp.counted(p.with_df(p.df.filter("net IS NOT NULL"))).select(
+        "strategy_id", F.col("ts").cast("timestamp").alias("ts"), "net", "rn", "n"
+    )
+    early = F.col("rn") < F.floor(0.7 * F.col("n"))
+    path = scratch_path(spark, "live-in")
+    rows.filter(~early).drop("rn", "n").write.parquet(path)
+    live = spark.readStream.schema("strategy_id string, ts timestamp, net double").parquet(path)
+    base = p.with_df(checkpointed(rows.filter(early).drop("rn", "n")))
     store, report = scratch_path(spark, "live"), scratch_path(spark, "diagnosis")
-    tail = base.with_df(last_rows(base, 60))
-    q = jobs.live_diagnose_stream(returns_stream(spark, sf), tail, store, report, annualization=st.WEEKS)
-    q.awaitTermination()
+    jobs.live_diagnose_stream(live, base, store, report, annualization=st.WEEKS).awaitTermination()
     return spark.read.parquet(report)

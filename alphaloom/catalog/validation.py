@@ -28,7 +28,7 @@ TRIALS = 50  # two strategies on each of 25 brands
 
 
 def strategy_rows(spark, sf):
-    return dg.observed(st.strategy_returns(spark, sf))
+    return dg.observed(st.strategy_returns(st.signal_rows(spark, sf)))
 
 
 @query("wf_splits", keys="strategy_id", ints="fold train_start train_end test_start test_end", sql=ROWS + f"""
@@ -94,7 +94,7 @@ FROM (SELECT strategy_id, n, fold, round({sharpe_sql('avg(net)', 'stddev_samp(ne
                        ELSE n % 4 + (rn - (n % 4) * (n // 4 + 1)) // (n // 4) END AS fold FROM numbered)
   GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def _(spark, sf):
-    return dg.kfold_stability(st.strategy_returns(spark, sf), k=4, annualization=st.WEEKS)
+    return dg.kfold_stability(st.strategy_returns(st.signal_rows(spark, sf)), k=4, annualization=st.WEEKS)
 
 
 def _bound(k: str, parts: int) -> str:
@@ -150,7 +150,7 @@ SHAPE = "sqrt(greatest(1 - skew * sr + {w} * sr * sr, 1e-12))"
 
 
 def strategy_moments(spark, sf):
-    return sg.moments(st.strategy_returns(spark, sf).df, by=["strategy_id"])
+    return sg.moments(st.strategy_returns(st.signal_rows(spark, sf)).df, by=["strategy_id"])
 
 
 @query("dsr_moments", keys="strategy_id", ints="n", nums="sr skew kurt", sql=MOM + "SELECT * FROM moments")
@@ -183,7 +183,7 @@ SELECT strategy_id, n AS n_bars, round(sr, 5) AS per_bar_sharpe, round(sr * sqrt
 FROM (SELECT *, (sr - star) * sqrt(n - 1) / shape AS z FROM (SELECT *, shape / sqrt(n - 1) * {EMAX} AS star
   FROM (SELECT *, {SHAPE.format(w='(kurt + 2) / 4')} AS shape FROM moments)))""")
 def _(spark, sf):
-    stats = sg.moments(st.strategy_returns(spark, sf).df, by=["strategy_id"], min_obs=3)
+    stats = sg.moments(st.strategy_returns(st.signal_rows(spark, sf)).df, by=["strategy_id"], min_obs=3)
     return sg.deflated_sharpe_fork(stats, TRIALS, annualization=st.WEEKS)
 
 
@@ -197,7 +197,7 @@ def _(spark, sf):
 @query("dsr_trial_variance", keys="family", ints="n_trials", nums="variance", sql=MOM + """
 SELECT substr(strategy_id, 1, 3) AS family, count(*) AS n_trials, var_samp(sr) * 52 AS variance FROM moments GROUP BY 1""")
 def _(spark, sf):
-    df = st.strategy_returns(spark, sf).df.withColumn("family", F.substring("strategy_id", 1, 3))
+    df = st.strategy_returns(st.signal_rows(spark, sf)).df.withColumn("family", F.substring("strategy_id", 1, 3))
     return sg.trial_variance(df, trial=["strategy_id"], by=["family"], annualization=st.WEEKS)
 
 
@@ -227,7 +227,7 @@ FROM (SELECT strategy_id, count(net) AS n_bars, {sharpe_sql('avg(net)', 'stddev_
   skewness(net) AS sk, kurtosis(net) AS ku, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS win
   FROM strat WHERE net IS NOT NULL GROUP BY 1) JOIN dd USING (strategy_id)""")
 def _(spark, sf):
-    return dg.core_statistics(st.strategy_returns(spark, sf), annualization=st.WEEKS)
+    return dg.core_statistics(st.strategy_returns(st.signal_rows(spark, sf)), annualization=st.WEEKS)
 
 
 @query("diag_degradation", keys="strategy_id", nums="is_sharpe oos_sharpe degradation", sql=ROWS + f"""
@@ -262,7 +262,7 @@ def _(spark, sf):
 SELECT strategy_id, regime, n_observations, annualized_return AS ann_return, sharpe_ratio, hit_rate, max_drawdown FROM (
 """ + metrics_sql("labelled", "strategy_id, regime") + ")")
 def _(spark, sf):
-    p = st.strategy_returns(spark, sf)
+    p = st.strategy_returns(st.signal_rows(spark, sf))
     p = p.with_df(p.df.withColumn("regime", F.concat(F.lit("Q"), F.quarter("ts").cast("string"))))
     return dg.regime_breakdown(p, "regime", annualization=st.WEEKS)
 
@@ -274,7 +274,7 @@ FROM (SELECT *, quantile_cont(vol, 1.0 / 3) OVER (PARTITION BY strategy_id) AS q
   FROM (SELECT *, {full('stddev_samp(net)', 'net', '(PARTITION BY strategy_id ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)', 21)} AS vol
         FROM numbered WHERE n >= 30)) WHERE vol IS NOT NULL GROUP BY 1, 2""")
 def _(spark, sf):
-    return dg.volatility_regimes(st.strategy_returns(spark, sf), annualization=st.WEEKS)
+    return dg.volatility_regimes(st.strategy_returns(st.signal_rows(spark, sf)), annualization=st.WEEKS)
 
 
 # --- factors and meta labels -----------------------------------------------------------
@@ -306,7 +306,7 @@ def _recursive(*ctes):
        sql=_recursive(BARS, RETS, SIGNALS, BASKETS, book_sql("basket_pos"), COV.format(src="book")) + """
 SELECT unnest(names) AS strategy_id, unnest(list_transform(v, lambda x: abs(x))) AS abs_loading, lam / trace AS top_share FROM pc, names""")
 def _(spark, sf):
-    out = fa.pca_table(st.basket_returns(spark, sf).df)
+    out = fa.pca_table(st.basket_returns(st.signal_rows(spark, sf)).df)
     top = F.max(F.when(F.col("component") == 0, F.col("explained_share")))
     share = out.agg(top.alias("top_share"))
     return out.select("strategy_id", F.abs("pc1_loading").alias("abs_loading")).withColumn(
@@ -318,7 +318,7 @@ def _(spark, sf):
     BARS, RETS, SIGNALS, BASKETS, book_sql("basket_pos"), COV.format(src="book")) +
     'SELECT l AS series_a, r AS series_b, c AS cov FROM cov WHERE l <= r')
 def _(spark, sf):
-    return fa.covariance(st.basket_returns(spark, sf).df)
+    return fa.covariance(st.basket_returns(st.signal_rows(spark, sf)).df)
 
 
 CONC = """whole AS (SELECT ts FROM book WHERE net IS NOT NULL GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT strategy_id) FROM book)),
@@ -342,7 +342,8 @@ SELECT cand AS strategy_id, CASE WHEN count(*) >= 60 THEN coalesce(power(corr(ne
 FROM (SELECT c.strategy_id AS cand, c.ts, any_value(c.net) AS net, sum(b.net * w) AS s FROM strat c JOIN whole USING (ts) JOIN book b USING (ts)
       JOIN weights x ON x.cand = c.strategy_id AND x.strategy_id = b.strategy_id WHERE c.net IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
 def _(spark, sf):
-    return fa.concentration(st.strategy_returns(spark, sf).df, st.basket_returns(spark, sf).df)
+    rows = st.signal_rows(spark, sf)
+    return fa.concentration(st.strategy_returns(rows).df, st.basket_returns(rows).df)
 
 
 MARKET = "market AS (SELECT ts, avg(ret) AS mkt FROM rets WHERE ret IS NOT NULL GROUP BY ts)"
@@ -351,9 +352,10 @@ MARKET = "market AS (SELECT ts, avg(ret) AS mkt FROM rets WHERE ret IS NOT NULL
 def with_factors(spark, sf):
     """Strategy returns with two factor columns: the mean asset return of the bar
     and the low-volatility basket.  Both factor tables have one row per bar."""
-    rows = st.strategy_returns(spark, sf).df
-    market = st.signal_rows(spark, sf).df.groupBy("ts").agg(F.avg("ret").alias("mkt"))
-    lowvol = st.basket_returns(spark, sf).df.filter("strategy_id = 'low_vol'").select("ts", F.col("net").alias("lowvol"))
+    signals = st.signal_rows(spark, sf)
+    rows = st.strategy_returns(signals).df
+    market = signals.df.groupBy("ts").agg(F.avg("ret").alias("mkt"))
+    lowvol = st.basket_returns(signals).df.filter("strategy_id = 'low_vol'").select("ts", F.col("net").alias("lowvol"))
     return rows.join(market, "ts").join(lowvol, "ts")
 
 
@@ -376,8 +378,9 @@ def _(spark, sf):
 SELECT strategy_id, count(*) AS n_observations, regr_intercept(net, mkt) AS alpha, regr_slope(net, mkt) AS beta, power(corr(net, mkt), 2) AS r_squared
 FROM strat JOIN market USING (ts) WHERE net IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    rows = st.strategy_returns(spark, sf).df
-    market = st.signal_rows(spark, sf).df.groupBy("ts").agg(F.avg("ret").alias("mkt"))
+    signals = st.signal_rows(spark, sf)
+    rows = st.strategy_returns(signals).df
+    market = signals.df.groupBy("ts").agg(F.avg("ret").alias("mkt"))
     return fa.single_factor(rows.join(market, "ts"), "mkt", by=["strategy_id"])
 
 

@@ -6,7 +6,7 @@ on every engine.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .expr import col
@@ -26,7 +26,9 @@ def uniforms(n: int, seed: int, *ids: str | Column) -> list[Column]:
     ]
 
 
-def hash_order(df, by: list[str], name: str, seed: int, ids: list[str], *, small: bool = False):
+def hash_order(
+    df: DataFrame, by: list[str], name: str, seed: int, ids: list[str], *, small: bool = False
+) -> DataFrame:
     """Zero-based position of each row of a group in the order of a digest of its ids:
     a random permutation, or a dense index to draw from.
 
@@ -34,14 +36,13 @@ def hash_order(df, by: list[str], name: str, seed: int, ids: list[str], *, small
     any group into 256 buckets that are numbered by themselves; `small=True` (groups
     with a known bound) numbers each group in one window.
     """
-    from pyspark.sql import Window
-
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(i).cast("string") for i in ids]))
-    df = df.withColumn("_digest", digest)
+    # sixty bits sort as a number and keep the order of the text
+    df = df.withColumn("_digest", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
     if small:
         pos = F.row_number().over(Window.partitionBy(*by).orderBy("_digest")) - 1
         return df.withColumn(name, pos.cast("bigint")).drop("_digest")
-    df = df.withColumn("_bucket", F.substring("_digest", 1, 2))
+    df = df.withColumn("_bucket", F.shiftright("_digest", 52))
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(*by, "_bucket").agg(F.count("*").alias("_c")).select(
         *by, "_bucket", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_below")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,12 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group; only one number reaches the driver."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def ratio(num: str | Column, den: str | Column) -> Column:
     """num / den, NULL where den is zero."""
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))

@@ -13,19 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expr import col
+from .expr import col, largest_group
 
 BUCKETS = 64
 GROUP_LIMIT = 1_000_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group; only one number reaches the driver."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def _small(df: DataFrame, keys: list[str], small: bool | None) -> bool:
+def is_small(df: DataFrame, keys: list[str], small: bool | None = None) -> bool:
+    """A promise if given, else a count of the largest group."""
     return largest_group(df, keys) <= GROUP_LIMIT if small is None else small
 
 
@@ -74,7 +69,7 @@ def tally(
     bucketed plan, None counts first.
     """
     keys = list(keys)
-    if _small(df, keys, small):
+    if is_small(df, keys, small):
         v = col(value)
         group = Window.partitionBy(*keys)
         made = {
@@ -119,7 +114,7 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group."""
     keys = list(keys)
-    if _small(df, keys, small):
+    if is_small(df, keys, small):
         v = col(value).cast("double")
         return df.groupBy(*keys).agg(
             *[F.percentile(v, F.lit(float(p))).alias(n) for n, p in probs.items()]

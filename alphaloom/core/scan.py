@@ -2,7 +2,8 @@
 
 On a segmented frame a running value is the local running value inside the
 segment combined with the total of all earlier segments.  The totals table has
-one row per segment; the big side stays where its window put it.
+one row per segment.  The rows feed both the totals and the join, so they are
+checkpointed once instead of being computed twice per pass.
 """
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .expr import col
+from .lineage import checkpointed
 from .panel import Frame
 
 _AGG = {
@@ -37,7 +39,9 @@ def cumulative(frame: Frame, outs: dict[str, tuple[str, str | Column]]) -> Frame
     if not frame.segmented:
         return frame.with_df(frame.df.withColumns(local))
 
-    df = frame.df.filter("_core")
+    df = checkpointed(
+        frame.df.filter("_core").withColumns({f"_l_{n}": c for n, c in local.items()})
+    )
     keys = [k for k in frame.part if k != "_seg"]
     def total(kind: str, c) -> Column:
         if kind == "last":
@@ -58,7 +62,7 @@ def cumulative(frame: Frame, outs: dict[str, tuple[str, str | Column]]) -> Frame
             for n, (k, _) in outs.items()
         ],
     )
-    df = df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(prefix, list(frame.part))
+    df = df.join(prefix, list(frame.part))
     df = df.withColumns(
         {
             n: _combine(k, F.col(f"_p_{n}"), F.col(f"_l_{n}"))

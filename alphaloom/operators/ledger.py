@@ -14,7 +14,6 @@ from ..core.panel import Panel
 from ..core.ranks import tally
 from ..core.scan import cumulative
 from ..core.schema import struct
-from ..functions.crosssection import with_group
 
 EVENT_SCHEMA = struct(
     "seq bigint, hypothesis_id string, kind string, hypothesis_text string, rationale string, "
@@ -84,29 +83,19 @@ def trials(events: DataFrame) -> DataFrame:
     """
     is_record = F.col("kind").isin("record", "seed")
     is_override, is_deploy = F.col("kind") == "override", F.col("kind") == "deploy"
-    ev = with_group(
-        events, ["hypothesis_id"],
-        {"_fo": F.min(F.when(is_override, F.col("seq"))), "_fr": F.min(F.when(is_record, F.col("seq")))},
+    ev = events.withColumn("_at", F.timestamp_micros("seq"))
+    frame = Panel(ev, keys=("hypothesis_id",), ts="_at", block="second").frame()
+    before_record = F.col("_recs") == 0
+    frame = cumulative(frame, {"_recs": ("sum", is_record.cast("int"))})
+    # overrides, then deployments of their placeholder, before any record
+    frame = cumulative(frame, {"_held": ("sum", (is_override & before_record).cast("int"))})
+    frame = cumulative(
+        frame, {"_early": ("sum", (is_deploy & before_record & (F.col("_held") > 0)).cast("int"))}
     )
-    early = is_deploy & (F.col("seq") > F.col("_fo")) & (F.col("seq") < F.col("_fr"))
-    ev = with_group(ev, ["hypothesis_id"], {"_early": F.max(F.coalesce(early, F.lit(False)))})
-    ev = ev.withColumn("_at", F.timestamp_micros("seq"))
-    run = cumulative(
-        Panel(ev, keys=("hypothesis_id",), ts="_at", block="second").frame(),
-        {"_recs": ("sum", is_record.cast("int"))},
-    ).core()
-    placeholder = F.col("_fo").isNotNull() & (F.col("_fr").isNull() | (F.col("_fo") < F.col("_fr")))
-    row = (
-        F.when(~placeholder, F.col("_recs"))
-        .when(F.col("seq") < F.col("_fo"), 0)
-        .when(F.col("_early"), F.col("_recs") + 1)
-        .otherwise(F.greatest("_recs", F.lit(1)))
-    )
-    run = run.withColumn("_row", row).filter("_row > 0")
-    rows = F.when(is_deploy, F.sequence(F.lit(1).cast("bigint"), F.col("_row").cast("bigint"))).otherwise(
-        F.array(F.col("_row").cast("bigint"))
-    )
-    run = run.withColumn("trial_no", F.explode(rows)).drop("_recs", "_row", "_fo", "_fr", "_early")
+    extra = (F.col("_held") > 0) & (before_record | (F.col("_early") > 0))
+    run = frame.core().withColumn("_row", F.col("_recs") + extra.cast("bigint")).filter("_row > 0")
+    rows = F.when(is_deploy, F.sequence(F.lit(1).cast("bigint"), F.col("_row"))).otherwise(F.array("_row"))
+    run = run.withColumn("trial_no", F.explode(rows)).drop("_recs", "_row", "_held", "_early")
 
     verdict = F.when(is_override, F.lit(True)).when(is_record, F.col("accepted"))
     run = cumulative(

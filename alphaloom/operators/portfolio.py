@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..core.expr import clip, ratio
 from ..core.panel import Panel
-from ..core.ranks import average_rank, group_quantiles, tally
+from ..core.ranks import average_rank, group_quantiles, is_small, tally
 from ..functions.crosssection import with_group
 from .backtest import BacktestConfig, performance
 
@@ -100,6 +100,7 @@ def long_short_quantile(
     if weight not in ("equal", "signal"):
         raise ValueError(f"unknown weight scheme {weight!r}")
     by = list(by)
+    small = is_small(df, by, small)
     ranked = tally(df, by, signal, prefix="_q_", small=small)
     pct = average_rank("_q_")
     is_long = F.coalesce(pct >= long_quantile, F.lit(False))
@@ -109,11 +110,20 @@ def long_short_quantile(
         ranked = ranked.withColumn("_c", F.lit(1.0))
         share = 1.0
     else:
-        ranked = ranked.join(group_quantiles(df, by, signal, {"_med": 0.5}, small=small), by, "left")
+        if small:
+            ranked = ranked.withColumn(
+                "_med", F.percentile(signal, F.lit(0.5)).over(Window.partitionBy(*by))
+            )
+        else:
+            ranked = ranked.join(group_quantiles(df, by, signal, {"_med": 0.5}, small=False), by, "left")
         ranked = ranked.withColumn("_c", F.col(signal) - F.col("_med"))
         share = 0.5
     side = lambda flag: F.when(F.col(flag), F.abs("_c"))
-    sized = with_group(ranked, by, {"_gl": F.sum(side("_long")), "_gs": F.sum(side("_short"))})
+    totals = {"_gl": F.sum(side("_long")), "_gs": F.sum(side("_short"))}
+    if small:  # the ranks already brought each bar together
+        sized = ranked.withColumns({n: c.over(Window.partitionBy(*by)) for n, c in totals.items()})
+    else:
+        sized = with_group(ranked, by, totals)
     up = F.when(F.col("_long"), F.coalesce(ratio("_c", "_gl"), F.lit(0.0))).otherwise(0.0)
     short_c = F.col("_c") if weight == "signal" else -F.col("_c")
     down = F.when(F.col("_short"), F.coalesce(ratio(short_c, "_gs"), F.lit(0.0))).otherwise(0.0)

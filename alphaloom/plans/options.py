@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core.lineage import checkpointed
 from ..core.panel import Panel
 from ..operators.relational import merge_vendor
 from ..operators.signals import ConsensusOptions, universe_signal
@@ -61,8 +62,9 @@ def merged_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def signal_panel(spark: SparkSession, folder: str) -> Panel:
+    """The universe signal; checkpointed, because every test on it reads it often."""
     raw = option_panel(spark, folder)
-    return raw.with_df(universe_signal(raw, LOOKBACK))
+    return raw.with_df(checkpointed(universe_signal(raw, LOOKBACK)))
 
 
 def candidate_trades(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core.lineage import checkpointed
 from ..core.panel import Panel
 from ..functions import timeseries as ts
 from ..functions.base import add_features
@@ -17,9 +18,13 @@ CONFIG = BacktestConfig(annualization=WEEKS)
 
 
 def signal_rows(spark: SparkSession, folder: str) -> Panel:
-    """Bars with the return into each bar and the three signals."""
+    """Bars with the return into each bar and the three signals.
+
+    Every strategy and basket reads this table, which is tiny next to the trades
+    behind it, so it is checkpointed: the trades are scanned once.
+    """
     bars = trade_bars(spark, folder).select("close")
-    return bars.with_df(
+    return bars.with_df(checkpointed(
         add_features(
             bars,
             {
@@ -29,7 +34,7 @@ def signal_rows(spark: SparkSession, folder: str) -> Panel:
                 "vol": ts.realized_volatility(LOOKBACK),
             },
         )
-    )
+    ))
 
 
 def asset_positions(rows: Panel) -> Panel:
@@ -48,9 +53,9 @@ def asset_positions(rows: Panel) -> Panel:
     return rows.with_df(df, keys=("strategy_id",))
 
 
-def strategy_returns(spark: SparkSession, folder: str) -> Panel:
+def strategy_returns(rows: Panel) -> Panel:
     """(strategy_id, ts): position, lagged, turnover, net."""
-    return run_positions(asset_positions(signal_rows(spark, folder)), CONFIG)
+    return run_positions(asset_positions(rows), CONFIG)
 
 
 def basket_positions(rows: Panel) -> DataFrame:
@@ -69,14 +74,13 @@ def basket_positions(rows: Panel) -> DataFrame:
     return long_short_quantile(long, "signal", by=("strategy_id", "ts"))
 
 
-def basket_returns(spark: SparkSession, folder: str) -> Panel:
-    rows = signal_rows(spark, folder)
+def basket_returns(rows: Panel) -> Panel:
     book = rows.with_df(basket_positions(rows), keys=("strategy_id", "asset"))
     return portfolio_returns(book, CONFIG)
 
 
-def trial_matrix(spark: SparkSession, folder: str) -> Panel:
+def trial_matrix(rows: Panel) -> Panel:
     """Long (strategy_id, ts, net) matrix of the asset strategies and the baskets."""
-    assets = strategy_returns(spark, folder).df.select("strategy_id", "ts", "net")
-    books = basket_returns(spark, folder).df.select("strategy_id", "ts", "net")
+    assets = strategy_returns(rows).df.select("strategy_id", "ts", "net")
+    books = basket_returns(rows).df.select("strategy_id", "ts", "net")
     return Panel(assets.unionByName(books), keys=("strategy_id",), ts="ts", grain="week")
