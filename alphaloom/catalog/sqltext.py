@@ -2,9 +2,9 @@
 
 BARS = """bars AS (
   SELECT p_brand AS asset, CAST(date_trunc('week', l_shipdate) AS DATE) AS ts,
-         min(struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber, d := l_extendedprice)).d AS open,
+         min((isodow(l_shipdate) - 1) * 1099511627776 + CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) % 1099511627776 / 100.0 AS open,
          max(l_extendedprice) AS high, min(l_extendedprice) AS low,
-         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS close,
+         CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS close,
          sum(l_quantity) AS volume
   FROM lineitem JOIN part ON l_partkey = p_partkey
   GROUP BY 1, 2

@@ -54,3 +54,13 @@ def hash_order(
         .withColumn(name, (F.col("_below") + F.col("_in")).cast("bigint"))
         .drop("_digest", "_bucket", "_below", "_in")
     )
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Spread rows that are about to be multiplied over all shuffle partitions.
+
+    A given number of partitions is kept by AQE, which would merge the still small
+    input and so let a few tasks make all the copies.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)

@@ -144,12 +144,14 @@ def triple_barrier(
 
 
 def trailing_counts(values: Column, current: Column) -> tuple[Column, Column, Column]:
-    """Smaller, equal and all values of a collected trailing window."""
-    return (
-        F.size(F.filter(values, lambda v: v < current)),
-        F.size(F.filter(values, lambda v: v == current)),
-        F.size(values),
-    )
+    """Smaller, equal and all values of a collected trailing window.
+
+    Sorting and removing run as compiled loops; a filter with a lambda would be
+    interpreted for every element of every window.
+    """
+    smaller = F.array_position(F.sort_array(F.array_append(values, current)), current) - 1
+    equal = F.size(values) - F.size(F.array_remove(values, current))
+    return smaller, equal, F.size(values)
 
 
 def midrank_percentile(

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core.draws import hash_order, uniforms
+from ..core.draws import hash_order, spread, uniforms
 from ..core.expr import col, ratio, sharpe
+from ..core.lineage import checkpointed
 from ..core.panel import Panel
+from ..core.ranks import group_quantiles
 from ..core.scan import numbered
 from .splits import counted
 
@@ -70,9 +72,10 @@ def permutation_trials(panel: Panel, *, n: int = 1000, seed: int = 7, position:
     sizes = numbered(active.frame(), "_k").core().select(*keys, "_k", "_size")
 
     draw_from = profile.filter("n_active > 0").select(*keys, "n_bars", "n_active", "n_observed", "long_share")
-    pool = rows.join(draw_from, keys).filter(
+    open_bars = rows.join(draw_from, keys).filter(
         F.col("_asset").isNotNull() | (F.col("n_observed") < F.col("n_active"))
-    ).select(
+    )
+    pool = spread(open_bars, *keys, panel.ts).select(
         *keys, panel.ts, F.coalesce("_asset", F.lit(0.0)).alias("_r"), "n_bars", "n_active",
         "long_share", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("trial"),
     )
@@ -167,15 +170,15 @@ def candidate_rules(df: DataFrame, numeric: list[str], categorical: list[str], *
                     seed: int = 7, max_conditions: int = 4) -> DataFrame:
     """Random filters on a candidate table: a category equal to one of its values, a
     number above or below a level between its 10% and 90% quantiles, and a side."""
-    from ..core.ranks import group_quantiles
-
     spark = df.sparkSession
     cats = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in categorical]).first().asDict()
-    levels = {}
-    for c in numeric:
-        row = group_quantiles(df, [], c, {"a": 0.1, "b": 0.9}).first()
-        if row is not None and row["a"] is not None:
-            levels[c] = (float(row["a"]), float(row["b"]))
+    named = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in numeric])
+    long = df.select(F.explode(named).alias("p")).select("p.*")
+    levels = {
+        r["feature"]: (float(r["a"]), float(r["b"]))
+        for r in group_quantiles(long, ["feature"], "x", {"a": 0.1, "b": 0.9}).collect()
+        if r["a"] is not None
+    }
     options = []
     for f in [*[c for c in categorical if cats[c]], *[c for c in numeric if c in levels]]:
         a, b, c = uniforms(3, seed + 2, "rule_id", F.lit(f))
@@ -317,24 +320,12 @@ def rule_search(df: DataFrame, rules: DataFrame, actual_sharpe: float, *, ret: s
 # --- candidate trades ------------------------------------------------------------------
 
 
-def parse_pairs(text: str | Column) -> Column:
-    """Map of the 'k=v; k=v' text with blanks trimmed on both sides."""
-    pairs = F.filter(F.split(col(text), ";"), lambda p: p.contains("="))
-    entries = F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.trim(F.substring_index(p, "=", 1)).alias("key"),
-            F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("value"),
-        ),
-    )
-    # the last of repeated keys wins
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(
-        F.transform(
-            keys,
-            lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1),
-        )
-    )
+def pair_value(text: str | Column, key: str) -> Column:
+    """Value of a key in 'k=v; k=v' text, trimmed; NULL without the key.  The last of
+    repeated keys wins."""
+    pattern = rf"^(?:.*;)?\s*{key}\s*=\s*([^;]*?)\s*(?:;.*)?$"
+    found = col(text).rlike(pattern)
+    return F.when(found, F.regexp_extract(col(text), pattern, 1))
 
 
 NUMERIC = ("iv", "rr", "put", "call")
@@ -344,13 +335,11 @@ CATEGORICAL = ("m1", "m2", "stall", "divergence")
 def candidate_panel(df: DataFrame, *, text: str = "ExtraInputs", net_pct: str = "Net%",
                     status: str = "Status") -> DataFrame:
     """Candidate trades with their features as columns."""
-    m = F.col("_m")
-    out = df.withColumn("_m", parse_pairs(F.coalesce(F.col(text), F.lit(""))))
-    made = {c: F.try_element_at(m, F.lit(c)) for c in CATEGORICAL}
-    made |= {c: F.try_element_at(m, F.lit(c)).try_cast("double") for c in NUMERIC}
+    made = {c: pair_value(text, c) for c in CATEGORICAL}
+    made |= {c: pair_value(text, c).try_cast("double") for c in NUMERIC}
     made["net"] = F.col(f"`{net_pct}`").try_cast("double") / 100.0
     made["is_accepted"] = F.coalesce(F.col(status) == "ACCEPTED", F.lit(False))
-    return out.withColumns(made).drop("_m")
+    return df.withColumns(made)
 
 
 def span_years(df: DataFrame, entry: str = "Entry") -> float:
@@ -371,7 +360,11 @@ def trade_sharpe(df: DataFrame, *, by: list[str], years: float, net: str = "net"
 
 def consensus_rule_search(df: DataFrame, *, n: int = 2000, min_trades: int = 50, margin: float = 0.10,
                           seed: int = 7) -> DataFrame:
-    """Accepted trades against the best of random filters on the same features."""
+    """Accepted trades against the best of random filters on the same features.
+
+    The candidates are read several times, so their parsed columns are checkpointed.
+    """
+    df = checkpointed(df.select(*NUMERIC, *CATEGORICAL, "Entry", "Direction", "net", "is_accepted"))
     years = span_years(df)
     rules = candidate_rules(df, list(NUMERIC), list(CATEGORICAL), n=n, seed=seed)
     moments = rule_moments(df, rules, value="net", side="Direction")
@@ -445,7 +438,8 @@ def block_bootstrap(panel: Panel, *, value: str, replicates: int = 100, block: i
     keys = list(panel.keys)
     rows = counted(panel.select(value))
     lengths = rows.groupBy(*keys).agg(F.max("n").alias("n"))
-    blocks = lengths.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
+    copies = lengths.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    blocks = spread(copies, *keys, "replicate").withColumn(
         "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block)))
     )
     (u,) = uniforms(1, seed, *keys, "replicate", "b")

@@ -4,10 +4,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.draws import hash_order, uniforms
+from ..core.draws import hash_order, spread, uniforms
 from ..core.expr import col, log_ratio, ratio, valid_frame
 from ..core.panel import Frame, Panel
 from ..core.ranks import group_quantiles
@@ -43,13 +43,17 @@ def universe_signal(panel: Panel, lookback: int = 252) -> DataFrame:
     """Signal inputs per (ticker, tradeDate) from merged cores, dailies and vendor ranks.
 
     All windows share the ticker partition.  Tickers with fewer than lookback / 2
-    rows are left out by a semi join on counts before any window runs.
+    rows are left out first: by a count in the same partition where no ticker is
+    long, else by a semi join on grouped counts.
     """
     keys = list(panel.keys)
-    long_enough = panel.df.groupBy(*keys).agg(F.count("*").alias("_c")).filter(
-        F.col("_c") >= lookback // 2
-    )
-    rows = panel.df.join(long_enough, keys, "left_semi")
+    least = lookback // 2
+    if panel.bounded:
+        n = F.count("*").over(Window.partitionBy(*keys))
+        rows = panel.df.withColumn("_c", n).filter(F.col("_c") >= least).drop("_c")
+    else:
+        counts = panel.df.groupBy(*keys).agg(F.count("*").alias("_c")).filter(F.col("_c") >= least)
+        rows = panel.df.join(counts, keys, "left_semi")
     atm, call, put = vol_points("iv30d"), vol_points("dlt25Iv30d"), vol_points("dlt75Iv30d")
     rows = rows.withColumns({"atmIV": atm, "callRaw": call - atm, "putRaw": put - atm})
     rows = rows.withColumns(
@@ -230,7 +234,7 @@ def bootstrap_means(fires: DataFrame, pool: DataFrame, *, date: str, keys: list[
     indexed = hash_order(pool, ["horizon", date], "pick", seed, [*keys, date, "horizon"]).select(
         "horizon", date, "pick", F.col("fwd").alias("drawn")
     )
-    draws = fires.join(dates, ["horizon", date]).select(
+    draws = spread(fires.join(dates, ["horizon", date]), "horizon", date, *keys).select(
         "horizon", date, *keys, "sign", "n_pool",
         F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate"),
     )

@@ -6,32 +6,41 @@ from pyspark.sql import functions as F
 
 from ..core.panel import Panel
 
+DAY_STEP = 2**40  # above any price in cents
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def trade_bars(spark: SparkSession, folder: str) -> Panel:
-    """Weekly bars per brand from line items: every aggregate has a map-side
-    partial, so a brand or a week with a third of all trades shuffles only its
-    partial bars.  Prices average in whole cents, which sums exactly in any order.
+    """Weekly bars per brand from line items.
+
+    Every aggregate has a map-side partial with a fixed-width buffer, so the job is
+    one hash aggregation and a brand or week with a third of all trades shuffles
+    only its partial bars.  Prices average in whole cents, which sums exactly in any
+    order.  The open is the lowest price of the first day traded, packed with the day
+    into one number so that its minimum is a plain aggregate too.
     """
+    day = F.col("l_shipdate").cast("date")  # day arithmetic is integer arithmetic
     trades = table(spark, folder, "lineitem").select(
-        "l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity"
+        "l_partkey", "l_extendedprice", "l_quantity",
+        F.date_sub(day, F.weekday(day)).alias("ts"), F.weekday(day).alias("weekday"),
+        F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents"),
     )
     parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("asset"))
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    first = F.min(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"))
     bars = (
         trades.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("asset", F.date_trunc("week", "l_shipdate").cast("date").alias("ts"))
+        .groupBy("asset", "ts")
         .agg(
-            first["l_extendedprice"].alias("open"),
+            F.min(F.col("weekday") * F.lit(DAY_STEP) + F.col("cents")).alias("first"),
             F.max("l_extendedprice").alias("high"),
             F.min("l_extendedprice").alias("low"),
-            (F.sum(cents) / F.count(cents) / 100.0).alias("close"),
+            (F.sum("cents") / F.count("cents") / 100.0).alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
+        .withColumn("open", F.col("first") % F.lit(DAY_STEP) / 100.0)
+        .drop("first")
     )
     return Panel(bars, keys=("asset",), ts="ts", grain="week")
 
