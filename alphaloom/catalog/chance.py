@@ -26,7 +26,8 @@ def _(spark, sf):
     return rz.reconstruct_asset_returns(st.strategy_returns(st.signal_rows(spark, sf))).df
 
 
-PERM_SQL = f"""base AS (
+def perm_sql(n: int, seed: int) -> str:
+    return f"""base AS (
   SELECT strategy_id, ts, net, prior, CASE WHEN abs(prior) > 1e-6 THEN net / prior END AS asset_r, coalesce(abs(prior) > 1e-6, false) AS active
   FROM (SELECT *, lag(position) OVER (PARTITION BY strategy_id ORDER BY ts) AS prior FROM strat)
 ),
@@ -37,27 +38,27 @@ prof AS (
 ),
 sizes AS (SELECT strategy_id, row_number() OVER (PARTITION BY strategy_id ORDER BY ts) - 1 AS k, abs(prior) AS size FROM base WHERE active),
 pool AS (
-  SELECT b.strategy_id, b.ts, coalesce(asset_r, 0) AS r, n_bars, n_active, long_share, unnest(range(1, {TRIALS + 1})) AS trial
+  SELECT b.strategy_id, b.ts, coalesce(asset_r, 0) AS r, n_bars, n_active, long_share, unnest(range(1, {n + 1})) AS trial
   FROM base b JOIN prof p USING (strategy_id) WHERE n_active > 0 AND (asset_r IS NOT NULL OR n_obs < n_active)
 ),
 picked AS (
-  SELECT *, row_number() OVER (PARTITION BY strategy_id, trial ORDER BY md5(concat_ws('|', '{SEED}', strategy_id, CAST(trial AS VARCHAR), CAST(ts AS VARCHAR)))) - 1 AS pos FROM pool
+  SELECT *, row_number() OVER (PARTITION BY strategy_id, trial ORDER BY md5(concat_ws('|', '{seed}', strategy_id, CAST(trial AS VARCHAR), CAST(ts AS VARCHAR)))) - 1 AS pos FROM pool
 ),
-held AS (
-  SELECT p.*, CAST(floor({draw(0, SEED + 1, 'strategy_id', 'trial', 'ts')} * n_active) AS BIGINT) AS k,
-    CASE WHEN {draw(1, SEED + 1, 'strategy_id', 'trial', 'ts')} < long_share THEN 1.0 ELSE -1.0 END AS side
+held_bars AS (
+  SELECT p.*, CAST(floor({draw(0, seed + 1, 'strategy_id', 'trial', 'ts')} * n_active) AS BIGINT) AS k,
+    CASE WHEN {draw(1, seed + 1, 'strategy_id', 'trial', 'ts')} < long_share THEN 1.0 ELSE -1.0 END AS side
   FROM picked p WHERE pos < n_active
 ),
 trials AS (
   SELECT strategy_id, trial, CASE WHEN q - s * s / n > 0 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(52) ELSE 0 END AS sr FROM (
     SELECT strategy_id, trial, sum(size * side * r) AS s, sum(power(size * side * r, 2)) AS q, any_value(n_bars) AS n
-    FROM held JOIN sizes USING (strategy_id, k) GROUP BY 1, 2)
+    FROM held_bars JOIN sizes USING (strategy_id, k) GROUP BY 1, 2)
 )"""
 
 
 @query("vr_permutation", keys="strategy_id status verdict", ints="n_active_bars",
        nums="actual_sharpe random_sharpe_mean random_sharpe_std random_sharpe_p50 random_sharpe_p95 actual_percentile",
-       sql=with_(BARS, RETS, SIGNALS, STRAT, PERM_SQL) + """
+       sql=with_(BARS, RETS, SIGNALS, STRAT, perm_sql(TRIALS, SEED)) + """
 SELECT p.strategy_id, CASE WHEN n_active > 0 THEN 'ok' ELSE 'error' END AS status, round(actual, 4) AS actual_sharpe,
   round(mean, 4) AS random_sharpe_mean, round(std, 4) AS random_sharpe_std, round(p50, 4) AS random_sharpe_p50,
   round(p95, 4) AS random_sharpe_p95, round(pct, 2) AS actual_percentile, n_active AS n_active_bars,

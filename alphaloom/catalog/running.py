@@ -25,6 +25,7 @@ from .sqltext import (
     BARS, BASKETS, NUMBERED, RETS, SIGNALS, STRAT, W, book_sql, cdf_sql, expected_max, full, metrics_sql,
     moments_sql, sharpe_sql, trail, with_,
 )
+from .chance import perm_sql
 from .validation import CONC, TRIALS, UNDER, _recursive
 
 BASE = with_(BARS, RETS, SIGNALS, STRAT)
@@ -459,8 +460,20 @@ def _(spark, sf):
     return fa.position_concentration(st.basket_positions(st.signal_rows(spark, sf)), by=["strategy_id"])
 
 
+FORK_DSR = f"""fork AS (SELECT strategy_id, round(1 - {cdf_sql('z')}, 4) AS dsr_pvalue FROM (SELECT strategy_id, (sr - shape / sqrt(n - 1) * {EMAX}) * sqrt(n - 1) / shape AS z
+  FROM (SELECT *, sqrt(greatest(1 - skew * sr + (kurt + 2) / 4 * sr * sr, 1e-12)) AS shape FROM moments)))"""
+CHANCE = """chance AS (SELECT strategy_id, CASE WHEN any_value(actual) > quantile_cont(sr, 0.95) THEN 'pass' WHEN any_value(actual) > quantile_cont(sr, 0.5) THEN 'warning' ELSE 'fail' END AS g4
+  FROM trials JOIN prof USING (strategy_id) GROUP BY 1)"""
+
+
 @query("gate_evaluate_fork", keys="strategy_id gate_deflated_sharpe gate_correlation gate_pca_concentration gate_vs_random overall first_failure",
-       nums="dsr_pvalue max_correlation")
+       nums="dsr_pvalue max_correlation",
+       sql=with_(BARS, RETS, SIGNALS, STRAT, BASKETS, book_sql("basket_pos"), CORR, moments_sql(), FORK_DSR, perm_sql(50, 7), CHANCE) + """
+SELECT *, CASE WHEN 'fail' IN (g1, g2, g4) THEN 'fail' WHEN g4 = 'warning' THEN 'warning' ELSE 'pass' END AS overall,
+  CASE WHEN g1 = 'fail' THEN 'deflated_sharpe' WHEN g2 = 'fail' THEN 'correlation' WHEN g4 = 'fail' THEN 'vs_random' END AS first_failure,
+  g1 AS gate_deflated_sharpe, g2 AS gate_correlation, 'pass' AS gate_pca_concentration, g4 AS gate_vs_random
+FROM (SELECT strategy_id, dsr_pvalue, m AS max_correlation, g4, CASE WHEN dsr_pvalue < 0.95 THEN 'pass' ELSE 'fail' END AS g1, CASE WHEN m < 0.1 THEN 'pass' ELSE 'fail' END AS g2
+  FROM fork JOIN (SELECT candidate_id AS strategy_id, max(abs(correlation)) AS m FROM corrs GROUP BY 1) USING (strategy_id) JOIN chance USING (strategy_id))""")
 def _(spark, sf):
     signals = st.signal_rows(spark, sf)
     rows = st.strategy_returns(signals)
@@ -468,7 +481,7 @@ def _(spark, sf):
     dsr = sg.deflated_sharpe_fork(sg.moments(cand, by=["strategy_id"], min_obs=3), TRIALS, annualization=st.WEEKS)
     pca = fa.position_concentration(cand, by=["strategy_id"])
     chance = rz.permutation_test(rows, n=50, seed=7, annualization=st.WEEKS)
-    return gt.evaluate_fork(dsr, gt.max_correlation(cand, surv), pca, chance)
+    return gt.evaluate_fork(dsr, gt.max_correlation(cand, surv), pca, chance, corr_max=0.1)
 
 
 # --- production ---------------------------------------------------------------------------

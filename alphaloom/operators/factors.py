@@ -151,12 +151,19 @@ def position_concentration(positions: DataFrame, *, by: list[str], asset: str =
     NULL for a single asset.
 
     The covariance is a k x k table per thesis from one grouped pass; the
-    eigenvalues of each come from a small numpy call on executors.
+    eigenvalues of each come from a small numpy call on executors.  A thesis of more
+    than MAX_SERIES assets is refused, not cut.
     """
+    too_many = F.raise_error(F.lit(f"more than {MAX_SERIES} assets in one component model"))
     bars = positions.groupBy(*by, ts).agg(
         F.map_from_entries(F.collect_list(F.struct(asset, F.coalesce(position, F.lit(0.0))))).alias("m")
     )
-    names = positions.groupBy(*by).agg(F.array_sort(F.collect_set(asset)).alias("names"))
+    assets = positions.select(*by, asset).distinct()
+    sizes = assets.groupBy(*by).agg(F.count("*").alias("_k"))
+    ok = F.when(F.col("_k") > MAX_SERIES, too_many.cast("boolean")).otherwise(F.lit(True))
+    names = assets.join(sizes.filter(ok), by).groupBy(*by).agg(
+        F.array_sort(F.collect_list(asset)).alias("names")
+    )
     rows = bars.join(names, by).select(
         *by, F.transform("names", lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0))).alias("x")
     )

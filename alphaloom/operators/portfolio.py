@@ -1,22 +1,27 @@
 """Many-asset books: weights from cross sections, returns on gross exposure."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.expr import clip, ratio
 from ..core.panel import Panel
 from ..core.ranks import average_rank, group_quantiles, is_small, tally
+from ..core.scan import numbered
 from ..functions.crosssection import with_group
 from .backtest import BacktestConfig, performance
 
 
-def bar_numbers(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Zero-based number of every distinct bar time.  The table has one row per bar
-    of the calendar, whatever the size of the panel, so one task can number it."""
-    return df.select(ts).distinct().select(
-        ts, (F.row_number().over(Window.orderBy(ts)) - 1).alias("bar")
-    )
+def bar_numbers(panel: Panel) -> DataFrame:
+    """Zero-based number of every distinct bar time: one row per bar of the calendar,
+    numbered in one window where the calendar is known or counted to be short, in
+    segments otherwise."""
+    ts = panel.ts
+    times = panel.df.select(ts).distinct().withColumn("_all", F.lit(1))
+    frame = replace(panel, df=times, keys=("_all",)).frame()
+    return numbered(frame, "bar").core().select(ts, "bar")
 
 
 def portfolio_returns(
@@ -31,7 +36,7 @@ def portfolio_returns(
     whose next bar is missing is still held into it and sold after it.
     """
     ts, lag = panel.ts, config.execution_lag
-    bars = bar_numbers(panel.df, ts)
+    bars = bar_numbers(panel)
     weight = F.coalesce(clip(position, *config.bounds), F.lit(0.0))
     rows = panel.df.join(bars, ts).select(
         *book, asset, "bar", weight.alias("_w"), F.coalesce(F.col(ret), F.lit(0.0)).alias("_r")

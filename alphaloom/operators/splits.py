@@ -18,7 +18,11 @@ from .backtest import BacktestConfig, run_positions
 
 def counted(panel: Panel) -> DataFrame:
     """Rows numbered along time per key (rn, from zero) with the key's count n."""
-    rows = numbered(panel.frame()).core()
+    frame = numbered(panel.frame())
+    if not frame.segmented:  # the count shares the partition of the numbering
+        n = F.count("*").over(Window.partitionBy(*panel.keys))
+        return frame.df.withColumn("n", n)
+    rows = frame.core()
     sizes = panel.df.groupBy(*panel.keys).agg(F.count("*").alias("n"))
     return rows.join(sizes, list(panel.keys))
 
