@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..core.expr import ratio
 from ..core.panel import Panel
-from ..core.ranks import group_quantiles, group_values_at
+from ..core.ranks import group_quantiles, group_values_at, is_small
 from .backtest import performance, with_drawdown
 from .splits import counted
 
@@ -30,21 +30,30 @@ def valid_fills(fills: DataFrame) -> DataFrame:
 
 
 def tca_report(fills: DataFrame, *, small: bool | None = None) -> DataFrame:
-    """Shortfall statistics per symbol and, with symbol NULL, over all fills."""
-    rows = shortfalls(fills)
+    """Shortfall statistics per symbol and, with symbol NULL, over all fills.
+
+    A fill counts for its symbol and for the total, so both come from one pass; only
+    where the groups are too big for an exact percentile state are the quantiles a
+    second, bucketed pass.
+    """
+    groups = F.array(
+        F.struct(F.lit(False).alias("_total"), "symbol"),
+        F.struct(F.lit(True).alias("_total"), F.lit("").alias("symbol")),
+    )
+    rows = shortfalls(fills).select(F.explode(groups).alias("g"), "arrival_bps", "implementation_bps").select(
+        "g.*", "arrival_bps", "implementation_bps"
+    )
+    by = ["_total", "symbol"]
     stats = [
         F.count("*").alias("n_fills"), F.avg("arrival_bps").alias("mean_arrival_bps"),
         F.avg("implementation_bps").alias("mean_implementation_bps"),
     ]
     q = {"median_arrival_bps": 0.5, "p95_arrival_bps": 0.95}
-    per = rows.groupBy("symbol").agg(*stats).join(
-        group_quantiles(rows, ["symbol"], "arrival_bps", q, small=small), "symbol"
-    )
-    whole = rows.withColumn("_all", F.lit(1))
-    total = whole.groupBy("_all").agg(*stats).join(
-        group_quantiles(whole, ["_all"], "arrival_bps", q, small=small), "_all"
-    ).drop("_all")
-    return per.unionByName(total, allowMissingColumns=True)
+    if is_small(rows, by, small):
+        out = rows.groupBy(*by).agg(*stats, *[F.percentile("arrival_bps", F.lit(p)).alias(n) for n, p in q.items()])
+    else:
+        out = rows.groupBy(*by).agg(*stats).join(group_quantiles(rows, by, "arrival_bps", q, small=False), by)
+    return out.withColumn("symbol", F.when(~F.col("_total"), F.col("symbol"))).drop("_total")
 
 
 def calibrated_cost(fills: DataFrame, percentile: float = 0.5, *, small: bool | None = None) -> DataFrame:
