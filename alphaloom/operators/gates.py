@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.expr import correlation
+from ..core.lineage import checkpointed
 from .factors import concentration, series_index
 from .significance import deflated_sharpe, moments
 
@@ -52,6 +53,9 @@ def evaluate(candidates: DataFrame, critic: DataFrame, survivors: DataFrame, *,
     `critic` has (series, critic_passes).  The component gate is computed for
     candidates that pass the cheaper ones only.
     """
+    # every gate reads both tables
+    candidates = checkpointed(candidates.select(series, "ts", "net"))
+    survivors = checkpointed(survivors.select(series, "ts", "net"))
     ids = critic.select(series, "critic_passes")
     dsr = deflated_sharpe(
         moments(candidates, by=[series]), max(n_trials, 1), annualization=annualization

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.expr import correlation, ratio
+from ..core.lineage import checkpointed
 from ..core.panel import Panel
 from ..core.scan import numbered
 from ..functions.base import Feature, add_features, require
@@ -64,7 +65,7 @@ def structural_audit(
     keys, names = list(panel.keys), list(features)
     base = panel.df.columns
     full = panel.with_df(add_features(panel, features))
-    full_rows = numbered(full.frame(), "_rn").core()
+    full_rows = checkpointed(numbered(full.frame(), "_rn").core())
     sizes = panel.df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(
         F.col("_rows") >= probes + horizon + 30
     ).select(*keys)

@@ -60,6 +60,7 @@ def permutation_trials(panel: Panel, *, n: int = 1000, seed: int = 7, position:
         *keys, panel.ts, net, F.col(asset_ret).alias("_asset"), "_prior",
         F.coalesce(F.abs("_prior") > ACTIVE, F.lit(False)).alias("_active"),
     )
+    rows = checkpointed(rows)  # read by the profile, the sizes and the pool
     profile = rows.groupBy(*keys).agg(
         F.count("*").alias("n_bars"),
         F.sum(F.col("_active").cast("bigint")).alias("n_active"),

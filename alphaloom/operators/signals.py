@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.draws import hash_order, spread, uniforms
-from ..core.expr import col, log_ratio, ratio, valid_frame
+from ..core.expr import col, ratio, valid_frame
+from ..core.lineage import checkpointed
 from ..core.panel import Frame, Panel
 from ..core.ranks import group_quantiles
 from ..core.scan import numbered
@@ -271,7 +272,9 @@ def signal_vs_random(panel: Panel, opts: ConsensusOptions = ConsensusOptions(),
         panel = panel.with_df(add_features(panel, {"ivP_pit": pit}).withColumn("ivP", F.col("ivP_pit")).drop("ivP_pit"))
     flags = panel.with_df(consensus(panel, opts))
     rows = forward_panel(flags, horizons).df.withColumn("sign", signal_sign())
-    slim = by_horizon(rows.select(*keys, date, "clsPx", "ivP", "side", "sign", *[f"fwd{h}" for h in horizons]), horizons)
+    # pool, fires, medians and counts all read these rows: run the windows once
+    rows = checkpointed(rows.select(*keys, date, "clsPx", "ivP", "side", "sign", *[f"fwd{h}" for h in horizons]))
+    slim = by_horizon(rows, horizons)
     guard = dict(price_floor=price_floor, max_abs=max_abs)
     pool = eligible(slim, iv_floor=iv_floor, **guard)
     fired = eligible(slim, **guard).filter(F.col("side").isNotNull())
