@@ -3,9 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core.panel import Panel
-from ..functions import timeseries as ts
-from ..functions.base import add_features
 from ..functions.crosssection import with_group
 from ..operators import backtest as bt
 from ..operators import bars as br
@@ -14,7 +11,7 @@ from ..plans import strategies as st
 from ..plans.tables import hourly_ticks, trade_bars
 from .base import query
 from .sqltext import (
-    BARS, BASKETS, HOURLY, N, RETS, SIGNALS, STRAT, W, book_sql, full, metrics_sql, pct_rank, trail, with_,
+    BARS, BASKETS, HOURLY, RETS, SIGNALS, STRAT, book_sql, metrics_sql, pct_rank, with_,
 )
 
 METRICS = " ".join(bt.METRICS)

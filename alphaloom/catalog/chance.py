@@ -12,7 +12,7 @@ from ..functions.base import add_features
 from ..plans.tables import trade_bars
 from .base import query
 from .sqltext import (
-    BARS, RETS, SIGNALS, STRAT, W, draw, full, sharpe_sql, trail, with_,
+    BARS, RETS, SIGNALS, STRAT, W, draw, sharpe_sql, with_,
 )
 
 BASE = with_(BARS, RETS, SIGNALS, STRAT)

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core.panel import Panel
 from ..functions import timeseries as ts
 from ..functions.base import Feature, add_feature_panel
 from ..operators import calendar as cal
@@ -18,12 +17,12 @@ from ..operators import risk as rk
 from ..operators import significance as sg
 from ..operators import splits as sp
 from ..plans import strategies as st
-from ..plans.tables import hourly_ticks, table, trade_bars
+from ..plans.tables import table, trade_bars
 from ..plans.trials import fills, greek_rows, ledger_events
 from .base import query
 from .sqltext import (
     BARS, BASKETS, NUMBERED, RETS, SIGNALS, STRAT, W, book_sql, cdf_sql, expected_max, full, metrics_sql,
-    moments_sql, sharpe_sql, trail, with_,
+    moments_sql, trail, with_,
 )
 from .chance import perm_sql
 from .validation import CONC, TRIALS, UNDER, _recursive
@@ -64,7 +63,7 @@ def audited(spark, sf):
     return lk.correlation_audit(p, list(FEATURES), "ret")
 
 
-@query("feature_pipeline", keys="asset ts", nums="momentum zscore vol range", sql=with_(BARS, RETS, SIGNALS) + f"""
+@query("feature_set", keys="asset ts", nums="momentum zscore vol range", sql=with_(BARS, RETS, SIGNALS) + f"""
 SELECT s.asset, s.ts, mom AS momentum, z AS zscore, vol, r AS range FROM signals s
 JOIN (SELECT asset, ts, {full('avg(x)', 'x', trail(12), 12)} AS r FROM (SELECT *, (high - low) / nullif(close, 0) AS x FROM bars)) q USING (asset, ts)""")
 def _(spark, sf):

@@ -12,11 +12,11 @@ from ..plans.tables import hourly_ticks, table, trade_bars
 from ..sources import files as fs
 from ..streaming import jobs
 from .base import query
-from .chance import CAND, RAW, UNIVERSE, candidates
+from .chance import CAND, RAW, UNIVERSE
 from .running import DIAGNOSIS, FILLS, UNIFIED, bounds, macro_sources
 from ..operators import calendar as cal
 from ..plans.trials import fills
-from .sqltext import BARS, BASKETS, HOURLY, RETS, SIGNALS, STRAT, W, book_sql, sharpe_sql, with_
+from .sqltext import BARS, BASKETS, HOURLY, RETS, SIGNALS, STRAT, book_sql, with_
 
 BASE = with_(BARS, RETS, SIGNALS, STRAT)
 

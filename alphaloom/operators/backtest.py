@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core.expr import clip, col, ratio, sharpe
+from ..core.expr import clip, ratio, sharpe
 from ..core.panel import Frame, Panel
 from ..core.scan import cumulative
 from .bars import cost_bps

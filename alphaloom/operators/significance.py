@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core.expr import bias_corrected_kurtosis, bias_corrected_skew, col, ratio
+from ..core.expr import bias_corrected_kurtosis, bias_corrected_skew, col
 from ..core.normal import expected_max_normal, normal_cdf
 
 MIN_OBS = 30

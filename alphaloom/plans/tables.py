@@ -45,10 +45,6 @@ def trade_bars(spark: SparkSession, folder: str) -> Panel:
     return Panel(bars, keys=("asset",), ts="ts", grain="week")
 
 
-def price_panel(spark: SparkSession, folder: str) -> Panel:
-    return trade_bars(spark, folder).select("close")
-
-
 def industries(spark: SparkSession, folder: str) -> DataFrame:
     """A label per brand: the first part type in the alphabet among its parts."""
     return table(spark, folder, "part").groupBy(F.col("p_brand").alias("asset")).agg(

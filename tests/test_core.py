@@ -1,5 +1,4 @@
 """Frames, scans, ranks and draws: the plans for big groups equal the plain ones."""
-from dataclasses import replace
 from statistics import NormalDist
 
 import numpy as np

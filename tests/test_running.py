@@ -8,7 +8,6 @@ from conftest import collect
 from pyspark.sql import functions as F
 
 from alphaloom.core import Panel
-from alphaloom.core.draws import uniforms
 from alphaloom.operators import calendar as cal
 from alphaloom.operators import gates as gt
 from alphaloom.operators import ledger as lg
