@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import quality, sharding
+from alphaloom.llm import bpe, quality, sharding
 from alphaloom.llm.common import table
 
 N_SHARDS = 16
@@ -21,6 +22,16 @@ def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.encoded(docs, path, public_tokenizers.PATTERN)
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base, best = quality.POLICIES["base-1"], quality.POLICIES["web-2"]
@@ -38,6 +49,7 @@ FROM ({quality.measured_sql()})"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shuffle_shards": op4_shuffle_shards,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_ledger": op9_quality_ledger,
 }
 SQL: dict[str, str] = {"op9_quality_ledger": OP9_SQL}
