@@ -7,12 +7,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, chat, quality, sharding
+from alphaloom.llm import bpe, chat, quality, sharding, toxicity
 from alphaloom.llm.common import table
 
 N_SHARDS = 16
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    weights = toxicity.fit(docs, labels)
+    rows = toxicity.scored(docs, weights)
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shuffled(table(spark, sf_dir, "documents"), N_SHARDS, seed=20240501)
     return rows.select(
@@ -74,6 +83,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_shuffle_shards": op4_shuffle_shards,
     "op5_chat_format": op5_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
