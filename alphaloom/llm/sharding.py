@@ -71,6 +71,10 @@ def shuffled(df: DataFrame, n_shards: int, *, text: str = "text", seed: int = 0,
         F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
         F.sum("n").over(every).alias("total"),
     )
+    # written, so that the planner knows its size and only broadcasts it while it is small
+    offsets = scratch_path(spark, "offsets")
+    starts.write.parquet(offsets)
+    starts = spark.read.parquet(offsets)
     shard, slot = fresh_name(df, "shard"), fresh_name(df, "slot")
     at = F.col("start") + F.col("place")
     big, base = F.col("total") % n_shards, F.floor(F.col("total") / n_shards)
