@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, chat, quality, sharding, toxicity
+from alphaloom.llm import bpe, chat, pii, quality, sharding, toxicity
 from alphaloom.llm.common import table
 
 N_SHARDS = 16
@@ -22,6 +22,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii.detected(docs, pii.fit(docs))
+    base = F.filter("spans", lambda c: c["kind"].isin(*pii.BASE))
+    return rows.select(
+        "doc_id", *[F.col(f"counts.{k}").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shuffled(table(spark, sf_dir, "documents"), N_SHARDS, seed=20240501)
     return rows.select(
@@ -84,6 +94,7 @@ FROM marked GROUP BY conv_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_shuffle_shards": op4_shuffle_shards,
     "op5_chat_format": op5_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
