@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, chat, licenses, pii, quality, sharding, toxicity
+from alphaloom.llm import bpe, chat, decontaminate, licenses, pii, quality, sharding, toxicity
 from alphaloom.llm.common import table
 
 N_SHARDS = 16
@@ -74,6 +74,10 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
@@ -104,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_ledger": op9_quality_ledger,
+    "op10_decontaminate": op10_decontaminate,
 }
-SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op9_quality_ledger": OP9_SQL}
+SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op9_quality_ledger": OP9_SQL, "op10_decontaminate": decontaminate.leaks_sql()}
