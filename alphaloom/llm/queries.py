@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, chat, decontaminate, licenses, pii, quality, sharding, toxicity
+from alphaloom.llm import bpe, chat, decontaminate, licenses, linededup, pii, quality, sharding, toxicity
 from alphaloom.llm.common import table
 
 N_SHARDS = 16
@@ -55,6 +55,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(rows.unionByName(trap)))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "n_lines", "n_removed", "n_chunks",
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -78,6 +85,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP6_SQL = f"""
+SELECT doc_id, sha256(coalesce(new_text, '')) AS text_sha256, coalesce(n_lines, 0) AS n_lines,
+       coalesce(n_removed, 0) AS n_removed, n_chunks
+FROM ({linededup.repeats_sql()})"""
+
 OP9_SQL = f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
@@ -106,8 +118,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_shuffle_shards": op4_shuffle_shards,
     "op5_chat_format": op5_chat_format,
+    "op6_line_dedup": op6_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_ledger": op9_quality_ledger,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL: dict[str, str] = {"op5_chat_format": OP5_SQL, "op9_quality_ledger": OP9_SQL, "op10_decontaminate": decontaminate.leaks_sql()}
+SQL: dict[str, str] = {
+    "op5_chat_format": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op9_quality_ledger": OP9_SQL,
+    "op10_decontaminate": decontaminate.leaks_sql(),
+}
