@@ -63,7 +63,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", threshold: i
     sketch.write.parquet(path)
     sketch = spark.read.parquet(path)
     least = sketch.agg(F.min("bits")).first()[0] or 0
-    probes = docs.select("doc_id", F.explode(hashes(F.col(text))).alias("h")).where(_below(F.col("h"), F.lit(least)))
+    # explode_outer, since the filter that explode implies would hash the texts twice
+    probes = docs.select("doc_id", F.explode_outer(hashes(F.col(text))).alias("h")).where(_below(F.col("h"), F.lit(least)))
     path = scratch_path(spark, "candidates")
     probes.join(sketch.select("item_id", "h"), "h").select("doc_id", "item_id").distinct().write.parquet(path)
     near = spark.read.parquet(path).withColumnsRenamed({"doc_id": "d", "item_id": "i"})

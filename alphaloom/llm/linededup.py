@@ -6,8 +6,7 @@ fingerprints are counted over the corpus. Of chunks that occur more than once th
 are compared byte by byte, by grouping on the text itself; the first occurrence, by
 doc_id, then text digest, then place, stays, and the others are cut out.
 
-Texts are shuffled by their rows once; fingerprints travel without texts, and only texts
-of repeated chunks are compared. A chunk that a third of all documents share is one group
+Fingerprints travel without texts, and only texts of repeated chunks are compared. A chunk that a third of all documents share is one group
 whose first occurrence is a running minimum, so it is combined before the shuffle.
 
 Defined results: only chunks with `MIN_LINES` lines that hold words can go; a repeated
@@ -21,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alphaloom.core.lineage import scratch_path
 from alphaloom.llm.common import WORD, fresh_name, let
 
 MIN_LINES, MAX_LINES = 2, 32  # lines of a chunk; the last of a text may be shorter
@@ -68,36 +68,46 @@ def _counts(lines: Column) -> Column:
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with cut texts, and n_lines, n_removed (lines) and n_chunks (removed) beside it."""
-    rid, order, places, gone = (fresh_name(docs, s) for s in ("rid", "ord", "places", "gone"))
+    spark = docs.sparkSession
+    rid, gone = fresh_name(docs, "rid"), fresh_name(docs, "gone")
     t = F.col(text)
     digest = F.md5(F.coalesce(t, F.lit("")))
-    keyed = docs.withColumn(rid, F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)))
-    cut = F.transform(chunks(t), lambda c, i: F.struct(
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest))
+    narrow = docs.where(t.isNotNull()).select(key.alias("rid"), F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("o"), t.alias("text"))
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """A written table's size is known, so the planner broadcasts it only while it is small."""
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    # explode_outer, since the filter that explode implies would cut the texts into chunks twice
+    cut = F.transform(chunks(F.col("text")), lambda c, i: F.struct(
         i.alias("place"), _counts(c).alias("counts"), F.xxhash64(_joined(c)).alias("print")
     ))
     marks = (
-        keyed.where(t.isNotNull()).select(F.col(rid).alias("rid"), F.explode(F.filter(cut, lambda c: c["counts"])).alias("c"))
-        .select("rid", "c.place", "c.print").distinct()
+        narrow.select("rid", F.explode_outer(F.filter(cut, lambda c: c["counts"])).alias("c"))
+        .where("c IS NOT NULL").select("rid", "c.place", "c.print").distinct()
     )
     repeated = marks.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    suspects = marks.join(repeated, "print").groupBy("rid").agg(F.sort_array(F.collect_list("place")).alias("suspects"))
-    # the one shuffle of the texts: both joins below are on the same key
-    full = (
-        keyed.withColumn(order, F.struct(F.col("doc_id").alias("id"), digest.alias("digest")))
-        .join(suspects.withColumnsRenamed({"rid": "r1", "suspects": places}), F.col(rid) == F.col("r1"), "left").drop("r1")
+    suspects = written(
+        marks.join(repeated, "print").groupBy("rid").agg(F.sort_array(F.collect_list("place")).alias("places")), "suspects"
     )
-    texts = (
-        full.where(F.size(places) > 0)
-        .select(F.col(rid).alias("rid"), F.col(order).alias("o"), let(chunks(t), lambda c: F.transform(
-            F.col(places), lambda p: F.struct(p.alias("place"), _joined(F.get(c, p)).alias("text")))).alias("c"))
-        .select("rid", "o", F.explode("c").alias("c")).select("rid", F.struct("o", "c.place").alias("at"), "c.place", "c.text")
+    wanted = let(chunks(F.col("text")), lambda c: F.transform(
+        "places", lambda p: F.struct(p.alias("place"), _joined(F.get(c, p)).alias("text"))
+    ))
+    texts = written(
+        narrow.join(suspects, "rid").select("rid", "o", F.explode_outer(wanted).alias("c"))
+        .select("rid", F.struct("o", "c.place").alias("at"), "c.place", "c.text"), "texts",
     )
     first = texts.groupBy("text").agg(F.min("at").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    removed = (
-        texts.join(first, "text").where(F.col("at") != F.col("kept"))
-        .groupBy("rid").agg(F.collect_set("place").alias("gone"))
+    removed = written(
+        texts.join(first, "text").where(F.col("at") != F.col("kept")).groupBy("rid").agg(F.collect_set("place").alias("gone")),
+        "removed",
     )
-    done = full.join(removed.withColumnsRenamed({"rid": "r2", "gone": gone}), F.col(rid) == F.col("r2"), "left").drop("r2")
+    done = docs.withColumn(rid, key).join(
+        removed.withColumnsRenamed({"rid": "r2", "gone": gone}), F.col(rid) == F.col("r2"), "left"
+    ).drop("r2")
     none = F.array().cast("array<int>")
 
     def rest(c: Column) -> Column:

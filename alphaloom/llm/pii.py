@@ -207,7 +207,8 @@ def fit(docs: DataFrame, text: str = "text", em_steps: int = 15, train_steps: in
         F.transform(found[k], lambda c: F.struct(F.lit(k).alias("kind"), c["votes"].alias("votes"), c["features"].alias("features")))
         for k in KINDS
     ]))
-    counts = docs.select(F.explode(each).alias("c")).groupBy("c.kind", "c.votes", "c.features").agg(
+    # explode_outer, since the filter that explode implies would search the texts twice
+    counts = docs.select(F.explode_outer(each).alias("c")).where("c IS NOT NULL").groupBy("c.kind", "c.votes", "c.features").agg(
         F.count(F.lit(1)).cast("double").alias("n")
     )
     kinds = counts.groupBy("kind").agg(
