@@ -11,6 +11,7 @@ An empty table gives an empty ledger and no ablation counts.
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,10 @@ from alphaloom.llm.common import WORD, fresh_name, let, words
 
 @dataclass(frozen=True)
 class Rule:
-    """`fails` is a SQL predicate over the measurements; `bit` never changes its meaning."""
+    """`predicate` is SQL over the measurements; `bit` never changes its meaning."""
     bit: int
     name: str
-    fails: str
+    predicate: str
 
 
 @dataclass(frozen=True)
@@ -92,28 +93,36 @@ def repeated_words(w: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input's columns, the measurements and `failures`, one bit per rule."""
-    t, w = F.coalesce(F.col(text), F.lit("")), fresh_name(docs, "words_")
+    t, m = F.coalesce(F.col(text), F.lit("")), fresh_name(docs, "measured")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    full = docs.withColumn(w, words(F.col(text)))
-    measured = {
-        "n_words": F.size(w),
-        "word_chars": F.length(F.array_join(w, "")),
-        "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")),
-        "n_lines": F.size(lines),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": repeated_words(F.col(w)),
-        "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")),
-        "n_upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")),
-        "n_exclamations": F.length(F.regexp_replace(t, r"[^!]+", "")),
-    }
+
+    def measure(w: Column) -> Column:
+        values = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+            "n_repeat_words": repeated_words(w),
+            "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")),
+            "n_upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")),
+            "n_exclamations": F.length(F.regexp_replace(t, r"[^!]+", "")),
+        }
+        return F.struct(*[values[c].cast("bigint").alias(c) for c in MEASUREMENTS])
+
     mine = {c.lower() for c in (*MEASUREMENTS, "failures")} - {text.lower()}
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in mine]
-    full = full.select(*kept, *[measured[c].cast("bigint").alias(c) for c in MEASUREMENTS])
-    bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("bigint") for r in RULES]
-    failures = bits[0]
-    for b in bits[1:]:
-        failures = failures.bitwiseOR(b)
-    return full.withColumn("failures", failures)
+    # bound variables, so that a filter on the bits that is pushed below measures once too
+    full = docs.select(*kept, let(words(F.col(text)), measure).alias(m))
+    failures = failure_bits(m)
+    return full.select(*kept, *[F.col(f"{m}.{c}").alias(c) for c in MEASUREMENTS], failures.alias("failures"))
+
+
+def failure_bits(measured: str) -> Column:
+    """Every rule once, over a column that is a struct of measurements."""
+    bits = " | ".join(f"CASE WHEN {r.predicate} THEN {1 << r.bit}L ELSE 0L END" for r in RULES)
+    bits = re.sub(r"\b(n_[a-z_]+|word_chars)\b", r"m.\1", bits)
+    return F.expr(f"get(transform(array(`{measured}`), m -> {bits}), 0)")
 
 
 def passes(policy: Policy) -> Column:
@@ -152,7 +161,7 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 def measured_sql(source: str = "documents", extra: str = "") -> str:
     """DuckDB SQL for (doc_id, measurements, failures) of a table."""
-    bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+    bits = " + ".join(f"CASE WHEN {r.predicate} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
     return rf"""
 WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id{extra}, coalesce(text, '') AS t,
