@@ -1,7 +1,7 @@
 """License scan: winnowed fingerprints pick candidates, banded alignment reports spans.
 
 Every template is cut into word 3-grams and winnowed: of each four neighbouring hashes the
-least stays. The fingerprints form an inverted index (hash -> template, place), a few
+least stays (short templates keep all). The fingerprints form an inverted index (hash -> template, place), a few
 thousand numbers that travel with the tasks; `MAX_TEMPLATE_WORDS` bounds it. A text's
 3-grams are looked up in it; hits of a template on neighbouring diagonals are one
 candidate, and a local alignment in a band about them counts the template's matched words.
@@ -90,8 +90,8 @@ class Index:
 
 
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Places of the least hash (the rightmost of equals) of each window; all of a short list's least."""
-    if len(hashes) <= window:
+    """Places of the least hash (the rightmost of equals) of each window; a short template keeps all."""
+    if len(hashes) < 4 * window:
         return list(range(len(hashes)))
     picks = {}
     for i in range(len(hashes) - window + 1):
