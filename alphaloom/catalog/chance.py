@@ -259,7 +259,7 @@ UNIVERSE = f"""universe AS (
   WHERE rows_ >= {L // 2}
   WINDOW h AS (PARTITION BY ticker ORDER BY tradeDate ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)
 )"""
-hi, lo = op.OPTS.hi, op.OPTS.lo
+lo, hi = op.OPTS.zones
 FLAGS = f"""corners AS (
   SELECT *, coalesce(putP <= {lo} AND callP >= {hi}, false) AS a1, coalesce(putP >= {hi} AND callP <= {lo}, false) AS b1,
     coalesce(ivP >= {hi} AND rrP >= {hi}, false) AS a2, coalesce(ivP >= {hi} AND rrP <= {lo}, false) AS b2,

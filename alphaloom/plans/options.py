@@ -16,7 +16,7 @@ from .tables import table, trade_bars
 
 LOOKBACK = 52
 # looser corners than the defaults: the derived series are noisier than option data
-OPTS = ConsensusOptions(hi=60.0, lo=40.0)
+OPTS = ConsensusOptions(zones=(40.0, 60.0))
 
 
 def vendor_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -127,7 +127,7 @@ def test_consensus_by_hand(spark):
     assert list(out.side[3:5]) == ["BULL", "BULL"] and out.side[5:].isna().all()
     fires = sgl.consensus_fires(sgl.consensus(p), ["ticker", "tradeDate"]).toPandas()
     assert (fires.sign == -1).all() and (fires.direction == "CONSENSUS SHORT").all()
-    none = sgl.consensus(p, sgl.ConsensusOptions(allow_bull=False)).filter("side is not null").count()
+    none = sgl.consensus(p, sgl.ConsensusOptions(sides=("BEAR",))).filter("side is not null").count()
     assert none == 0
     with pytest.raises(ValueError):
         sgl.consensus(p.with_df(p.df.drop("sigma")))
