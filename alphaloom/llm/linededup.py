@@ -6,7 +6,8 @@ fingerprints are counted over the corpus. Of chunks that occur more than once th
 are compared byte by byte, by grouping on the text itself; the first occurrence, by
 doc_id, then text digest, then place, stays, and the others are cut out.
 
-Fingerprints travel without texts, and only texts of repeated chunks are compared. A chunk that a third of all documents share is one group
+The two joins of the texts by row are merge joins at every size, so that the plan and its
+disk use stay in proportion to the input. Fingerprints travel without texts, and only texts of repeated chunks are compared. A chunk that a third of all documents share is one group
 whose first occurrence is a running minimum, so it is combined before the shuffle.
 
 Defined results: only chunks with `MIN_LINES` lines that hold words can go; a repeated
@@ -97,16 +98,18 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         "places", lambda p: F.struct(p.alias("place"), _joined(F.get(c, p)).alias("text"))
     ))
     texts = written(
-        narrow.join(suspects, "rid").select("rid", "o", F.explode_outer(wanted).alias("c"))
+        narrow.join(suspects.hint("merge"), "rid").select("rid", "o", F.explode_outer(wanted).alias("c"))
         .select("rid", F.struct("o", "c.place").alias("at"), "c.place", "c.text"), "texts",
     )
-    first = texts.groupBy("text").agg(F.min("at").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = written(
+        texts.groupBy("text").agg(F.min("at").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first"
+    )
     removed = written(
         texts.join(first, "text").where(F.col("at") != F.col("kept")).groupBy("rid").agg(F.collect_set("place").alias("gone")),
         "removed",
     )
     done = docs.withColumn(rid, key).join(
-        removed.withColumnsRenamed({"rid": "r2", "gone": gone}), F.col(rid) == F.col("r2"), "left"
+        removed.withColumnsRenamed({"rid": "r2", "gone": gone}).hint("merge"), F.col(rid) == F.col("r2"), "left"
     ).drop("r2")
     none = F.array().cast("array<int>")
 
