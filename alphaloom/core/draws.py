@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expr import col
+from .expr import col, join_groups
 
 HEX_DIGITS = 10
 
@@ -49,8 +49,7 @@ def hash_order(
     )
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_digest")) - 1
     return (
-        df.withColumn("_in", inside)
-        .join(sizes, [*by, "_bucket"])
+        join_groups(df.withColumn("_in", inside), sizes, [*by, "_bucket"])
         .withColumn(name, (F.col("_below") + F.col("_in")).cast("bigint"))
         .drop("_digest", "_bucket", "_below", "_in")
     )

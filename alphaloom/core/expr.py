@@ -15,10 +15,13 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group; only one number reaches the driver."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL, as grouping has it; the left keys stay."""
+    names = {k: f"_of_{k}" for k in keys}
+    on = F.lit(True)
+    for k, other in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(other))
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
 def ratio(num: str | Column, den: str | Column) -> Column:

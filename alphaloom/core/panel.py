@@ -6,19 +6,17 @@ partition: they ask a `Frame` for lags and row frames, so the same feature runs
 per asset, per (fold, asset) or per (probe, asset), and on slices of one asset's
 history when that history is too long for one task.
 
-How a frame is partitioned depends on the size of the longest history:
+How a frame is partitioned depends on what is known of the panel, never on its size:
 
 * A panel of calendar bars (`grain` = week, day, ...) cannot hold more rows per
   key than the calendar has bars, whatever the volume of raw data behind it;
   its windows are partitioned by key.
-* Without a grain the rows per key are counted first (a pre-aggregated count, one
-  number back); up to SEGMENT_ROWS the windows are partitioned by key as well.
-* Beyond that, the history of every key is cut into segments of about
-  SEGMENT_ROWS rows.  Cut points come from a (key, calendar block) count, a
-  small pre-aggregated table.  Every segment also receives the neighbouring
-  blocks that its look-back and look-ahead rows can reach, so each window result
-  on a core row is exact; halo rows are dropped at the end.  A key that holds a
-  third of all rows becomes many tasks, at the price of one shuffle.
+* Without a grain the history of every key is cut into segments of about
+  SEGMENT_ROWS rows; a short history is one segment.  Cut points come from a (key,
+  calendar block) count, a small pre-aggregated table.  Every segment also receives
+  the neighbouring blocks that its look-back and look-ahead rows can reach, so each
+  window result on a core row is exact; halo rows are dropped at the end.  A key that
+  holds a third of all rows becomes many tasks.  NULL keys and times are kept.
 """
 from __future__ import annotations
 
@@ -27,7 +25,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .expr import col, largest_group
+from .expr import col, join_groups
 
 SEGMENT_ROWS = 2_000_000
 
@@ -83,13 +81,8 @@ class Panel:
 
     @property
     def bounded(self) -> bool:
-        """No key holds more than `segment_rows` rows: by its calendar, or counted."""
-        if self.grain in GRAIN_ROWS:
-            return GRAIN_ROWS[self.grain] <= self.segment_rows
-        if "_fits" not in self.__dict__:
-            fits = largest_group(self.df, list(self.keys)) <= self.segment_rows
-            object.__setattr__(self, "_fits", fits)
-        return self.__dict__["_fits"]
+        """No key can hold more than `segment_rows` rows, by its calendar."""
+        return self.grain in GRAIN_ROWS and GRAIN_ROWS[self.grain] <= self.segment_rows
 
     def with_df(self, df: DataFrame, *, keys: tuple[str, ...] | None = None) -> "Panel":
         return replace(self, df=df, keys=self.keys if keys is None else tuple(keys))
@@ -130,7 +123,7 @@ def _segment(panel: Panel, back: int, ahead: int) -> DataFrame:
     blocks = blocks.select(
         *keys, "_block", "_home", F.sequence(first, last).alias("_segs")
     )
-    placed = panel.df.withColumn("_block", block).join(blocks, keys + ["_block"])
+    placed = join_groups(panel.df.withColumn("_block", block), blocks, keys + ["_block"])
     return (
         placed.withColumn("_seg", F.explode("_segs"))
         .withColumn("_core", F.col("_seg") == F.col("_home"))

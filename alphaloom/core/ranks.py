@@ -1,100 +1,59 @@
-"""Exact ranks and quantiles inside groups of any size.
+"""Exact ranks and quantiles inside groups of any size, by one plan.
 
-A plain rank window or an exact percentile sends a whole group to one task, which
-is the cheapest plan while the largest group is known to be small.  The size is
-counted first (a pre-aggregated count, one number back); beyond GROUP_LIMIT rows
-the positions come from buckets instead: equal values collapse map-side, the
-distinct values of a group are spread over value buckets cut at approximate
-quantiles, and each bucket is ranked by itself.  Adding the counts of the lower
-buckets makes the position exact whatever the cut points are.
+A rank window or an exact percentile over a group would send it to one task.  Instead equal
+values collapse map-side, the distinct values of a group are spread over value buckets cut
+at approximate quantiles, as many as its rows call for, and each bucket is ranked by itself.
+Adding the counts of the lower buckets makes the position exact whatever the cut points are.
+NULL keys form a group like any other, and values keep their own type.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expr import col, largest_group
+from .expr import col, join_groups
 
-BUCKETS = 64
-GROUP_LIMIT = 1_000_000
+CUTS = 256  # cut points kept per group; a group uses a share of them
+BUCKET_ROWS = 50_000  # rows that call for one more bucket
 
 
-def is_small(df: DataFrame, keys: list[str], small: bool | None = None) -> bool:
-    """A promise if given, else a count of the largest group."""
-    return largest_group(df, keys) <= GROUP_LIMIT if small is None else small
-
-
-def _positions(df: DataFrame, keys: list[str], value: Column, buckets: int) -> DataFrame:
-    """One row per (keys, distinct non-NULL value): _v, _eq, _lt, _n."""
-    tally_ = (
-        df.select(*keys, value.cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_eq"))
+def _positions(df: DataFrame, keys: list[str], value: Column, bucket_rows: int) -> DataFrame:
+    """One row per (keys, distinct value): _v, _eq, _lt, _n; a group's NULL values are one
+    row with _v NULL, so that no group is lost."""
+    counted = df.select(*keys, value.alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_eq"))
+    weight = F.when(F.col("_v").isNotNull(), F.col("_eq")).otherwise(0)
+    cuts = [i / CUTS for i in range(1, CUTS)]
+    edges = counted.groupBy(*keys).agg(
+        F.percentile_approx(F.col("_v").cast("double"), cuts, 16 * CUTS).alias("_cuts"), F.sum(weight).alias("_n"),
     )
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = tally_.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, 16 * buckets).alias("_edges"),
-        F.sum("_eq").alias("_n"),
+    wanted = F.least(F.lit(CUTS), F.ceil(F.col("_n") / bucket_rows))
+    stride = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / F.greatest(wanted, F.lit(1))))
+    edges = edges.withColumn("_stride", stride).select(
+        *keys, "_n", F.filter("_cuts", lambda e, i: (i + 1) % F.col("_stride") == 0).alias("_edges")
     )
-    spread = tally_.join(edges, keys).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    ).drop("_edges")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    local = spread.withColumn("_in", F.sum("_eq").over(inside) - F.col("_eq"))
+    spread = join_groups(counted, edges, keys).withColumn(
+        "_b", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("_v").cast("double"))), F.lit(0))
+    ).drop("_edges").withColumn("_w", weight)
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    local = spread.withColumn("_in", F.sum("_w").over(inside) - F.col("_w"))
     lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    below = spread.groupBy(*keys, "_b").agg(F.sum("_eq").alias("_c")).select(
+    below = spread.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c")).select(
         *keys, "_b", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_below")
     )
-    return local.join(below, keys + ["_b"]).select(
+    return join_groups(local, below, [*keys, "_b"]).select(
         *keys, "_v", "_eq", (F.col("_below") + F.col("_in")).alias("_lt"), "_n"
     )
 
 
-def tally(
-    df: DataFrame,
-    keys: list[str],
-    value: str | Column,
-    prefix: str = "",
-    *,
-    small: bool | None = None,
-    buckets: int = BUCKETS,
-) -> DataFrame:
+def tally(df: DataFrame, keys: list[str], value: str | Column, prefix: str = "", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add `{prefix}lt`, `{prefix}eq`, `{prefix}n`: smaller, equal and all
-    non-NULL values of the row's group.  NULL for NULL input.
-
-    `small=True` promises groups of at most GROUP_LIMIT rows, `False` forces the
-    bucketed plan, None counts first.
-    """
+    non-NULL values of the row's group.  NULL for NULL input."""
     keys = list(keys)
-    if is_small(df, keys, small):
-        v = col(value)
-        group = Window.partitionBy(*keys)
-        made = {
-            "lt": F.rank().over(group.orderBy(v.asc_nulls_last())) - 1,
-            "eq": F.count("*").over(Window.partitionBy(*keys, v)),
-            "n": F.count(v).over(group),
-        }
-        return df.withColumns(
-            {prefix + k: F.when(v.isNotNull(), c.cast("bigint")) for k, c in made.items()}
-        )
-    pos = _positions(df, keys, col(value), buckets).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        "_v",
-        F.col("_lt").alias(f"{prefix}lt"),
-        F.col("_eq").alias(f"{prefix}eq"),
+    pos = _positions(df, keys, col(value), bucket_rows).filter(F.col("_v").isNotNull()).select(
+        *keys, F.col("_v").alias("_val"), F.col("_lt").alias(f"{prefix}lt"), F.col("_eq").alias(f"{prefix}eq"),
         F.col("_n").alias(f"{prefix}n"),
     )
-    on = F.col("_val") == F.col("_v")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_k_{k}"))
-    return (
-        df.withColumn("_val", col(value).cast("double"))
-        .join(pos, on, "left")
-        .drop("_val", "_v", *[f"_k_{k}" for k in keys])
-    )
+    return join_groups(df.withColumn("_val", col(value)), pos, [*keys, "_val"], "left").drop("_val")
 
 
 def average_rank(prefix: str = "", pct: bool = True) -> Column:
@@ -104,42 +63,28 @@ def average_rank(prefix: str = "", pct: bool = True) -> Column:
 
 
 def group_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str | Column,
-    probs: dict[str, float],
-    *,
-    small: bool | None = None,
-    buckets: int = BUCKETS,
+    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], *, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group."""
     keys = list(keys)
-    if is_small(df, keys, small):
-        v = col(value).cast("double")
-        return df.groupBy(*keys).agg(
-            *[F.percentile(v, F.lit(float(p))).alias(n) for n, p in probs.items()]
-        )
-    src = df if keys else df.withColumn("_all", F.lit(1))
-    by = keys or ["_all"]
-    pos = _positions(src, by, col(value), buckets)
+    src = df if keys else df.withColumn("_all_", F.lit(1))
+    pos = _positions(src, keys or ["_all_"], col(value), bucket_rows)
+    x = F.col("_v").cast("double")
     outs = []
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
-        at = lambda k: F.when(
-            (F.col("_lt") <= k) & (k < F.col("_lt") + F.col("_eq")), F.col("_v")
-        )
+        at = lambda k: F.when((F.col("_lt") <= k) & (k < F.col("_lt") + F.col("_eq")), x)
         lo, hi = F.max(at(F.floor(h))), F.max(at(F.ceil(h)))
         frac = F.max(h - F.floor(h))
         outs.append((lo + (hi - lo) * frac).alias(name))
-    out = pos.groupBy(*by).agg(*outs)
-    return out if keys else out.drop("_all")
+    return pos.groupBy(*keys).agg(*outs)
 
 
 def group_values_at(
-    df: DataFrame, keys: list[str], value: str | Column, at: dict, buckets: int = BUCKETS
+    df: DataFrame, keys: list[str], value: str | Column, at: dict, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Sorted values at positions per group: `{name: function of the count column}`."""
-    pos = _positions(df, list(keys), col(value), buckets)
+    pos = _positions(df, list(keys), col(value), bucket_rows)
     outs = [
         F.max(
             F.when((F.col("_lt") <= k(F.col("_n"))) & (k(F.col("_n")) < F.col("_lt") + F.col("_eq")), F.col("_v"))

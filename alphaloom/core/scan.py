@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from .expr import col
+from .expr import col, join_groups
 from .lineage import checkpointed
 from .panel import Frame
 
@@ -62,7 +62,7 @@ def cumulative(frame: Frame, outs: dict[str, tuple[str, str | Column]]) -> Frame
             for n, (k, _) in outs.items()
         ],
     )
-    df = df.join(prefix, list(frame.part))
+    df = join_groups(df, prefix, list(frame.part))
     df = df.withColumns(
         {
             n: _combine(k, F.col(f"_p_{n}"), F.col(f"_l_{n}"))

@@ -6,7 +6,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core.expr import col, ratio
+from ..core.expr import col, join_groups, ratio
 from ..core.panel import Panel
 from ..core.ranks import group_quantiles
 
@@ -26,12 +26,8 @@ def infer_interval(panel: Panel, name: str = "interval") -> DataFrame:
         frame.df.withColumn("_gap", secs(ts) - secs(frame.lag(panel.ts, 1)))
     ).select(*panel.keys, "_gap")
     keys = list(panel.keys)
-    stats = spaced.groupBy(*keys).agg(F.count("*").alias("n_bars")).join(
-        group_quantiles(spaced, keys, "_gap", {"median_seconds": 0.5},
-                        small=True if panel.bounded else None),
-        keys,
-        "left",
-    )
+    counts = spaced.groupBy(*keys).agg(F.count("*").alias("n_bars"))
+    stats = join_groups(counts, group_quantiles(spaced, keys, "_gap", {"median_seconds": 0.5}), keys, "left")
     label = F.lit("1d")
     for bar, s in BAR_SECONDS.items():
         near = (F.col("median_seconds") >= 0.8 * s) & (F.col("median_seconds") <= 1.2 * s)

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core.expr import bias_corrected_kurtosis, bias_corrected_skew, full_frame, ratio, sharpe
+from ..core.expr import bias_corrected_kurtosis, bias_corrected_skew, full_frame, join_groups, ratio, sharpe
 from ..core.panel import Panel
 from ..core.ranks import group_quantiles
 from ..core.scan import cumulative
@@ -130,15 +130,13 @@ def volatility_regimes(panel: Panel, *, window: int = 21, net: str = "net", annu
     frame = observed(panel, net).frame(back=window - 1)
     vol = full_frame(F.stddev_samp(net), net, frame.rows(1 - window, 0), window)
     rows = frame.core(frame.df.withColumn("_vol", vol)).filter("_vol IS NOT NULL")
-    cuts = group_quantiles(rows, keys, "_vol", {"_q1": 1 / 3, "_q2": 2 / 3},
-                           small=True if panel.bounded else None)
+    cuts = group_quantiles(rows, keys, "_vol", {"_q1": 1 / 3, "_q2": 2 / 3})
     enough = panel.df.groupBy(*keys).agg(F.count(net).alias("_n")).filter("_n >= 30").select(*keys)
     label = F.when(F.col("_vol") <= F.col("_q1"), "low_vol").when(
         F.col("_vol") <= F.col("_q2"), "mid_vol").otherwise("high_vol")
     x = F.col(net)
     return (
-        rows.join(cuts, keys)
-        .join(enough, keys)
+        join_groups(join_groups(rows, cuts, keys), enough, keys)
         .groupBy(*keys, label.alias("regime"))
         .agg(
             F.avg(x).alias("mean"),

@@ -6,9 +6,9 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.expr import clip, ratio
+from ..core.expr import clip, join_groups, ratio
 from ..core.panel import Panel
-from ..core.ranks import average_rank, group_quantiles, is_small, tally
+from ..core.ranks import average_rank, group_quantiles, tally
 from ..core.scan import numbered
 from ..functions.crosssection import with_group
 from .backtest import BacktestConfig, performance
@@ -93,7 +93,6 @@ def portfolio_performance(
 def long_short_quantile(
     df: DataFrame, signal: str, *, by: tuple[str, ...] = ("ts",), long_quantile: float = 0.8,
     short_quantile: float = 0.2, weight: str = "equal", name: str = "position",
-    small: bool | None = None,
 ) -> DataFrame:
     """Weights from ranks within the bar.
 
@@ -105,8 +104,7 @@ def long_short_quantile(
     if weight not in ("equal", "signal"):
         raise ValueError(f"unknown weight scheme {weight!r}")
     by = list(by)
-    small = is_small(df, by, small)
-    ranked = tally(df, by, signal, prefix="_q_", small=small)
+    ranked = tally(df, by, signal, prefix="_q_")
     pct = average_rank("_q_")
     is_long = F.coalesce(pct >= long_quantile, F.lit(False))
     is_short = F.coalesce(pct <= short_quantile, F.lit(False))
@@ -115,20 +113,12 @@ def long_short_quantile(
         ranked = ranked.withColumn("_c", F.lit(1.0))
         share = 1.0
     else:
-        if small:
-            ranked = ranked.withColumn(
-                "_med", F.percentile(signal, F.lit(0.5)).over(Window.partitionBy(*by))
-            )
-        else:
-            ranked = ranked.join(group_quantiles(df, by, signal, {"_med": 0.5}, small=False), by, "left")
+        ranked = join_groups(ranked, group_quantiles(df, by, signal, {"_med": 0.5}), by, "left")
         ranked = ranked.withColumn("_c", F.col(signal) - F.col("_med"))
         share = 0.5
     side = lambda flag: F.when(F.col(flag), F.abs("_c"))
     totals = {"_gl": F.sum(side("_long")), "_gs": F.sum(side("_short"))}
-    if small:  # the ranks already brought each bar together
-        sized = ranked.withColumns({n: c.over(Window.partitionBy(*by)) for n, c in totals.items()})
-    else:
-        sized = with_group(ranked, by, totals)
+    sized = with_group(ranked, by, totals)
     up = F.when(F.col("_long"), F.coalesce(ratio("_c", "_gl"), F.lit(0.0))).otherwise(0.0)
     short_c = F.col("_c") if weight == "signal" else -F.col("_c")
     down = F.when(F.col("_short"), F.coalesce(ratio(short_c, "_gs"), F.lit(0.0))).otherwise(0.0)
@@ -139,10 +129,10 @@ def long_short_quantile(
 
 def vol_scaled(
     df: DataFrame, signal: str, vol: str, *, by: tuple[str, ...] = ("ts",), high: float = 0.8,
-    low: float = 0.2, cap: float = 20.0, name: str = "position", small: bool | None = None,
+    low: float = 0.2, cap: float = 20.0, name: str = "position",
 ) -> DataFrame:
     """+-1 at the rank extremes of the bar, scaled by the inverse volatility up to a cap."""
-    ranked = tally(df, list(by), signal, prefix="_q_", small=small)
+    ranked = tally(df, list(by), signal, prefix="_q_")
     pct = average_rank("_q_")
     side = F.when(pct >= high, 1.0).when(pct <= low, -1.0).otherwise(0.0)
     scale: Column = F.least(ratio(F.lit(1.0), vol), F.lit(cap))

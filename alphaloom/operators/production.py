@@ -6,9 +6,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core.expr import ratio
+from ..core.expr import join_groups, ratio
 from ..core.panel import Panel
-from ..core.ranks import group_quantiles, group_values_at, is_small
+from ..core.ranks import group_quantiles, group_values_at
 from .backtest import performance, with_drawdown
 from .splits import counted
 
@@ -29,12 +29,10 @@ def valid_fills(fills: DataFrame) -> DataFrame:
     return fills.filter(F.col("side").isin(-1, 1) & (F.col("quantity") >= 0) & (price > 0))
 
 
-def tca_report(fills: DataFrame, *, small: bool | None = None) -> DataFrame:
+def tca_report(fills: DataFrame) -> DataFrame:
     """Shortfall statistics per symbol and, with symbol NULL, over all fills.
 
-    A fill counts for its symbol and for the total, so both come from one pass; only
-    where the groups are too big for an exact percentile state are the quantiles a
-    second, bucketed pass.
+    A fill counts for its symbol and for the total.
     """
     groups = F.array(
         F.struct(F.lit(False).alias("_total"), "symbol"),
@@ -49,21 +47,18 @@ def tca_report(fills: DataFrame, *, small: bool | None = None) -> DataFrame:
         F.avg("implementation_bps").alias("mean_implementation_bps"),
     ]
     q = {"median_arrival_bps": 0.5, "p95_arrival_bps": 0.95}
-    if is_small(rows, by, small):
-        out = rows.groupBy(*by).agg(*stats, *[F.percentile("arrival_bps", F.lit(p)).alias(n) for n, p in q.items()])
-    else:
-        out = rows.groupBy(*by).agg(*stats).join(group_quantiles(rows, by, "arrival_bps", q, small=False), by)
+    out = join_groups(rows.groupBy(*by).agg(*stats), group_quantiles(rows, by, "arrival_bps", q), by)
     return out.withColumn("symbol", F.when(~F.col("_total"), F.col("symbol"))).drop("_total")
 
 
-def calibrated_cost(fills: DataFrame, percentile: float = 0.5, *, small: bool | None = None) -> DataFrame:
+def calibrated_cost(fills: DataFrame, percentile: float = 0.5) -> DataFrame:
     """One cost in basis points: the median or 95% shortfall of all fills, any other
     percentile from the symbols' mean shortfalls."""
     rows = shortfalls(fills)
     if percentile in (0.5, 0.95):
-        return group_quantiles(rows, [], "arrival_bps", {"cost_bps": percentile}, small=small)
+        return group_quantiles(rows, [], "arrival_bps", {"cost_bps": percentile})
     means = rows.groupBy("symbol").agg(F.avg("arrival_bps").alias("m"))
-    return group_quantiles(means, [], "m", {"cost_bps": percentile}, small=small)
+    return group_quantiles(means, [], "m", {"cost_bps": percentile})
 
 
 def slippage_coefficient(fills: DataFrame, adv: DataFrame | None = None) -> DataFrame:
@@ -94,10 +89,15 @@ def live_diagnose(baseline: Panel, live: Panel, *, window: int = 60, net: str =
     recent = live.with_df(last_rows(live.with_df(live.df.filter(F.col(net).isNotNull())), window))
     want = {"sharpe_ratio": "sharpe", "hit_rate": "hit_rate", "max_drawdown": "max_drawdown"}
     part = lambda p, pre: performance(p, net=net, annualization=annualization).select(
-        *keys, *[F.col(m).alias(f"{pre}_{n}") for m, n in want.items()]
+        *keys, *([F.lit(True).alias("_based")] if pre == "baseline" else []), *[F.col(m).alias(f"{pre}_{n}") for m, n in want.items()]
     )
     counts = recent.df.groupBy(*keys).agg(F.count("*").alias("n_live_observations"))
-    j = counts.join(part(recent, "live"), keys).join(part(baseline, "baseline"), keys)
+    # every live strategy is reported, also one without a return or a baseline
+    every = live.df.select(*keys).distinct()
+    j = every
+    for side in (counts, part(recent, "live"), part(baseline, "baseline")):
+        j = join_groups(j, side, keys, "left")
+    j = j.withColumn("n_live_observations", F.coalesce("n_live_observations", F.lit(0))).withColumn("_based", F.col("_based").isNotNull())
     drop = F.coalesce(ratio("live_sharpe", "baseline_sharpe"), F.when(F.col("live_sharpe") <= 0, 0.0).otherwise(1.0))
     drift = F.col("live_hit_rate") - F.col("baseline_hit_rate")
     flags = F.array_compact(
@@ -106,7 +106,7 @@ def live_diagnose(baseline: Panel, live: Panel, *, window: int = 60, net: str =
             F.when(F.col("live_max_drawdown") < F.col("baseline_max_drawdown") * 1.5, "drawdown_breach"),
         )
     )
-    enough = F.col("n_live_observations") >= least
+    enough = (F.col("n_live_observations") >= least) & F.col("_based")
     out = j.withColumns({"sharpe_ratio_drop": drop, "flags": F.concat_ws(",", flags)})
     status = F.when(~enough, "insufficient_data").when(F.col("flags") == "", "ok").otherwise("degraded")
     measured = ["flags", "live_sharpe", "baseline_sharpe", "sharpe_ratio_drop", "live_hit_rate",
@@ -191,6 +191,6 @@ def metrics_rollup(df: DataFrame, *, by: list[str], value: str = "value", order:
             "p95": lambda n: F.least(n - 1, F.floor(n * 0.95)),
         },
     )
-    return base.join(cuts, by)
+    return join_groups(base, cuts, by)
 
 

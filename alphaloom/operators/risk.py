@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core.expr import bias_corrected_kurtosis, bias_corrected_skew, ratio
+from ..core.expr import bias_corrected_kurtosis, bias_corrected_skew, join_groups, ratio
 from ..core.panel import Panel
 from ..core.ranks import group_quantiles
 from ..functions.crosssection import with_group
@@ -14,12 +14,12 @@ from .relational import within_event_window
 GREEKS = ("delta", "gamma", "vega", "theta")
 
 
-def position_stats(df: DataFrame, *, by: list[str], position: str = "position", small: bool | None = None) -> DataFrame:
+def position_stats(df: DataFrame, *, by: list[str], position: str = "position") -> DataFrame:
     """Mean and max size, share of bars at or above the 99% size, largest over total."""
     rows = df.filter(F.col(position).isNotNull()).withColumn("_a", F.abs(position))
-    cut = group_quantiles(rows, by, "_a", {"_p99": 0.99}, small=small)
+    cut = group_quantiles(rows, by, "_a", {"_p99": 0.99})
     total = F.sum("_a")
-    return rows.join(cut, by).groupBy(*by).agg(
+    return join_groups(rows, cut, by).groupBy(*by).agg(
         F.avg("_a").alias("mean_abs_position"),
         F.max("_a").alias("max_abs_position"),
         F.avg((F.col("_a") >= F.col("_p99")).cast("double")).alias("fraction_at_max"),

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..core.expr import col, ratio
+from ..core.expr import col, join_groups, ratio
 from ..core.panel import Panel
 from ..core.scan import numbered
 from .backtest import BacktestConfig, run_positions
@@ -24,7 +24,7 @@ def counted(panel: Panel) -> DataFrame:
         return frame.df.withColumn("n", n)
     rows = frame.core()
     sizes = panel.df.groupBy(*panel.keys).agg(F.count("*").alias("n"))
-    return rows.join(sizes, list(panel.keys))
+    return join_groups(rows, sizes, list(panel.keys))
 
 
 def _n_folds(n: Column, train: int, test: int, purge: int) -> Column:

@@ -97,11 +97,10 @@ def test_portfolio_matches_a_dense_matrix(spark):
     np.testing.assert_allclose(got.turnover, turn, atol=1e-12)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_long_short_is_neutral(spark, panel, small):
+def test_long_short_is_neutral(spark, panel):
     df = panel.df.withColumn("sig", F.sin("close"))
     for w, gross in (("equal", 2.0), ("signal", 1.0)):
-        out = pf.long_short_quantile(df, "sig", long_quantile=0.6, short_quantile=0.4, weight=w, small=small)
+        out = pf.long_short_quantile(df, "sig", long_quantile=0.6, short_quantile=0.4, weight=w)
         bar = out.groupBy("ts").agg(F.sum("position").alias("net"), F.sum(F.abs("position")).alias("g")).toPandas()
         if w == "equal":
             assert bar.net.abs().max() < 1e-12

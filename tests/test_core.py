@@ -48,10 +48,10 @@ def test_segments_split_the_hot_key(spark):
     assert len(sizes[sizes.asset == "A00"]) > 5
 
 
-def test_unbounded_panel_is_counted_first(spark):
+def test_only_the_calendar_bounds_a_panel(spark):
     df = hot(spark)
-    assert Panel(df, segment_rows=10_000).bounded
-    assert not Panel(df, segment_rows=10).bounded
+    assert Panel(df, grain="day").bounded
+    assert not Panel(df).bounded and not Panel(df, grain="hour", segment_rows=10).bounded
 
 
 def test_running_values_across_segments(spark):
@@ -96,27 +96,27 @@ def ranked_frame(spark):
     return f, spark.createDataFrame(f).withColumn("x", F.nanvl("x", F.lit(None)))
 
 
-@pytest.mark.parametrize("small", [True, False, None])
-def test_rank_matches_pandas(spark, small):
+@pytest.mark.parametrize("rows", [5, 100, 1_000_000])
+def test_rank_matches_pandas(spark, rows):
     f, df = ranked_frame(spark)
-    out = collect(tally(df, ["g"], "x", small=small, buckets=8).withColumn("r", average_rank()), "id")
+    out = collect(tally(df, ["g"], "x", bucket_rows=rows).withColumn("r", average_rank()), "id")
     np.testing.assert_allclose(out.r.to_numpy(float), f.groupby("g").x.rank(pct=True).to_numpy(), rtol=1e-12)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_quantiles_match_numpy(spark, small):
+@pytest.mark.parametrize("rows", [5, 1_000_000])
+def test_quantiles_match_numpy(spark, rows):
     f, df = ranked_frame(spark)
     probs = {"q10": 0.1, "q50": 0.5, "q99": 0.99, "q0": 0.0, "q100": 1.0}
-    out = group_quantiles(df, ["g"], "x", probs, small=small, buckets=8).toPandas().set_index("g")
+    out = group_quantiles(df, ["g"], "x", probs, bucket_rows=rows).toPandas().set_index("g")
     for n, p in probs.items():
         np.testing.assert_allclose(out[n], f.groupby("g").x.quantile(p).reindex(out.index), rtol=1e-12)
-    whole = group_quantiles(df, [], "x", {"m": 0.5}, small=small, buckets=8).first()["m"]
+    whole = group_quantiles(df, [], "x", {"m": 0.5}, bucket_rows=rows).first()["m"]
     assert whole == pytest.approx(f.x.median())
 
 
 def test_values_at_positions(spark):
     f, df = ranked_frame(spark)
-    out = group_values_at(df, ["g"], "x", {"p95": lambda n: F.floor(n * 0.95)}, buckets=8).toPandas().set_index("g")
+    out = group_values_at(df, ["g"], "x", {"p95": lambda n: F.floor(n * 0.95)}, bucket_rows=5).toPandas().set_index("g")
     for g, part in f.dropna().groupby("g"):
         assert out.p95[g] == sorted(part.x)[int(0.95 * len(part))]
 
@@ -153,3 +153,31 @@ def test_normal_functions(spark):
         expected_max_normal(1000).alias("a"), expected_max_normal(F.lit(1000)).alias("b"), expected_max_normal(1).alias("c")
     ).first()
     assert row.a == pytest.approx(row.b, rel=1e-9) and row.c == 0 and 3.2 < row.a < 3.3
+
+
+@pytest.mark.parametrize("rows", [1, 1_000_000])
+def test_ranks_keep_null_keys_null_groups_and_large_integers(spark, rows):
+    big = 2**53
+    data = [(None, 1), (None, 2), (None, None), ("a", big), ("a", big + 1), ("a", big + 1), ("n", None), ("n", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id long, g string, x long")
+    got = {r.id: (r.lt, r.eq, r.n) for r in tally(df, ["g"], "x", bucket_rows=rows).collect()}
+    none = (None, None, None)
+    assert got == {0: (0, 1, 2), 1: (1, 1, 2), 2: none, 3: (0, 1, 3), 4: (1, 2, 3), 5: (1, 2, 3), 6: none, 7: none}
+    q = {r.g: r.m for r in group_quantiles(df, ["g"], "x", {"m": 0.5}, bucket_rows=rows).collect()}
+    assert q == {None: 1.5, "a": float(big + 1), "n": None}
+    empty = df.limit(0)
+    assert tally(empty, ["g"], "x").count() == 0 and group_quantiles(empty, ["g"], "x", {"m": 0.5}).count() == 0
+    assert [r.m for r in group_quantiles(empty, [], "x", {"m": 0.5}).collect()] == [None]
+
+
+def test_segments_keep_null_keys_and_times(spark):
+    data = [(k, d, float(i)) for k in ("a", None) for i, d in enumerate([None, *pd.bdate_range("2020-01-01", periods=30).date])]
+    df = spark.createDataFrame(data, "asset string, ts date, x double")
+    seen = []
+    for rows in (7, 10_000):
+        frame = Panel(df, block="week", segment_rows=rows).frame(back=1)
+        out = frame.core(frame.df.withColumn("before", frame.lag("x", 1)))
+        seen.append(sorted(map(tuple, out.select("asset", "ts", "x", "before").collect()), key=repr))
+        total = cumulative(Panel(df, block="week", segment_rows=rows).frame(), {"sum": ("sum", "x")}).core()
+        seen.append(sorted(map(tuple, total.select("asset", "ts", "x", "sum").collect()), key=repr))
+    assert len(seen[0]) == 62 and seen[0] == seen[2] and seen[1] == seen[3]

@@ -234,8 +234,7 @@ def test_event_files(spark, tmp_path):
     assert out.count() == 1
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_tca(spark, small):
+def test_tca(spark):
     rng = np.random.default_rng(0)
     n = 100
     arrival = rng.uniform(50, 150, n)
@@ -243,7 +242,7 @@ def test_tca(spark, small):
     f = pd.DataFrame({"symbol": rng.choice(list("ABC"), n), "side": side, "quantity": rng.uniform(10, 100, n), "arrival_price": arrival,
                       "decision_price": arrival, "fill_price": arrival * (1 + side * 2e-4)})
     df = spark.createDataFrame(f)
-    out = pr.tca_report(df, small=small).toPandas()
+    out = pr.tca_report(df).toPandas()
     total = out[out.symbol.isna()].iloc[0]
     assert total.n_fills == 100 and total.mean_arrival_bps == pytest.approx(2.0) and total.p95_arrival_bps == pytest.approx(2.0)
     adv = spark.createDataFrame([("A", 1000.0), ("B", 1000.0), ("C", 0.0)], "symbol string, adv double")
@@ -352,7 +351,23 @@ def test_risk_statistics(spark):
     s = pd.Series(r)
     assert row.worst_5d_return == pytest.approx(s.rolling(5).sum().min()) and row.skewness == pytest.approx(s.skew())
     pos = df.withColumn("position", F.col("net") * 10)
-    for small in (True, False):
-        p = rk.position_stats(pos, by=["strategy_id"], small=small).first()
-        a = (s * 10).abs()
-        assert p.fraction_at_max == pytest.approx((a >= a.quantile(0.99)).mean()) and p.concentration_share == pytest.approx(a.max() / a.sum())
+    p = rk.position_stats(pos, by=["strategy_id"]).first()
+    a = (s * 10).abs()
+    assert p.fraction_at_max == pytest.approx((a >= a.quantile(0.99)).mean()) and p.concentration_share == pytest.approx(a.max() / a.sum())
+
+
+def test_tca_keeps_symbols_without_a_shortfall(spark):
+    rows = [("S1", 1, 1.0, 10.0, 10.0, 10.1), ("S2", 1, 1.0, None, None, 10.0), (None, 1, 1.0, 10.0, 10.0, 10.2)]
+    df = spark.createDataFrame(rows, "symbol string, side int, quantity double, arrival_price double, decision_price double, fill_price double")
+    out = {(r.symbol, r.n_fills): r.median_arrival_bps for r in pr.tca_report(df).collect()}
+    assert set(out) == {("S1", 1), ("S2", 1), (None, 1), (None, 3)} and out["S2", 1] is None
+
+
+def test_every_live_strategy_is_diagnosed(spark):
+    good = np.random.default_rng(0).normal(0.001, 0.01, 100)
+    base = Panel(returns(spark, s1=good), keys=("strategy_id",), grain="day")
+    live = returns(spark, s1=good[:60], s2=good[:60])
+    live = live.unionByName(live.filter("strategy_id = 's1'").limit(1).withColumns({"strategy_id": F.lit("s3"), "net": F.lit(None).cast("double")}))
+    out = {r.strategy_id: (r.status, r.n_live_observations) for r in pr.live_diagnose(base, Panel(live, keys=("strategy_id",), grain="day")).collect()}
+    assert out["s1"][1] == 60 and out["s1"][0] != "insufficient_data"
+    assert out["s2"] == ("insufficient_data", 60) and out["s3"] == ("insufficient_data", 0)
