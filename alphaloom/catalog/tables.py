@@ -1,6 +1,9 @@
 """Queries over sources and sinks, relational steps and streams."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.lineage import checkpointed, scratch_path
@@ -24,30 +27,33 @@ BASE = with_(BARS, RETS, SIGNALS, STRAT)
 # path in the shared folder and reads it back -------------------------------------------
 
 
-@query("scan_price_csv", keys="ts", nums="close", sql=with_(BARS) + "SELECT CAST(ts AS TIMESTAMP) AS ts, close FROM bars WHERE asset = 'Brand#1'")
+@query("scan_price_csv", keys="asset ts", nums="close", sql=with_(BARS) + "SELECT asset, CAST(ts AS TIMESTAMP) AS ts, close FROM bars")
 def _(spark, sf):
     path = scratch_path(spark, "prices")
-    bars = trade_bars(spark, sf).df.filter("asset = 'Brand#1'")
-    bars.select(F.col("ts").alias("Date"), F.col("close").alias("Close")).write.csv(path, header=True)
-    return fs.price_csv(spark, path, date="Date", close="Close")
+    bars = trade_bars(spark, sf).df
+    bars.select("asset", F.col("ts").alias("Date"), F.col("close").alias("Close")).write.csv(path, header=True)
+    return fs.price_csv(spark, path, date="Date", close="Close", keys=("asset",))
 
 
-@query("scan_thesis_results", keys="ts", nums="position net", sql=with_(BARS, RETS, SIGNALS, BASKETS, book_sql("basket_pos")) + """
-SELECT CAST(ts AS TIMESTAMP) AS ts, pos AS position, net FROM (SELECT ts, sum(position) AS pos FROM (
-    SELECT ts, CASE WHEN asset IN ('Brand#1', 'Brand#2', 'Brand#3') THEN position END AS position FROM basket_pos WHERE strategy_id = 'low_vol') GROUP BY 1 HAVING count(position) > 0)
-JOIN book USING (ts) WHERE strategy_id = 'low_vol'""")
+@query("scan_thesis_results", keys="strategy_id ts", nums="position net", sql=with_(BARS, RETS, SIGNALS, BASKETS, book_sql("basket_pos")) + """
+SELECT strategy_id, CAST(ts AS TIMESTAMP) AS ts, pos AS position, net FROM (
+    SELECT strategy_id, ts, coalesce(sum(position), 0) AS pos FROM basket_pos GROUP BY 1, 2)
+JOIN book USING (strategy_id, ts)""")
 def _(spark, sf):
-    folder = scratch_path(spark, "thesis")
     rows = st.signal_rows(spark, sf)
-    pos = st.basket_positions(rows).filter("strategy_id = 'low_vol'")
-    names = ["Brand#1", "Brand#2", "Brand#3"]
-    wide = pos.filter(F.col("asset").isin(names)).groupBy("ts").agg(
-        *[F.max(F.when(F.col("asset") == n, F.col("position"))).alias(n.replace("#", "_")) for n in names]
-    )
-    wide.write.csv(f"{folder}/positions.csv", header=True)
-    net = st.basket_returns(rows).df.filter("strategy_id = 'low_vol'").select("ts", "net")
-    net.write.csv(f"{folder}/returns.csv", header=True)
-    return fs.thesis_results(spark, folder)
+    pos, net = checkpointed(st.basket_positions(rows)), checkpointed(st.basket_returns(rows).df)
+    # the layout: one folder per thesis, one column per asset
+    names = sorted(r["asset"] for r in pos.select("asset").distinct().collect())
+    parts = []
+    for (book,) in pos.select("strategy_id").distinct().orderBy("strategy_id").collect():
+        folder = scratch_path(spark, "thesis")
+        mine = F.col("strategy_id") == book
+        pos.filter(mine).groupBy("ts").pivot("asset", names).agg(F.max("position")).toDF(
+            "ts", *[n.replace("#", "_") for n in names]
+        ).write.csv(f"{folder}/positions.csv", header=True)
+        net.filter(mine).select("ts", "net").write.csv(f"{folder}/returns.csv", header=True)
+        parts.append(fs.thesis_results(spark, folder).withColumn("strategy_id", F.lit(book)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("scan_universe_cache", keys="ticker tradeDate", nums="clsPx", sql=with_(BARS) + """
@@ -55,10 +61,10 @@ SELECT asset AS ticker, ts AS tradeDate, close AS clsPx FROM bars""")
 def _(spark, sf):
     folder = scratch_path(spark, "cache")
     rows = op.option_panel(spark, sf).df.select("ticker", "tradeDate", "clsPx")
-    by_date = rows.withColumn("day", F.trunc("tradeDate", "year")).repartition("day")
-    by_date.write.partitionBy("day").parquet(folder)
-    # a stale file of one ticker in the same folder must not be read
-    rows.filter("ticker = 'Brand#1'").write.parquet(f"{folder}/Brand_1")
+    fs.write_day_files(rows, folder, "tradeDate")
+    # an empty holiday marker and a ticker's stale file with other types
+    fs.write_marker(spark, folder, "1970-01-01")
+    rows.select("ticker", F.col("clsPx").cast("string")).write.parquet(f"{folder}/Brand_1")
     return fs.universe_cache(spark, folder, ["ticker", "tradeDate", "clsPx"])
 
 

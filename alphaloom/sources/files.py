@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 
 from ..core.schema import struct
 
-DATED = r"/(\w+=)?\d{4}-\d{2}-\d{2}(\.parquet|/[^/]+)$"
 GARBAGE = 1e15
 
 DECISION_SCHEMA = struct(
@@ -23,10 +22,11 @@ AUDIT_SCHEMA = struct(
 )
 
 
-def price_csv(spark: SparkSession, path: str, *, date: str = "date", close: str = "close") -> DataFrame:
-    """(ts, close) from a headed CSV.  Order is left to the windows that need it."""
+def price_csv(spark: SparkSession, path: str, *, date: str = "date", close: str = "close", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ts, close) from a headed CSV.  Order is left to the windows that need it."""
     df = spark.read.csv(path, header=True)
     return df.select(
+        *keys,
         F.col(f"`{date}`").try_cast("timestamp").alias("ts"),
         F.col(f"`{close}`").try_cast("double").alias("close"),
     )
@@ -55,18 +55,49 @@ def thesis_results(spark: SparkSession, folder: str, asset_returns: bool = False
     return out
 
 
-def universe_cache(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
-    """By-date Parquet only; files of single tickers in the same folder are skipped.
+def universe_cache(spark: SparkSession, folder: str, columns: list[str] | None = None,
+                   schema: T.StructType | str | None = None) -> DataFrame:
+    """Day files (YYYY-MM-DD.parquet) only; files of single tickers beside them, whatever
+    their columns, are never opened.
 
-    The file path is a metadata column, so the files are pruned before any is read.
+    Empty day files are holiday markers and are skipped; so are files without columns.  The
+    listing has one line per day of the calendar.  Without `schema` it is the largest day's.
     """
-    df = (
-        spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(folder)
-        .filter(F.col("_metadata.file_path").rlike(DATED))
+    days = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "????-??-??.parquet")
+        .option("recursiveFileLookup", "true").load(folder).select("path", "length").filter("length > 0")
     )
+    listed = [r["path"] for r in days.orderBy(F.desc("length"), "path").collect()]
+    if schema is None:
+        schema = spark.read.parquet(listed[0]).schema if listed else T.StructType()
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    df = spark.read.schema(schema).parquet(*listed) if listed else spark.createDataFrame([], schema)
     return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 
+def write_day_files(rows: DataFrame, folder: str, date: str) -> None:
+    """One YYYY-MM-DD.parquet per day under `folder`, renamed from Spark's part files."""
+    spark = rows.sparkSession
+    rows.withColumn("_day", F.date_format(date, "yyyy-MM-dd")).repartition("_day").write.partitionBy("_day").parquet(f"{folder}/_days")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for day in fs.listStatus(path(f"{folder}/_days")):
+        name = day.getPath().getName()
+        if name.startswith("_day="):
+            for part in fs.listStatus(day.getPath()):
+                if part.getPath().getName().endswith(".parquet"):
+                    fs.rename(part.getPath(), path(f"{folder}/{name[5:]}.parquet"))
+    fs.delete(path(f"{folder}/_days"), True)
+
+
+def write_marker(spark: SparkSession, folder: str, day: str) -> None:
+    """An empty day file: the market was closed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{day}.parquet")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path).close()
+
+
 def sanitize_numeric(df: DataFrame, keep: tuple[str, ...] = ("ticker", "tradeDate"), share: float = 0.5) -> DataFrame:
     """Cast columns that are mostly numbers to DOUBLE, garbage magnitudes to NULL.
 

@@ -44,40 +44,63 @@ TRIP_STATE = "equity double, peak double, recent array<double>, reason string, t
 TRIP_OUTPUT = "strategy_id string, ts timestamp, tripped boolean, trip_reason string, trip_ts timestamp, equity double"
 
 
+def _first_trip(equity: np.ndarray, peak: np.ndarray, net: np.ndarray, sharpe: np.ndarray, max_drawdown: float,
+                max_loss: float, min_sharpe: float | None) -> tuple[int, str] | None:
+    """Place and name of the first rule that trips; the rules' order decides on one bar."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tests = [(f"drawdown>{max_drawdown:.2%}", (peak != 0) & (equity / peak - 1.0 <= -max_drawdown))]
+    tests.append((f"daily_loss>{max_loss:.2%}", net <= -max_loss))
+    if min_sharpe is not None:
+        tests.append((f"sharpe<{min_sharpe}", sharpe < min_sharpe))
+    hits = [(int(np.argmax(t)), k, name) for k, (name, t) in enumerate(tests) if t.any()]
+    return (min(hits)[0], min(hits)[2]) if hits else None
+
+
+def _rolling_sharpe(values: np.ndarray, window: int) -> np.ndarray:
+    """Annualised, for each value with a full window; NaN before and for a constant window."""
+    out = np.full(len(values), np.nan)
+    if len(values) >= window:
+        seen = np.lib.stride_tricks.sliding_window_view(values, window)
+        sd = seen.std(axis=1, ddof=1)
+        out[window - 1 :] = np.where(sd > 0, seen.mean(axis=1) / np.where(sd > 0, sd, 1.0) * math.sqrt(252), np.nan)
+    return out
+
+
 def kill_switch_stream(
     returns: DataFrame, *, max_drawdown: float = 0.10, max_loss: float = 0.03, min_sharpe: float | None = None,
     window: int = 60,
 ) -> DataFrame:
-    """Status per strategy after each micro-batch of (strategy_id, ts, net).
+    """Status per strategy after each micro-batch of (strategy_id, ts, net and, optionally, reset).
 
-    Equity, peak, the last returns and the trip survive between batches; once
-    tripped, a strategy stays tripped until `resets` names it (a NULL net row).
+    Equity, peak, the last returns and the trip survive between batches.  Once tripped, a
+    strategy stays tripped until a row whose `reset` is TRUE; that row's return and those
+    after it are tested again.  A NULL return is a hole in the data and changes nothing.
     """
+    if "reset" not in returns.columns:
+        returns = returns.withColumn("reset", F.lit(False))
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         equity, peak, recent, reason, trip_ts = state.get if state.exists else (1.0, None, [], None, None)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        recent = list(recent or [])
-        for ts, x in zip(rows["ts"], rows["net"]):
-            if x is None or np.isnan(x):
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        reset = rows["reset"].fillna(False).to_numpy(dtype=bool)
+        net, held = rows["net"].to_numpy(dtype=float), rows["net"].notna().to_numpy()
+        part = np.cumsum(reset)[held]  # runs of returns between resets
+        x, times = net[held], rows["ts"].to_numpy()[held]
+        levels = equity * np.cumprod(1.0 + x)
+        peaks = np.maximum.accumulate(levels if peak is None else np.concatenate([[peak], levels]))[-len(x) :] if len(x) else levels
+        history = np.concatenate([np.array(recent or [], dtype=float), x])
+        sharpe = _rolling_sharpe(history, window)[len(history) - len(x) :]
+        for k in range(int(reset.sum()) + 1):
+            if k:
                 reason, trip_ts = None, None
-                continue
-            equity *= 1.0 + x
-            peak = equity if peak is None or equity > peak else peak
-            recent = (recent + [float(x)])[-window:]
-            if reason is not None:
-                continue
-            if peak and equity / peak - 1.0 <= -max_drawdown:
-                reason = f"drawdown>{max_drawdown:.2%}"
-            elif x <= -max_loss:
-                reason = f"daily_loss>{max_loss:.2%}"
-            elif min_sharpe is not None and len(recent) == window:
-                sd = float(np.std(recent, ddof=1))
-                if sd > 0 and float(np.mean(recent)) / sd * math.sqrt(252) < min_sharpe:
-                    reason = f"sharpe<{min_sharpe}"
-            if reason is not None:
-                trip_ts = ts.to_pydatetime()
-        state.update((equity, peak, recent, reason, trip_ts))
+            run = np.flatnonzero(part == k)
+            if reason is None and len(run):
+                hit = _first_trip(levels[run], peaks[run], x[run], sharpe[run], max_drawdown, max_loss, min_sharpe)
+                if hit:
+                    reason, trip_ts = hit[1], pd.Timestamp(times[run[hit[0]]]).to_pydatetime()
+        if len(x):
+            equity, peak = float(levels[-1]), float(peaks[-1])
+        state.update((equity, peak, history[-window:].tolist(), reason, trip_ts))
         yield pd.DataFrame(
             {
                 "strategy_id": [key[0]], "ts": [rows["ts"].iloc[-1]], "tripped": [reason is not None],

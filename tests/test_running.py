@@ -291,7 +291,12 @@ def test_files(spark, tmp_path):
     for day in ("2020-01-02", "2020-01-03"):
         pd.DataFrame({"ticker": ["A", "B"], "clsPx": [1.0, 2.0]}).to_parquet(cache / f"{day}.parquet")
     pd.DataFrame({"ticker": ["A"] * 9, "clsPx": [9.0] * 9}).to_parquet(cache / "AAPL.parquet")
+    (cache / "2020-01-01.parquet").touch()  # a holiday marker
+    pd.DataFrame({"ticker": [], "clsPx": []}).to_parquet(cache / "2020-01-04.parquet")  # without rows, types of its own
+    pd.DataFrame(index=[]).to_parquet(cache / "2020-01-05.parquet")  # without columns
+    pd.DataFrame({"ticker": [1, 2], "clsPx": ["x", "y"]}).to_parquet(cache / "TSLA.parquet")
     assert fs.universe_cache(spark, str(cache), ["ticker", "clsPx", "absent"]).count() == 4
+    assert {r.clsPx for r in fs.universe_cache(spark, str(cache), schema="ticker string, clsPx double").collect()} == {1.0, 2.0}
     (tmp_path / "results").mkdir()
     (tmp_path / "results" / "positions.csv").write_text("ts,A,B\n2020-01-01,1,0.5\n2020-01-02,-1,\n")
     (tmp_path / "results" / "returns.csv").write_text("ts,ret\n2020-01-01,0.1\n2020-01-02,0.2\n")
@@ -316,9 +321,27 @@ def test_kill_switch_stream_keeps_state_between_batches(spark, tmp_path):
     rows = run().collect()
     last = {r.strategy_id: r for r in sorted(rows, key=lambda r: r.ts)}
     assert last["a"].tripped and str(last["a"].trip_ts)[:10] == "2020-01-02" and not last["b"].tripped
-    put([("a", "2020-01-04", None), ("b", "2020-01-04", -0.08)])
+    put([("a", "2020-01-04", None), ("b", "2020-01-04", -0.08)])  # a hole changes nothing
     last = {r.strategy_id: r for r in sorted(run().collect(), key=lambda r: r.ts)}
-    assert not last["a"].tripped and last["b"].trip_reason == "drawdown>10.00%"
+    assert last["a"].trip_reason == "daily_loss>3.00%" and last["b"].trip_reason == "drawdown>10.00%"
+
+
+def test_kill_switch_stream_reset_and_sharpe(spark, tmp_path):
+    src = str(tmp_path / "src")
+    rng = np.random.default_rng(1)
+    days = [d.to_pydatetime() for d in pd.bdate_range("2020-01-01", periods=80)]
+    rows = [("c", d, float(v), False) for d, v in zip(days, rng.normal(-0.002, 0.004, 80))]
+    rows += [("d", days[0], -0.05, False), ("d", days[1], None, True), ("d", days[2], 0.01, None), ("e", days[0], -0.05, False), ("e", days[1], -0.06, True)]
+    f = pd.DataFrame(rows, columns=["strategy_id", "ts", "net", "reset"])
+    spark.createDataFrame(rows, "strategy_id string, ts timestamp, net double, reset boolean").write.parquet(src)
+    stream = spark.readStream.schema("strategy_id string, ts timestamp, net double, reset boolean").parquet(src)
+    out = jobs.run_available(jobs.kill_switch_stream(stream, max_drawdown=0.9, max_loss=0.04, min_sharpe=-2.0, window=60), str(tmp_path / "out"))
+    got = {r.strategy_id: r for r in out.collect()}
+    x = f[f.strategy_id == "c"].net
+    sharpe = x.rolling(60).mean() / x.rolling(60).std() * math.sqrt(252)
+    first = days[int(np.argmax(sharpe.to_numpy() < -2.0))]
+    assert got["c"].trip_reason == "sharpe<-2.0" and got["c"].trip_ts == first
+    assert not got["d"].tripped and got["e"].trip_ts == days[1]
 
 
 def test_window_metrics_drop_late_rows(spark, tmp_path):
