@@ -467,7 +467,7 @@ CHANCE = """chance AS (SELECT strategy_id, CASE WHEN any_value(actual) > quantil
 
 @query("gate_evaluate_fork", keys="strategy_id gate_deflated_sharpe gate_correlation gate_pca_concentration gate_vs_random overall first_failure",
        nums="dsr_pvalue max_correlation",
-       sql=with_(BARS, RETS, SIGNALS, STRAT, BASKETS, book_sql("basket_pos"), CORR, moments_sql(), FORK_DSR, perm_sql(50, 7), CHANCE) + """
+       sql=with_(BARS, RETS, SIGNALS, STRAT, BASKETS, book_sql("basket_pos"), CORR, moments_sql(), FORK_DSR, perm_sql(1000, 7), CHANCE) + """
 SELECT *, CASE WHEN 'fail' IN (g1, g2, g4) THEN 'fail' WHEN g4 = 'warning' THEN 'warning' ELSE 'pass' END AS overall,
   CASE WHEN g1 = 'fail' THEN 'deflated_sharpe' WHEN g2 = 'fail' THEN 'correlation' WHEN g4 = 'fail' THEN 'vs_random' END AS first_failure,
   g1 AS gate_deflated_sharpe, g2 AS gate_correlation, 'pass' AS gate_pca_concentration, g4 AS gate_vs_random
@@ -479,7 +479,7 @@ def _(spark, sf):
     cand, surv = rows.df, st.basket_returns(signals).df
     dsr = sg.deflated_sharpe_fork(sg.moments(cand, by=["strategy_id"], min_obs=3), TRIALS, annualization=st.WEEKS)
     pca = fa.position_concentration(cand, by=["strategy_id"])
-    chance = rz.permutation_test(rows, n=50, seed=7, annualization=st.WEEKS)
+    chance = rz.permutation_test(rows, n=1000, seed=7, annualization=st.WEEKS)
     return gt.evaluate_fork(dsr, gt.max_correlation(cand, surv), pca, chance, corr_max=0.1)
 
 

@@ -15,6 +15,7 @@ from alphaloom.operators import diagnostics as dg
 from alphaloom.operators import factors as fa
 from alphaloom.operators import meta
 from alphaloom.operators import portfolio as pf
+from alphaloom.operators import randomized as rz
 from alphaloom.operators import significance as sg
 from alphaloom.operators import splits as sp
 
@@ -262,3 +263,12 @@ def test_meta_labels(spark):
     assert set(out.pos.unique()) <= {-1.0, 0.0, 1.0}
     with pytest.raises(ValueError):
         meta.fit(df.limit(20), ["f1", "f2"])
+
+
+def test_permutation_trials_agree_in_both_forms(spark, panel):
+    rows = panel.df.withColumns({"position": F.signum(F.sin("close")), "net": F.sin(F.col("close") * 7) / 50}).select("asset", "ts", "position", "net")
+    arrays = rz.permutation_trials(Panel(rows, grain="day"), n=60, seed=3)[1]
+    single = rz.permutation_trials(Panel(rows), n=60, seed=3)[1]
+    a, b = (collect(x, "asset", "trial") for x in (arrays, single))
+    assert len(a) == len(b) == 180
+    np.testing.assert_allclose(a.sharpe, b.sharpe, rtol=1e-9)
