@@ -10,8 +10,8 @@ Two sets of distinct word shingles link when 100 * |x & y| >= 80 * |x | y|.
    shared ones lie at most `REACH` frequent tokens apart in both prefixes (their gaps add up to
    (dx + dy) / e + 2 at most, on average over the e gaps), so pairs of frequent tokens that
    near each other are the keys for the frequent class.
-3. Sets that meet under a rare key are compared by size and by 512-bit parity maps, whose
-   differing bits never exceed the sets' difference; sets under a frequent key are only tied
+3. Sets that meet under a rare key are compared by size and by parity maps of about one bit a
+   token, whose differing bits never exceed the sets' difference; sets under a frequent key are only tied
    to the key's least set. Connected sets form a class; linked sets are always in one class.
 4. Inside a class, cut into blocks by size and hash, exact intersections are counted by
    matrix products; each task returns a spanning forest of its links and link counts.
@@ -41,7 +41,7 @@ from alphaloom.llm.tokens import U, WordHashes, mix, windows
 SHINGLE = 5
 REACH = 11  # see _reach(); a test derives it
 SKETCH_BITS = 20  # 2^20 counters, a bounded size
-MAP_WORDS = 8  # of 64 bits
+LEAST_MAP = 256  # bits of a parity map at least; longer ones have as many bits as tokens
 BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 21  # of one side of a verification task
 ROWS = 512  # texts handled at once inside a task
 
@@ -112,12 +112,24 @@ def set_hash(owner: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return mix(total + np.bincount(owner, minlength=rows).astype(U)).view(np.int64)
 
 
+def parity_maps(owner: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Per set a bit map in which each token flips the bit that its hash names; the number of
+    bits is the power of two from the set's size on."""
+    bits = np.maximum(LEAST_MAP, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    at = (ends - bits)[owner] + (h & (bits[owner] - 1).astype(U)).astype(np.int64)
+    flips = np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0)
+    words = np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends // 64]).astype(np.int32)), pa.array(words))
+
+
 def _signatures(counts: np.ndarray, text: str):
     """Task code: doc_id, n, node, parity map, rare and frequent keys of each text."""
     limit = max(64, 4 * int(counts.sum() >> SKETCH_BITS))
     weights = np.minimum(counts, 2**31 - 1).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # nodes of this task; copies send no keys again
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -125,13 +137,13 @@ def _signatures(counts: np.ndarray, text: str):
                 owner, h = token_sets(batch.column(text).to_pylist())
                 n = np.bincount(owner, minlength=rows)
                 node = set_hash(owner, h, rows)
-                bits = np.bincount(owner * (64 * MAP_WORDS) + (h & U(64 * MAP_WORDS - 1)).astype(np.int64), minlength=rows * 64 * MAP_WORDS)
-                maps = np.packbits((bits & 1).astype(np.uint8)).view(np.int64).reshape(rows, MAP_WORDS)
+                fresh = np.array([not (x in seen or seen.add(x)) for x in node.tolist()], dtype=bool)
+                maps = parity_maps(owner, h, n)
                 weight = weights[_bucket(h)]
                 order = np.lexsort((h, weight, owner))
                 place = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
                 _, _, length = prefix_length(n)
-                inside = (place < length[owner]) & (n[owner] > 1)
+                inside = (place < length[owner]) & (n[owner] > 1) & fresh[owner]
                 h, weight, own = h[order][inside], weight[order][inside], owner[inside]
                 often = weight > limit
                 rare_owner, rare = own[~often], h[~often]
@@ -148,10 +160,9 @@ def _signatures(counts: np.ndarray, text: str):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()),
-                        pa.array(node, pa.int64(), mask=n == 0), *(pa.array(maps[:, k], pa.int64()) for k in range(MAP_WORDS)),
-                        _lists(rare_owner, rare, rows), _lists(pair_owner[by], pair[by], rows),
+                        pa.array(node, pa.int64(), mask=n == 0), maps, _lists(rare_owner, rare, rows), _lists(pair_owner[by], pair[by], rows),
                     ],
-                    names=["doc_id", "n", "node", *(f"b{k}" for k in range(MAP_WORDS)), "rare", "often"],
+                    names=["doc_id", "n", "node", "map", "rare", "often"],
                 )
 
     return run
@@ -249,11 +260,16 @@ def _verify(f: pd.DataFrame, threshold: int) -> pd.DataFrame:
     return pd.DataFrame({"a": node[tied], "b": node[top] if len(top) else [], "linked": degree[tied].astype(np.int64)})
 
 
-def _difference() -> Column:
-    total = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0")))
-    for k in range(1, MAP_WORDS):
-        total = total + F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}")))
-    return total
+def _difference(x: Column, y: Column) -> Column:
+    """Differing bits of two parity maps; a map of twice the length is folded to the other's."""
+
+    def folded(m: Column, other: Column) -> Column:
+        half = (F.size(m) / 2).cast("int")
+        both = F.zip_with(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(m) > F.size(other), both).otherwise(m)
+
+    bits = F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0), lambda total, b: total + b)
 
 
 def linked(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -268,11 +284,10 @@ def linked(docs: DataFrame, *, text: str = "text") -> DataFrame:
         return spark.read.parquet(path)
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    maps = ", ".join(f"b{k} bigint" for k in range(MAP_WORDS))
     signed = written(
         narrow.mapInArrow(
             _signatures(sketch(narrow, "text"), "text"),
-            f"doc_id bigint, n bigint, node bigint, {maps}, rare array<bigint>, often array<bigint>",
+            "doc_id bigint, n bigint, node bigint, map array<bigint>, rare array<bigint>, often array<bigint>",
         ), "signatures",
     )
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(
@@ -280,16 +295,22 @@ def linked(docs: DataFrame, *, text: str = "text") -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"))).alias("one"),
     )
     # rare keys: at most the sketch's limit of sets under each, so pairs stay few
-    rare = signed.select("node", F.explode("rare").alias("k")).distinct()
+    # dealt by the key first, so that dropping copies and the join share one shuffle
+    rare = signed.select("node", F.explode_outer("rare").alias("k")).where("k IS NOT NULL").repartition("k").distinct()
     pairs = (
         rare.alias("x").join(rare.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.node") < F.col("y.node")))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     )
-    sides = signed.where("node IS NOT NULL").select("node", "n", *[f"b{k}" for k in range(MAP_WORDS)]).dropDuplicates(["node"])
+    sizes_of = nodes.select("node", "n")
+    alike = F.abs(F.col("x.n") - F.col("y.n")) * 9 <= F.col("x.n") + F.col("y.n")
+    sized = (
+        pairs.join(sizes_of.alias("x"), F.col("a") == F.col("x.node")).join(sizes_of.alias("y"), F.col("b") == F.col("y.node"))
+        .where(alike).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("total"))
+    )
+    maps = signed.where("node IS NOT NULL").select("node", "map").dropDuplicates(["node"])
     near = (
-        pairs.join(sides.alias("x"), F.col("a") == F.col("x.node")).join(sides.alias("y"), F.col("b") == F.col("y.node"))
-        .where((F.abs(F.col("x.n") - F.col("y.n")) * 9 <= F.col("x.n") + F.col("y.n")) & (_difference() * 9 <= F.col("x.n") + F.col("y.n")))
-        .select("a", "b")
+        sized.join(maps.alias("x"), F.col("a") == F.col("x.node")).join(maps.alias("y"), F.col("b") == F.col("y.node"))
+        .where(_difference(F.col("x.map"), F.col("y.map")) * 9 <= F.col("total")).select("a", "b")
     )
     often = written(signed.where(F.size("often") > 0).select("node", F.explode("often").alias("k")).distinct(), "often")
     least = often.groupBy("k").agg(F.min("node").alias("m")).withColumnRenamed("k", "k2")
@@ -300,8 +321,11 @@ def linked(docs: DataFrame, *, text: str = "text") -> DataFrame:
         classes.withColumnsRenamed({"node": "c", "root": "class"}).join(nodes, F.col("c") == F.col("node"))
         .select("node", "class", "n", "copies", "one"), "wanted",
     )
+    # the ids alone are small enough to be broadcast for longer; then few texts are shuffled
+    ids = written(wanted.select(F.col("one.id").alias("w")).distinct().sort("w"), "ids")
     sets = (
-        narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("one.id")))
+        narrow.join(ids, F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
+        .join(wanted, F.col("doc_id").eqNullSafe(F.col("one.id")))
         .select("text", "node", "class", "n", "copies")
         .mapInArrow(_tokens("text"), "node bigint, class bigint, n bigint, copies bigint, tokens binary")
     )
