@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..core.expr import correlation
 from ..core.lineage import checkpointed
-from .factors import concentration, series_index
+from .factors import concentration
 from .significance import deflated_sharpe, moments
 
 
@@ -14,15 +14,13 @@ def survivor_correlations(candidates: DataFrame, survivors: DataFrame, *, series
                           ts: str = "ts", net: str = "net", min_bars: int = 30) -> DataFrame:
     """Correlation of each candidate with each survivor over common bars.
 
-    Survivors (a checked number of them) meet a candidate's bar as one map, and
-    (candidate, survivor) pairs collapse to moments before the shuffle.
+    The result has a row per (candidate, survivor); they meet on the bar, and pairs
+    collapse to moments before the shuffle, so any number of survivors will do.
     """
-    series_index(survivors, series)
-    bars = survivors.filter(F.col(net).isNotNull()).groupBy(ts).agg(
-        F.map_from_entries(F.collect_list(F.struct(series, net))).alias("_m")
-    )
-    pairs = candidates.filter(F.col(net).isNotNull()).join(bars, ts).select(
-        F.col(series).alias("candidate_id"), F.col(net).alias("_x"), F.explode("_m").alias("survivor_id", "_y")
+    known = F.col(net).isNotNull()
+    held = survivors.filter(known).select(F.col(ts).alias("_ts"), F.col(series).alias("survivor_id"), F.col(net).alias("_y"))
+    pairs = candidates.filter(known).join(held, F.col(ts) == F.col("_ts")).select(
+        F.col(series).alias("candidate_id"), F.col(net).alias("_x"), "survivor_id", "_y"
     ).filter("candidate_id <> survivor_id")
     out = pairs.groupBy("candidate_id", "survivor_id").agg(
         F.count("*").alias("n_overlap_bars"), correlation("_x", "_y").alias("correlation")

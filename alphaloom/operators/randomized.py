@@ -191,23 +191,17 @@ def permutation_test(panel: Panel, **kwargs) -> DataFrame:
 
 def random_rules(spark: SparkSession, features: list[str], *, n: int = 1000, stages: tuple[int, ...] = (1, 2, 3),
                  low: float = -3.0, high: float = 3.0, seed: int = 7,
-                 directions: tuple[str, ...] = ("long", "short", "both"),
-                 freshness: tuple[int, ...] = (1, 2, 3, 5, 7), max_hold: int = 10,
-                 trend_filters: tuple[str, ...] = ("none", "short_only", "both")) -> DataFrame:
+                 directions: tuple[str, ...] = ("long", "short", "both")) -> DataFrame:
     """Random entry rules: distinct features, each above or below a threshold."""
     pick = lambda values, u: F.element_at(
         F.array(*[F.lit(v) for v in values]), F.floor(u * len(values)).cast("int") + 1
     )
     rules = spark.range(n).withColumnRenamed("id", "rule_id")
     u = uniforms(3, seed, "rule_id")
-    v = uniforms(3, seed + 1, "rule_id")
     rules = rules.select(
         "rule_id",
         pick(stages, u[0]).alias("n_stages"),
         pick(directions, u[1]).alias("direction"),
-        pick(freshness, u[2]).alias("freshness_window"),
-        (F.floor(v[0] * max_hold) + 1).cast("int").alias("max_hold_days"),
-        pick(trend_filters, v[1]).alias("trend_filter"),
     )
     per_feature = []
     for f in features:
@@ -458,6 +452,15 @@ def consensus_rule_search(df: DataFrame, *, n: int = 2000, min_trades: int = 50,
     )
 
 
+# The words of the assessment.
+ASSESSMENTS = {
+    "capital": "capital_constraint_not_signal_filter",
+    "losers": "ADDS_VALUE_blocked_losers",
+    "risky": "GOOD_RISK_CONTROL_blocked_high_variance_winners",
+    "clean": "COSTS_ALPHA_blocked_clean_winners",
+}
+
+
 def filter_value(df: DataFrame, *, status: str = "Status", net: str = "net") -> DataFrame:
     """What each filter blocked, against what was accepted, mean and tail."""
     x = F.col(net)
@@ -471,10 +474,8 @@ def filter_value(df: DataFrame, *, status: str = "Status", net: str = "net") ->
     capital = F.col(status).contains("BUDGET") | F.col(status).contains("SECTOR")
     risky = (F.col("std") > 1.5 * F.col("kept_std")) | (F.col("worst") < 1.8 * F.col("kept_worst"))
     label = (
-        F.when(capital, "capital_constraint_not_signal_filter")
-        .when(F.col("mean") < 0, "ADDS_VALUE_blocked_losers")
-        .when(risky, "GOOD_RISK_CONTROL_blocked_high_variance_winners")
-        .otherwise("COSTS_ALPHA_blocked_clean_winners")
+        F.when(capital, ASSESSMENTS["capital"]).when(F.col("mean") < 0, ASSESSMENTS["losers"])
+        .when(risky, ASSESSMENTS["risky"]).otherwise(ASSESSMENTS["clean"])
     )
     return stats.filter(F.col(status) != "ACCEPTED").join(kept, "_one", "left").select(
         status, "n_blocked", F.round("mean", 3).alias("blocked_mean_net_pct"),
