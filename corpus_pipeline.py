@@ -31,10 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays, with all rows of that doc_id."""
     joined = jaccard.linked(docs).select(F.col("doc_id").alias("d"), F.col("component_id").alias("c"))
-    path = scratch_path(spark, "representatives")
-    joined.where("d <=> c").select("d").distinct().write.parquet(path)
-    keep = spark.read.parquet(path)
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    # those that go are few, so their ids stay broadcastable for longer than the others'
+    path = scratch_path(spark, "copies")
+    joined.groupBy("d").agg(F.max(F.expr("d <=> c")).alias("stays")).where("NOT stays").select("d").write.parquet(path)
+    copies = spark.read.parquet(path)
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
