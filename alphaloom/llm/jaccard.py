@@ -365,7 +365,8 @@ def linked(docs: DataFrame, *, text: str = "text") -> DataFrame:
         .unionByName(tasks(2, own - 1, F.lit(0), right.cast("int")).withColumn("i", every_l))
     )
     found = written(
-        placed.groupBy("class", "unit", "i", "j").applyInPandas(
+        # dealt by all four, since the join on the first two would leave a large class in one task
+        placed.repartition("class", "unit", "i", "j").groupBy("class", "unit", "i", "j").applyInPandas(
             lambda f: _verify(f, threshold), "a bigint, b bigint, linked bigint"
         ), "links",
     )
