@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that doesn't merge
-CACHE = 400_000  # distinct pieces remembered before a start anew
+CACHE = 200_000  # distinct pieces remembered before a start anew
 CHUNK = 512  # rows of an Arrow batch handled at once, which bounds the lists of pieces
 CELLS = 4 << 20  # cells of one matrix at most, beyond a single row
 

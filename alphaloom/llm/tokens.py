@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 U = np.uint64
-CACHE = 600_000  # distinct words remembered before a start anew
+CACHE = 200_000  # distinct words remembered before a start anew
 
 
 def mix(x: np.ndarray) -> np.ndarray:
