@@ -5,6 +5,8 @@ least stays (short templates keep all). The fingerprints form an inverted index
 thousand numbers that travel with the tasks; `MAX_TEMPLATE_WORDS` bounds it. A text's
 3-grams are looked up in it; hits of a template on neighbouring diagonals are one
 candidate, and a local alignment in a band about them counts the template's matched words.
+The band is aligned again with the words outside its matches, so that a notice that follows
+itself within the band is found each time.
 
 A match is reported from `min_coverage` on; of overlapping matches the one with most
 matched words stays (ties: higher coverage, then template name, then place).
@@ -17,6 +19,7 @@ three words are refused. Empty tables give no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,9 +124,10 @@ def index(templates: dict[str, str]) -> Index:
     )
 
 
-def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment of the template on the diagonals low..high of a text: (matched
-    words, first word, end). Match 2, other word -1, gap -1; ties go to the earlier end."""
+def align(text: np.ndarray, template: np.ndarray, low: int, high: int, begin: int, stop: int) -> tuple[int, int, int]:
+    """Best local alignment of the template with the words begin..stop of a text, on the
+    diagonals low..high: (matched words, first word, end). Match 2, other word -1, gap -1;
+    ties go to the earlier end."""
     width = high - low + 1
     zero = (0, 0, 0)  # score, matches, first word of the alignment
     before = [zero] * (width + 1)
@@ -132,7 +136,7 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
         row, left = [zero] * (width + 1), zero
         for j in range(width):
             p = q + low + j
-            if p < 0 or p >= len(text):
+            if p < begin or p >= stop:
                 left = zero
                 continue
             score, matched, first = before[j]  # diagonal: (p - 1, q - 1)
@@ -154,6 +158,36 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
     return found
 
 
+def occurrences(text: np.ndarray, template: np.ndarray, diagonals: list[int], min_coverage: float) -> list[tuple[int, int, int]]:
+    """(matched, first word, end) of one template's matches in the bands about the diagonals.
+    Of overlapping ones the one with most matched words stays; the bands are then aligned
+    again with the words left between the matches, until none gives a further match."""
+    size, found, bands = len(template), [], diagonals
+    while bands:
+        new, live = [], []
+        for d in bands:
+            at, stop = max(d - BAND, 0), min(d + 2 * BAND + size, len(text))
+            gaps = []
+            for _, first, end in found[bisect_right(found, at, key=lambda m: m[2]) :]:
+                if first >= stop:
+                    break
+                gaps.append((at, first))
+                at = end
+            gaps.append((at, stop))
+            hits = [align(text, template, d - BAND, d + 2 * BAND, a, b) for a, b in gaps if b - a >= min_coverage * size]
+            hits = [m for m in hits if m[0] and m[0] >= min_coverage * size]
+            if hits:
+                live.append(d)
+                new += hits
+        spans: list[tuple[int, int, int]] = []
+        for m in sorted(set(new), key=lambda m: (-m[0], m[1])):
+            k = bisect_left(spans, m[1], key=lambda o: o[1])
+            if (k == 0 or spans[k - 1][2] <= m[1]) and (k == len(spans) or m[2] <= spans[k][1]):
+                spans.insert(k, m)
+        found, bands = sorted(found + spans, key=lambda m: m[1]), live
+    return found
+
+
 def matches(text: np.ndarray, grams: np.ndarray, ix: Index, min_coverage: float) -> list[tuple]:
     """(template, matched, first word, end) of one text's reported matches, by place."""
     at = np.searchsorted(ix.keys, grams)
@@ -165,15 +199,12 @@ def matches(text: np.ndarray, grams: np.ndarray, ix: Index, min_coverage: float)
         while k < len(ix.keys) and ix.keys[k] == grams[p]:
             seeds.append((int(ix.template[k]), p - int(ix.place[k])))
             k += 1
-    found = []
-    last = None
+    bands: dict[int, list[int]] = {}
     for n, diagonal in sorted(set(seeds)):
-        if last and last[0] == n and diagonal - last[1] <= BAND:
-            continue  # within the band of the candidate before
-        last = (n, diagonal)
-        matched, first, end = align(text, ix.words[n], diagonal - BAND, diagonal + 2 * BAND)
-        if matched >= min_coverage * len(ix.words[n]):
-            found.append((n, matched, first, end))
+        of = bands.setdefault(n, [])
+        if not of or diagonal - of[-1] > BAND:  # else within the band of the candidate before
+            of.append(diagonal)
+    found = [(n, *m) for n, of in bands.items() for m in occurrences(text, ix.words[n], of, min_coverage)]
     found.sort(key=lambda m: (-m[1], -m[1] / len(ix.words[m[0]]), ix.names[m[0]], m[2]))
     out: list[tuple] = []
     for m in found:

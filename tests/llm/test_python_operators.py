@@ -115,6 +115,28 @@ def test_licenses_against_full_alignment(frame, prose):
     assert licenses.scan(frame([])).count() == 0
 
 
+def test_repeated_notices_are_reported_each(frame):
+    short = {n: t for n, t in licenses.TEMPLATES.items() if len(t.split()) <= 24}
+    assert {len(t.split()) for t in short.values()} >= {3, 5, 12}
+    texts, want = [], []
+    for name, template in short.items():
+        for times in (2, 7, 40):
+            for gap in ("", "and ", "one two three "):
+                texts.append(("x " + gap + template + " ") * times if gap else (template + " ") * times)
+                step, first = len(texts[-1]) // times, len("x " + gap) if gap else 0
+                want.append([(name, first + k * step) for k in range(times)])
+    texts.append("All rights X reserved. All rights reserved. filler " + "Licensed under CC BY 4.0. All rights reserved. " * 3)
+    want.append(None)
+    got = defaultdict(list)
+    for r in licenses.scan(frame(list(enumerate(texts)))).collect():
+        got[r.doc_id].append((r.template, r.start))
+    for i, w in enumerate(want):
+        if w is not None:
+            assert sorted(got[i], key=lambda x: x[1]) == w, (i, texts[i][:80])
+    last = [n for n, _ in sorted(got[len(texts) - 1], key=lambda x: x[1])]
+    assert last == ["Proprietary/notice"] * 2 + ["CC-BY-4.0/notice", "Proprietary/notice"] * 3
+
+
 def brute_links(texts):
     sets = {}
     for i, t in texts.items():
