@@ -34,7 +34,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?<![0-9A-Za-z])[0-9A-Za-z]{24,128}+(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Za-z]{24,}+",
     "local_phone": r"(?<![0-9+(] ?)\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 BASE = ("email", "ip", "card", "phone")

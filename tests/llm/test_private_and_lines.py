@@ -66,6 +66,17 @@ def test_votes_decide_added_spans(frame):
     assert pii.detected(df, none).where(F.size("spans") > 0).count() == 0
 
 
+def test_long_secrets_are_proposed(frame):
+    hexes = [(hashlib.sha512(bytes([i])).hexdigest() * 50)[:n] for i, n in enumerate([24, 40, 128, 129, 200, 5000] * 6)]
+    df = frame([(i, f'x token = "{h}" y') for i, h in enumerate(hexes)] + [(100, "token = " + "a1" * 11 + "b, " + "é" + "c3" * 300 + "ß")])
+    out = pii.detected(df, pii.fit(df)).select("doc_id", pii.as_text(F.col("spans")).alias("s"), *[
+        F.transform(pii.candidates(F.col("text"))["secret"], lambda c: c["start"]).alias("starts")])
+    got = {r.doc_id: r for r in out.collect()}
+    for i, h in enumerate(hexes):
+        assert got[i].s == f"secret:11:{11 + len(h)}"
+    assert got[100].starts == [34]
+
+
 def test_repeated_chunks_go_and_first_stays(frame):
     passage = "\n".join(f"shared line {k} of the passage" for k in range(12))
     rows = [(i, f"own start {i}\nmore {i}\nmuch more {i}\n{passage}\nown end {i}\nlast {i}") for i in range(6)]
