@@ -9,6 +9,8 @@ those of the final output's last comparison that agrees with it.
 `MarkedTurns` marks every turn by its role and escapes control strings inside texts
 reversibly: backslashes double, and a backslash breaks each control string after its
 first character. `read_back` recovers roles, texts and loss spans from the output alone.
+The loss mask is each assistant turn's incremental span without its marks and role;
+`read_back` has to give the same.
 
 Defined results: NULL texts and roles are empty; a turn that is NULL sorts first, ties and
 repeated rows sort by role and text and all stay. Input columns other than the four named
@@ -118,6 +120,20 @@ def read_back(output: str, template: MarkedTurns = MarkedTurns(), learn: Sequenc
     return ReadBack(turns, loss)
 
 
+def loss_spans(done: Formatted, turns: Sequence[Turn], template: MarkedTurns, learn: Sequence[str] = ("assistant",)) -> list[tuple[int, int]]:
+    """The incremental spans of the turns to learn without their marks and roles, checked against what is read back."""
+    back = read_back(done.text, template, learn).loss
+    if done.rewrites:
+        return back  # turns and spans no longer correspond
+    loss = [
+        (a + len(template.open) + len(escape_line(role)) + 1, b - len(template.close))
+        for (a, b), (role, _) in zip(done.spans, turns, strict=True) if role in learn
+    ]
+    if loss != back:
+        raise ValueError("the spans of the prefixes are not those that the marks give")
+    return loss
+
+
 SCHEMA = (
     "conv_id bigint, formatted string, spans array<struct<start: bigint, end: bigint>>, "
     "loss array<struct<start: bigint, end: bigint>>, rewrites boolean"
@@ -126,7 +142,7 @@ SCHEMA = (
 
 def formatted(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """One row per conversation: the output, the span of each turn, the loss mask (spans of
-    assistant texts, for MarkedTurns; else the spans of assistant turns) and `rewrites`."""
+    assistant turns, for MarkedTurns without marks and roles) and `rewrites`."""
     style = template or MarkedTurns()
     order = F.struct(
         F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
@@ -143,7 +159,7 @@ def formatted(conversations: DataFrame, template: Template | None = None) -> Dat
                 pairs = [(t["role"], t["text"]) for t in turns]
                 done = render(pairs, style)
                 if isinstance(style, MarkedTurns):
-                    loss = read_back(done.text, style).loss
+                    loss = loss_spans(done, pairs, style)
                 else:
                     loss = [s for s, (role, _) in zip(done.spans, pairs, strict=True) if role == "assistant"]
                 rows.append(

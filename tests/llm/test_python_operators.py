@@ -55,6 +55,19 @@ def test_chat_reads_back(turns):
     assert "".join(done.text[a:b] for a, b in done.spans) == done.text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", ""]), st.text(alphabet="\\n<|im_end>/s[INST] \n", max_size=60)), max_size=6))
+def test_chat_loss_is_cut_from_the_spans(turns):
+    style = chat.MarkedTurns()
+    done = chat.render(turns, style)
+    loss = chat.loss_spans(done, turns, style)
+    assert [chat.unescape(done.text[a:b]) for a, b in loss] == [t for r, t in turns if r == "assistant"]
+    moved = chat.Formatted(done.text, [(a + 1, b) for a, b in done.spans], False)
+    if loss:
+        with pytest.raises(ValueError, match="spans of the prefixes"):
+            chat.loss_spans(moved, turns, style)
+
+
 def test_chat_detects_rewritten_history(frame):
     def forgetful(turns):
         return "".join(f"[{r}]{t}" for r, t in turns[-2:])
