@@ -5,7 +5,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import collect
+from helpers import collect
 from pyspark.sql import functions as F
 
 from alphaloom.core import Panel

@@ -4,7 +4,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import collect, price_frame
+from helpers import collect, price_frame
 from pyspark.sql import functions as F
 
 from alphaloom.core import Panel, cumulative, group_quantiles, numbered, tally
