@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core.ranks import positions
 from ..functions.crosssection import with_group
 from ..operators import backtest as bt
 from ..operators import bars as br
@@ -109,8 +110,9 @@ FROM (SELECT *, mom - quantile_cont(mom, 0.5) OVER (PARTITION BY ts) AS c, {pct_
 WINDOW g AS (PARTITION BY ts)""")
 def _(spark, sf):
     rows = st.signal_rows(spark, sf).df
-    out = pf.long_short_quantile(rows, "mom", name="equal_weight")
-    return pf.long_short_quantile(out, "mom", weight="signal", name="signal_weight")
+    at = positions(rows, ["ts"], "mom")  # one sort serves both weights
+    out = pf.long_short_quantile(rows, "mom", name="equal_weight", at=at)
+    return pf.long_short_quantile(out, "mom", weight="signal", name="signal_weight", at=at)
 
 
 @query("pos_vol_scaled", keys="asset ts", nums="position", sql=with_(BARS, RETS, SIGNALS) + f"""

@@ -29,3 +29,11 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows to the shared folder and read them back: the plan is cut, and the
+    planner knows the size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,55 +1,113 @@
 """Exact ranks and quantiles inside groups of any size, by one plan.
 
 A rank window or an exact percentile over a group would send it to one task.  Instead equal
-values collapse map-side, the distinct values of a group are spread over value buckets cut
-at approximate quantiles, as many as its rows call for, and each bucket is ranked by itself.
-Adding the counts of the lower buckets makes the position exact whatever the cut points are.
+values collapse map-side and the distinct (group, value) rows are range-partitioned by group
+and value, so that a group with a third of all rows lies in a third of the ranges.  Each
+range counts its groups by itself, in one ordered pass, and is written.  A group that ends
+inside its range is done; only the first and the last group of a range can go on in a
+neighbour, so what earlier ranges hold of them is a table of two rows per range.
 NULL keys form a group like any other, and values keep their own type.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .expr import col, join_groups
+from .lineage import written
 
-CUTS = 256  # cut points kept per group; a group uses a share of them
-BUCKET_ROWS = 50_000  # rows that call for one more bucket
+FIRST, LAST = 1, 2  # bits of _edge: the group is the first or the last of its range
 
 
-def _positions(df: DataFrame, keys: list[str], value: Column, bucket_rows: int) -> DataFrame:
-    """One row per (keys, distinct value): _v, _eq, _lt, _n; a group's NULL values are one
-    row with _v NULL, so that no group is lost."""
-    counted = df.select(*keys, value.alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_eq"))
-    weight = F.when(F.col("_v").isNotNull(), F.col("_eq")).otherwise(0)
-    cuts = [i / CUTS for i in range(1, CUTS)]
-    edges = counted.groupBy(*keys).agg(
-        F.percentile_approx(F.col("_v").cast("double"), cuts, 16 * CUTS).alias("_cuts"), F.sum(weight).alias("_n"),
-    )
-    wanted = F.least(F.lit(CUTS), F.ceil(F.col("_n") / bucket_rows))
-    stride = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / F.greatest(wanted, F.lit(1))))
-    edges = edges.withColumn("_stride", stride).select(
-        *keys, "_n", F.filter("_cuts", lambda e, i: (i + 1) % F.col("_stride") == 0).alias("_edges")
-    )
-    spread = join_groups(counted, edges, keys).withColumn(
-        "_b", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("_v").cast("double"))), F.lit(0))
-    ).drop("_edges").withColumn("_w", weight)
-    inside = Window.partitionBy(*keys, "_b").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    local = spread.withColumn("_in", F.sum("_w").over(inside) - F.col("_w"))
-    lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    below = spread.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c")).select(
-        *keys, "_b", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_below")
-    )
-    return join_groups(local, below, [*keys, "_b"]).select(
-        *keys, "_v", "_eq", (F.col("_below") + F.col("_in")).alias("_lt"), "_n"
+def _changes(a: pa.Array) -> np.ndarray:
+    """Does each element differ from the one before it? NULL equals NULL, NaN equals NaN."""
+    x, y = a.slice(1), a.slice(0, len(a) - 1)
+    differ = pc.fill_null(pc.not_equal(x, y), pc.xor(x.is_null(), y.is_null()))
+    if pa.types.is_floating(a.type):
+        nan = lambda z: pc.fill_null(pc.is_nan(z), False)
+        differ = pc.and_not(differ, pc.and_(nan(x), nan(y)))
+    return np.r_[True, differ.to_numpy(zero_copy_only=False)]
+
+
+def _count_range(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts inside one sorted range. It is held as Arrow columns while it is counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).combine_chunks()
+        n = t.num_rows
+        new = np.zeros(n, bool)
+        new[0] = True
+        for k in keys:
+            new |= _changes(pa.concat_arrays(t.column(k).chunks))
+        start = np.flatnonzero(new)
+        weight = t.column("_w").to_numpy()
+        upto = np.cumsum(weight)
+        before = upto - weight
+        sizes = np.diff(np.r_[start, n])
+        total = upto[np.r_[start[1:] - 1, n - 1]] - before[start]
+        edge = np.zeros(len(start), np.int32)
+        edge[0] |= FIRST
+        edge[-1] |= LAST
+        more = {
+            "_lt": before - np.repeat(before[start], sizes), "_n": np.repeat(total, sizes),
+            "_edge": np.repeat(edge, sizes), "_range": np.full(n, TaskContext.get().partitionId(), np.int32),
+        }
+        for name, values in more.items():
+            t = t.append_column(name, pa.array(values))
+        yield from t.to_batches(max_chunksize=65536)
+
+    return run
+
+
+def positions(df: DataFrame, keys: list[str], value: str | Column, *, ranges: int | None = None) -> DataFrame:
+    """One row per (keys, distinct value): _v, _eq (rows), _lt (rows with smaller values) and
+    _n (rows of the group), all of non-NULL values. A group's NULL values are one row with
+    _v NULL, so that no group is lost. `ranges` fixes the number of ranges."""
+    keys = list(keys)
+    counted = df.select(*keys, col(value).alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_eq"))
+    counted = counted.withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_eq")).otherwise(0))
+    order = [*keys, "_v"]
+    spread = counted.repartitionByRange(ranges, *order) if ranges else counted.repartitionByRange(*order)
+    schema = T.StructType([
+        *spread.schema.fields, T.StructField("_lt", T.LongType()), T.StructField("_n", T.LongType()),
+        T.StructField("_edge", T.IntegerType()), T.StructField("_range", T.IntegerType()),
+    ])
+    local = written(spread.sortWithinPartitions(*order).mapInArrow(_count_range(keys), schema), "ranges")
+    # what a range holds of its first and its last group, and what earlier ranges hold of them
+    parts = local.where("_edge > 0").groupBy(*keys, "_range", "_edge").agg(F.sum("_w").alias("_c"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = written(parts.select(
+        F.col("_range").alias("_r"), F.col("_edge").alias("_e"),
+        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_carried"), F.sum("_c").over(group).alias("_whole"),
+    ), "carry")
+    joined = local.join(carry, (F.col("_range") == F.col("_r")) & (F.col("_edge") == F.col("_e")), "left")
+    return joined.select(
+        *keys, "_v", "_eq", (F.col("_lt") + F.coalesce("_carried", F.lit(0))).alias("_lt"),
+        F.coalesce("_whole", "_n").alias("_n"),
     )
 
 
-def tally(df: DataFrame, keys: list[str], value: str | Column, prefix: str = "", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def tally(
+    df: DataFrame, keys: list[str], value: str | Column, prefix: str = "", *, at: DataFrame | None = None,
+    ranges: int | None = None,
+) -> DataFrame:
     """Add `{prefix}lt`, `{prefix}eq`, `{prefix}n`: smaller, equal and all
-    non-NULL values of the row's group.  NULL for NULL input."""
+    non-NULL values of the row's group.  NULL for NULL input.  `at`: the positions, if
+    they are known already."""
     keys = list(keys)
-    pos = _positions(df, keys, col(value), bucket_rows).filter(F.col("_v").isNotNull()).select(
+    at = positions(df, keys, value, ranges=ranges) if at is None else at
+    pos = at.filter(F.col("_v").isNotNull()).select(
         *keys, F.col("_v").alias("_val"), F.col("_lt").alias(f"{prefix}lt"), F.col("_eq").alias(f"{prefix}eq"),
         F.col("_n").alias(f"{prefix}n"),
     )
@@ -62,33 +120,43 @@ def average_rank(prefix: str = "", pct: bool = True) -> Column:
     return r / F.col(f"{prefix}n") if pct else r
 
 
+def _holds(k: Column) -> Column:
+    """Does the row's value stand at the zero-based place k of its sorted group?"""
+    return F.col("_v").isNotNull() & (F.col("_lt") <= k) & (k < F.col("_lt") + F.col("_eq"))
+
+
+def _wanted(at: DataFrame, places: list[Column]) -> DataFrame:
+    """The few rows that hold a place, and one row of each group besides."""
+    keep = F.col("_lt") == 0
+    for k in places:
+        keep = keep | _holds(k)
+    return at.where(keep)
+
+
 def group_quantiles(
-    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], *, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], *, at: DataFrame | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group."""
     keys = list(keys)
-    src = df if keys else df.withColumn("_all_", F.lit(1))
-    pos = _positions(src, keys or ["_all_"], col(value), bucket_rows)
+    at = positions(df, keys, value, ranges=ranges) if at is None else at
     x = F.col("_v").cast("double")
-    outs = []
+    outs, places = [], []
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
-        at = lambda k: F.when((F.col("_lt") <= k) & (k < F.col("_lt") + F.col("_eq")), x)
-        lo, hi = F.max(at(F.floor(h))), F.max(at(F.ceil(h)))
-        frac = F.max(h - F.floor(h))
-        outs.append((lo + (hi - lo) * frac).alias(name))
-    return pos.groupBy(*keys).agg(*outs)
+        value_at = lambda k: F.max(F.when(_holds(k), x))
+        places += [F.floor(h), F.ceil(h)]
+        lo, hi = value_at(F.floor(h)), value_at(F.ceil(h))
+        outs.append((lo + (hi - lo) * F.max(h - F.floor(h))).alias(name))
+    return _wanted(at, places).groupBy(*keys).agg(*outs)
 
 
 def group_values_at(
-    df: DataFrame, keys: list[str], value: str | Column, at: dict, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, keys: list[str], value: str | Column, places: dict, *, at: DataFrame | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Sorted values at positions per group: `{name: function of the count column}`."""
-    pos = _positions(df, list(keys), col(value), bucket_rows)
-    outs = [
-        F.max(
-            F.when((F.col("_lt") <= k(F.col("_n"))) & (k(F.col("_n")) < F.col("_lt") + F.col("_eq")), F.col("_v"))
-        ).alias(name)
-        for name, k in at.items()
-    ]
-    return pos.groupBy(*keys).agg(*outs)
+    at = positions(df, list(keys), value, ranges=ranges) if at is None else at
+    wanted = {name: k(F.col("_n")) for name, k in places.items()}
+    outs = [F.max(F.when(_holds(k), F.col("_v"))).alias(name) for name, k in wanted.items()]
+    return _wanted(at, list(wanted.values())).groupBy(*keys).agg(*outs)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..core.expr import clip, join_groups, ratio
 from ..core.panel import Panel
-from ..core.ranks import average_rank, group_quantiles, tally
+from ..core.ranks import average_rank, group_quantiles, positions, tally
 from ..core.scan import numbered
 from ..functions.crosssection import with_group
 from .backtest import BacktestConfig, performance
@@ -92,19 +92,21 @@ def portfolio_performance(
 
 def long_short_quantile(
     df: DataFrame, signal: str, *, by: tuple[str, ...] = ("ts",), long_quantile: float = 0.8,
-    short_quantile: float = 0.2, weight: str = "equal", name: str = "position",
+    short_quantile: float = 0.2, weight: str = "equal", name: str = "position", at: DataFrame | None = None,
 ) -> DataFrame:
     """Weights from ranks within the bar.
 
     `equal`: one over the number of names on each side (gross 2).  `signal`: by
-    distance from the median, half gross on each side.
+    distance from the median, half gross on each side.  `at`: the positions of the
+    signal in its bars (`core.ranks.positions`), if they are known already.
     """
     if not 0.0 < short_quantile < long_quantile < 1.0:
         raise ValueError("need 0 < short_quantile < long_quantile < 1")
     if weight not in ("equal", "signal"):
         raise ValueError(f"unknown weight scheme {weight!r}")
     by = list(by)
-    ranked = tally(df, by, signal, prefix="_q_")
+    at = positions(df, by, signal) if at is None else at
+    ranked = tally(df, by, signal, prefix="_q_", at=at)
     pct = average_rank("_q_")
     is_long = F.coalesce(pct >= long_quantile, F.lit(False))
     is_short = F.coalesce(pct <= short_quantile, F.lit(False))
@@ -113,7 +115,7 @@ def long_short_quantile(
         ranked = ranked.withColumn("_c", F.lit(1.0))
         share = 1.0
     else:
-        ranked = join_groups(ranked, group_quantiles(df, by, signal, {"_med": 0.5}), by, "left")
+        ranked = join_groups(ranked, group_quantiles(df, by, signal, {"_med": 0.5}, at=at), by, "left")
         ranked = ranked.withColumn("_c", F.col(signal) - F.col("_med"))
         share = 0.5
     side = lambda flag: F.when(F.col(flag), F.abs("_c"))
