@@ -7,7 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import bpe, chat, decontaminate, jaccard, licenses, linededup, pii, quality, sharding, toxicity
+from alphaloom.core.lineage import written
+from alphaloom.llm import (
+    bpe, chat, decontaminate, jaccard, lexical, licenses, linededup, pii, quality, sharding, toxicity, trie, urlfilter,
+)
 from alphaloom.llm.common import table
 
 N_SHARDS = 16
@@ -89,6 +92,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Rules of the URL filter: a host with its subdomains, and the start of the path.
+URL_RULES = (
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
+)
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    weights = urlfilter.fit(urlfilter.labelled_by_rules(pages, URL_RULES))
+    return urlfilter.judged(pages, URL_RULES, weights).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(trie.turns(table(spark, sf_dir, "conversations")), "numbered")
+    return trie.nodes(*trie.rebuilt(own)).drop("node", "parent_node", "turn_id")
+
+
 OP6_SQL = f"""
 SELECT doc_id, sha256(coalesce(new_text, '')) AS text_sha256, coalesce(n_lines, 0) AS n_lines,
        coalesce(n_removed, 0) AS n_removed, n_chunks
@@ -127,10 +151,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_ledger": op9_quality_ledger,
     "op10_decontaminate": op10_decontaminate,
+    "op11_url_filters": op11_url_filters,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op9_quality_ledger": OP9_SQL,
     "op10_decontaminate": decontaminate.leaks_sql(),
+    "op12_lexical_search": lexical.ranked_sql(),
+    "op13_prefix_trie": trie.trie_sql(),
 }
