@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from ..core.expr import join_groups
+from ..core.lineage import checkpointed
 from ..core.panel import Panel
 from ..core.ranks import tally
 from ..core.scan import cumulative
@@ -74,41 +75,51 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return _complete(spark.read.option("mergeSchema", "true").parquet(path))
 
 
+def _replayed(events: DataFrame) -> DataFrame:
+    """Events with `trial_no`, the newest row of their hypothesis as they happen, and `_acc`, whether
+    that row is accepted then.  Events before any row are gone."""
+    is_record = F.col("kind").isin("record", "seed")
+    verdict = F.when(F.col("kind") == "override", F.lit(True)).when(is_record, F.col("accepted"))
+    ev = events.withColumn("_at", F.timestamp_micros("seq"))
+    frame = Panel(ev, keys=("hypothesis_id",), ts="_at", block="second").frame()
+    run = checkpointed(cumulative(frame, {"_recs": ("sum", is_record.cast("int")), "_acc": ("last", verdict)}).core())
+    # a lone override makes a placeholder; a deployment of it before the first record makes it a row of its own
+    before = lambda kind: F.when((F.col("_recs") == 0) & (F.col("kind") == kind), F.col("seq"))
+    heads = run.groupBy("hypothesis_id").agg(F.min(before("override")).alias("_held"), F.max(before("deploy")).alias("_early"))
+    own_row = F.coalesce(F.col("_early") > F.col("_held"), F.lit(False)).cast("int")
+    row = F.when(F.col("_recs") == 0, (F.col("seq") >= F.col("_held")).cast("int")).otherwise(F.col("_recs") + own_row)
+    run = join_groups(run, heads, ["hypothesis_id"]).withColumn("trial_no", row.cast("bigint"))
+    return run.filter("trial_no > 0").drop("_recs", "_held", "_early")
+
+
 def trials(events: DataFrame) -> DataFrame:
     """One row per trial, as the events leave it.
 
     A record makes a new row, except that the first record after a lone override
     fills the override's placeholder.  An override accepts the newest row; a
     deployment changes every row of the hypothesis accepted at that moment.
+
+    The work is linear in the events.  Only the newest row can change its verdict, so a
+    deployment is weighed at its own moment for that row alone; all older rows have their
+    final verdict by then, and of the deployments that reach them only the hypothesis' last
+    ones (of any kind, to paper, live) can show.
     """
     is_record = F.col("kind").isin("record", "seed")
     is_override, is_deploy = F.col("kind") == "override", F.col("kind") == "deploy"
-    ev = events.withColumn("_at", F.timestamp_micros("seq"))
-    frame = Panel(ev, keys=("hypothesis_id",), ts="_at", block="second").frame()
-    before_record = F.col("_recs") == 0
-    frame = cumulative(frame, {"_recs": ("sum", is_record.cast("int"))})
-    # overrides, then deployments of their placeholder, before any record
-    frame = cumulative(frame, {"_held": ("sum", (is_override & before_record).cast("int"))})
-    frame = cumulative(
-        frame, {"_early": ("sum", (is_deploy & before_record & (F.col("_held") > 0)).cast("int"))}
-    )
-    extra = (F.col("_held") > 0) & (before_record | (F.col("_early") > 0))
-    run = frame.core().withColumn("_row", F.col("_recs") + extra.cast("bigint")).filter("_row > 0")
-    rows = F.when(is_deploy, F.sequence(F.lit(1).cast("bigint"), F.col("_row"))).otherwise(F.array("_row"))
-    run = run.withColumn("trial_no", F.explode(rows)).drop("_recs", "_row", "_held", "_early")
-
+    run = checkpointed(_replayed(events))
     verdict = F.when(is_override, F.lit(True)).when(is_record, F.col("accepted"))
-    run = cumulative(
-        Panel(run, keys=("hypothesis_id", "trial_no"), ts="_at", block="second").frame(),
-        {"_acc": ("last", verdict)},
-    ).core()
     applied = is_deploy & F.coalesce("_acc", F.lit(False))
     rec = lambda c: F.max_by(F.struct(c), F.when(is_record, F.col("seq")))[c]
     last = lambda value, when: F.max_by(F.struct(value.alias("v")), F.when(when, F.col("seq")))["v"]
     none = F.lit(None).cast("string")
-    status = F.when(is_record, "archived").when(applied, F.col("status"))
-    size = F.when(is_record, F.coalesce("size_multiplier", F.lit(1.0))).when(applied, F.col("size_multiplier"))
     day = F.col("created_at").cast("date")
+    move = F.struct(F.col("seq"), F.col("trial_no").alias("row"), "status", F.col("size_multiplier").alias("size"), day.alias("day"))
+    newest = lambda when: F.max(F.when(when, move))
+    kinds = {"any": F.lit(True), "paper": F.col("status") == "paper", "live": F.col("status") == "live"}
+    reset = F.struct(
+        F.col("seq"), F.col("trial_no").alias("row"), F.lit("archived").alias("status"),
+        F.coalesce("size_multiplier", F.lit(1.0)).alias("size"), day.alias("day"),
+    )
     out = run.groupBy("hypothesis_id", "trial_no").agg(
         F.min(F.when(~is_deploy, F.col("seq"))).alias("first_seq"),
         F.min_by("created_at", F.when(~is_deploy, F.col("seq"))).alias("created_at"),
@@ -120,14 +131,23 @@ def trials(events: DataFrame) -> DataFrame:
         rec("market_type").alias("market_type"),
         last(verdict, is_record | is_override).alias("accepted"),
         last(F.when(is_record, F.col("rejection_reason")).otherwise(none), is_record | is_override).alias("rejection_reason"),
-        F.coalesce(last(status, is_record | applied), F.lit("override_pending")).alias("deployment_status"),
-        F.coalesce(last(size, is_record | applied), F.lit(1.0)).alias("size_multiplier"),
-        last(day, applied & (F.col("status") == "paper")).alias("paper_start_date"),
-        last(day, applied & (F.col("status") == "live")).alias("live_start_date"),
+        F.max(F.when(is_record, reset)).alias("_reset"),
+        *[newest(applied & k).alias(f"_own_{n}") for n, k in kinds.items()],
         F.sum(is_override.cast("bigint")).alias("n_overrides"),
     )
-    placed = tally(out.withColumn("_all", F.lit(1)), ["_all"], "first_seq", prefix="_n_")
-    return placed.withColumn("n_trials_at_time", F.col("_n_lt")).drop("_all", "_n_lt", "_n_eq", "_n_n")
+    moves = run.filter(is_deploy).groupBy("hypothesis_id").agg(*[newest(k).alias(f"_last_{n}") for n, k in kinds.items()])
+    out = join_groups(out, moves, ["hypothesis_id"], "left")
+    # a later row was the newest one when it came, so this row had its final verdict
+    later = lambda n: F.when(F.col("accepted") & (F.col(f"_last_{n}.row") > F.col("trial_no")), F.col(f"_last_{n}"))
+    out = out.withColumns({f"_{n}": F.greatest(f"_own_{n}", later(n), *(["_reset"] if n == "any" else [])) for n in kinds})
+    out = checkpointed(out.select(
+        "hypothesis_id", "trial_no", "first_seq", "created_at", "hypothesis_text", "rationale", "code", "metrics_json", "returns_json",
+        "market_type", "accepted", "rejection_reason", F.coalesce("_any.status", F.lit("override_pending")).alias("deployment_status"),
+        F.coalesce("_any.size", F.lit(1.0)).alias("size_multiplier"), F.col("_paper.day").alias("paper_start_date"),
+        F.col("_live.day").alias("live_start_date"), "n_overrides",
+    ))
+    placed = tally(out, [], "first_seq", prefix="_n_")
+    return placed.withColumn("n_trials_at_time", F.col("_n_lt")).drop("_n_lt", "_n_eq", "_n_n")
 
 
 def n_trials(trial_rows: DataFrame) -> DataFrame:

@@ -187,6 +187,62 @@ def test_ledger_replay(spark):
         lg.deploy_events(ledger(spark, (1, "a", "deploy", {"status": "moon"}))).collect()
 
 
+def replay(events):
+    """The ledger event by event: {(hypothesis, number): [accepted, status, size, paper, live, overrides, first]}."""
+    rows, order = {}, []
+    for seq, h, kind, more in events:
+        own = rows.setdefault(h, [])
+        if kind == "override":
+            if not own:
+                own.append([True, "override_pending", 1.0, None, None, 0, seq])
+                order.append(own[-1])
+            own[-1][0] = True
+            own[-1][5] += 1
+        elif kind == "record":
+            if own and own[-1][1] == "override_pending":
+                own[-1][:3] = [more["accepted"], "archived", more.get("size_multiplier", 1.0)]
+            else:
+                own.append([more["accepted"], "archived", more.get("size_multiplier", 1.0), None, None, 0, seq])
+                order.append(own[-1])
+        else:
+            for r in own:
+                if r[0]:
+                    r[1], r[2] = more["status"], more["size_multiplier"]
+                    if more["status"] in ("paper", "live"):
+                        r[3 if more["status"] == "paper" else 4] = more["created_at"].date()
+    return {(h, i + 1): (*r, [x is r for x in order].index(True)) for h, own in rows.items() for i, r in enumerate(own)}
+
+
+def test_ledger_equals_a_replay_event_by_event(spark):
+    rng = np.random.default_rng(11)
+    events = []
+    for seq in range(1, 900):
+        kind = rng.choice(["record", "override", "deploy"], p=[0.35, 0.2, 0.45])
+        more = {"created_at": (pd.Timestamp("2021-01-01") + pd.Timedelta(days=seq)).to_pydatetime()}
+        if kind == "record":
+            more["accepted"] = bool(rng.uniform() < 0.5)
+        if kind == "deploy":
+            more |= {"status": str(rng.choice(lg.STATUSES)), "size_multiplier": float(seq)}
+        events.append((seq, f"h{rng.integers(0, 60) if seq % 3 else 0}", str(kind), more))
+    names = ["accepted", "deployment_status", "size_multiplier", "paper_start_date", "live_start_date", "n_overrides", "first_seq", "n_trials_at_time"]
+    got = {(r.hypothesis_id, r.trial_no): tuple(r[n] for n in names) for r in lg.trials(ledger(spark, *events)).collect()}
+    assert got == replay(events)
+
+
+def test_ledger_work_is_linear_in_deployments(spark):
+    n = 10_000
+    at = F.col("id")
+    both = spark.range(1, 2 * n + 1).select(
+        at.alias("seq"), F.lit("h").alias("hypothesis_id"), F.when(at % 2 == 1, "record").otherwise("deploy").alias("kind"),
+        F.when(at % 2 == 1, at % 4 == 1).alias("accepted"), F.when(at % 2 == 0, "live").alias("status"),
+        F.when(at % 2 == 0, at.cast("double")).alias("size_multiplier"), F.timestamp_seconds(at * 86400).alias("created_at"),
+    )
+    t = lg.trials(lg._complete(both)).cache()
+    assert t.count() == n and t.filter("deployment_status = 'live' AND size_multiplier = 20000.0").count() == n // 2
+    assert t.filter("deployment_status = 'archived'").count() == n // 2 and t.filter("n_trials_at_time <> trial_no - 1").count() == 0
+    t.unpersist()
+
+
 def test_portfolio_greeks(spark):
     ev = ledger(spark, (1, "a", "record", {"accepted": True, "market_type": "options"}), (2, "a", "deploy", {"status": "live", "size_multiplier": 0.0}))
     greeks = spark.createDataFrame([("a", 1, 1.0, 1.0, 1.0, 1.0), ("a", 2, 60.0, 2.0, 3.0, 4.0)], "hypothesis_id string, ts int, delta double, gamma double, vega double, theta double")
