@@ -84,24 +84,39 @@ def _rule_sql():
         f"t := -3.0 + 6.0 * {draw(2, 9, 'rule_id', repr(f))})"
         for f in FEATURES
     )
+    pick = lambda values, k, seed: f"(list_value({', '.join(map(repr, values))}))[CAST(floor({draw(k, seed, 'rule_id')} * {len(values)}) AS INTEGER) + 1]"
     return f"""rules AS (
-  SELECT rule_id, direction, list_slice(list_sort([{opts}]), 1, stages) AS conds FROM (
-    SELECT rule_id, CAST(floor({draw(0, 7, 'rule_id')} * 3) AS INTEGER) + 1 AS stages,
-      (['long', 'short', 'both'])[CAST(floor({draw(1, 7, 'rule_id')} * 3) AS INTEGER) + 1] AS direction
+  SELECT *, list_slice(list_sort([{opts}]), 1, stages) AS conds FROM (
+    SELECT rule_id, {pick((1, 2, 3), 0, 7)} AS stages, {pick(('long', 'short', 'both'), 1, 7)} AS direction, {pick((1, 2, 3, 5, 7), 0, 8)} AS fresh,
+      CAST(floor({draw(1, 8, 'rule_id')} * 10) AS INTEGER) + 1 AS hold, {pick(('none', 'short_only', 'both'), 2, 8)} AS trend
     FROM (SELECT unnest(range(0, {RULES})) AS rule_id))
 ),
-flat AS (SELECT rule_id, direction, conds[1].op AS first_op, len(conds) AS k, unnest(conds) AS c FROM rules),
-hits AS (
-  SELECT s.asset, s.ts, s.ret, r.rule_id, any_value(direction) AS direction, any_value(first_op) AS first_op
-  FROM signals s JOIN flat r ON (CASE r.c.f WHEN 'mom' THEN mom WHEN 'z' THEN z ELSE vol END > r.c.t AND r.c.op = '>')
-     OR (CASE r.c.f WHEN 'mom' THEN mom WHEN 'z' THEN z ELSE vol END < r.c.t AND r.c.op = '<')
-  GROUP BY 1, 2, 3, 4 HAVING count(*) = any_value(k)
+sided AS (SELECT *, CASE WHEN direction = 'short' OR (direction = 'both' AND conds[1].op = '<') THEN -1 ELSE 1 END AS sign FROM rules),
+flat AS (SELECT rule_id, fresh, len(conds) AS k, unnest(conds) AS c FROM sided),
+bars_ AS (SELECT *, row_number() OVER {W} AS rn, lead(ret) OVER {W} AS earned FROM signals),
+seen AS (
+  SELECT s.asset, r.rule_id, r.c.f AS f, any_value(k) AS k, s.rn + lag AS rn
+  FROM bars_ s JOIN flat r ON (CASE r.c.f WHEN 'mom' THEN mom WHEN 'z' THEN z ELSE vol END > r.c.t AND r.c.op = '>')
+     OR (CASE r.c.f WHEN 'mom' THEN mom WHEN 'z' THEN z ELSE vol END < r.c.t AND r.c.op = '<'),
+  LATERAL (SELECT unnest(range(0, r.fresh)) AS lag) GROUP BY s.asset, r.rule_id, r.c.f, s.rn + lag
+),
+entry AS (
+  SELECT e.asset, e.rule_id, list(e.rn ORDER BY e.rn) AS at_, any_value(hold) AS hold
+  FROM (SELECT asset, rule_id, rn FROM seen GROUP BY ALL HAVING count(*) = any_value(k)) e
+  JOIN sided USING (rule_id) JOIN bars_ b ON b.asset = e.asset AND b.rn = e.rn
+  WHERE NOT (trend = 'both' OR (trend = 'short_only' AND sign < 0)) OR sign(mom) = sign GROUP BY ALL
+),
+opened AS (
+  SELECT asset, rule_id, hold, unnest(list_reduce(list_transform(at_, lambda x: [x]), lambda acc, x:
+    CASE WHEN x[1] >= acc[len(acc)] + hold THEN list_concat(acc, x) ELSE acc END)) AS start FROM entry
+),
+earned_ AS (
+  SELECT o.rule_id, sum(earned) AS s, sum(earned * earned) AS q
+  FROM (SELECT asset, rule_id, start + unnest(range(0, hold)) AS rn FROM opened) o JOIN bars_ USING (asset, rn) GROUP BY 1
 ),
 scores AS (
   SELECT rule_id, CASE WHEN q - s * s / n > 0 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(52) ELSE 0 END AS sr FROM (
-    SELECT r.rule_id, coalesce(sum(CASE WHEN h.direction = 'short' OR (h.direction = 'both' AND h.first_op = '<') THEN -h.ret ELSE h.ret END), 0) AS s,
-      coalesce(sum(h.ret * h.ret), 0) AS q, (SELECT count(ret) FROM signals) AS n
-    FROM rules r LEFT JOIN hits h USING (rule_id) GROUP BY 1)
+    SELECT rule_id, coalesce(sign * e.s, 0) AS s, coalesce(e.q, 0) AS q, (SELECT count(ret) FROM signals) AS n FROM sided LEFT JOIN earned_ e USING (rule_id))
 )"""
 
 
@@ -113,11 +128,11 @@ SELECT actual AS actual_sharpe, best AS best_random_sharpe, best_rule_id, n_rule
 FROM (SELECT max(sr) AS best, arg_max(rule_id, sr) AS best_rule_id, count(*) AS n_rules FROM scores),
   (SELECT avg(ret) / stddev_samp(ret) * sqrt(52) AS actual FROM signals)""")
 def _(spark, sf):
-    rows = st.signal_rows(spark, sf).df
+    rows = st.signal_rows(spark, sf)
     # the rules stand against being long in everything
-    actual = rows.agg(ratio(F.avg("ret"), F.stddev_samp("ret")) * st.WEEKS**0.5).first()[0]
+    actual = rows.df.agg(ratio(F.avg("ret"), F.stddev_samp("ret")) * st.WEEKS**0.5).first()[0]
     return rz.rule_search(
-        rows, rz.random_rules(spark, FEATURES, n=RULES, seed=7), actual, ret="ret", annualization=st.WEEKS
+        rows, rz.random_rules(spark, FEATURES, n=RULES, seed=7), actual, ret="ret", trend="mom", annualization=st.WEEKS
     )
 
 

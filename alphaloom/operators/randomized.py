@@ -6,6 +6,7 @@ draws come from digests of ids, and each trial collapses to moments map-side.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 from hashlib import md5
 
 import numpy as np
@@ -191,17 +192,25 @@ def permutation_test(panel: Panel, **kwargs) -> DataFrame:
 
 def random_rules(spark: SparkSession, features: list[str], *, n: int = 1000, stages: tuple[int, ...] = (1, 2, 3),
                  low: float = -3.0, high: float = 3.0, seed: int = 7,
-                 directions: tuple[str, ...] = ("long", "short", "both")) -> DataFrame:
-    """Random entry rules: distinct features, each above or below a threshold."""
+                 directions: tuple[str, ...] = ("long", "short", "both"), max_hold: int = 10,
+                 freshness: tuple[int, ...] = (1, 2, 3, 5, 7), trends: tuple[str, ...] = ("none", "short_only", "both"),
+                 ) -> DataFrame:
+    """Random rules: distinct features, each above or below a threshold, and the constraints of a
+    real strategy: how many bars a condition stays fresh, how many bars a position is held, and
+    which sides need the trend with them."""
     pick = lambda values, u: F.element_at(
         F.array(*[F.lit(v) for v in values]), F.floor(u * len(values)).cast("int") + 1
     )
     rules = spark.range(n).withColumnRenamed("id", "rule_id")
-    u = uniforms(3, seed, "rule_id")
+    u = uniforms(2, seed, "rule_id")
+    v = uniforms(3, seed + 1, "rule_id")
     rules = rules.select(
         "rule_id",
         pick(stages, u[0]).alias("n_stages"),
         pick(directions, u[1]).alias("direction"),
+        pick(freshness, v[0]).alias("freshness"),
+        (F.floor(v[1] * max_hold) + 1).cast("int").alias("hold"),
+        pick(trends, v[2]).alias("trend"),
     )
     per_feature = []
     for f in features:
@@ -344,13 +353,178 @@ def moment_sharpe(n: str | Column, s: str | Column, q: str | Column, scale: str
     return F.coalesce(ratio(mean, F.when(var > 0, F.sqrt(var))) * scale, F.lit(0.0))
 
 
-def rule_search(df: DataFrame, rules: DataFrame, actual_sharpe: float, *, ret: str, margin: float = 0.10,
-                annualization: float = 252) -> DataFrame:
+@dataclass(frozen=True)
+class RuleTable:
+    """Rules as arrays, one column of a bar matrix per rule; a stage that a rule lacks always holds."""
+
+    ids: np.ndarray
+    used: list[str]
+    feature: np.ndarray  # stages x rules: number in `used`, -1 for no stage
+    above: np.ndarray
+    level: np.ndarray
+    freshness: np.ndarray
+    hold: np.ndarray
+    sign: np.ndarray
+    needs_trend: np.ndarray
+
+    @classmethod
+    def of(cls, rules: DataFrame) -> "RuleTable":
+        rows = rules.limit(MAX_RULES + 1).collect()
+        if len(rows) > MAX_RULES:
+            raise ValueError(f"more than {MAX_RULES} rules")
+        used = sorted({c["feature"] for r in rows for c in r["conditions"]})
+        stages = max((len(r["conditions"]) for r in rows), default=0)
+        feature = np.full((stages, len(rows)), -1)
+        above, level = np.zeros(feature.shape, bool), np.zeros(feature.shape)
+        for k, r in enumerate(rows):
+            for j, c in enumerate(r["conditions"]):
+                feature[j, k], above[j, k], level[j, k] = used.index(c["feature"]), c["op"] == ">", c["threshold"]
+        first = [r["conditions"][0]["op"] if r["conditions"] else ">" for r in rows]
+        short = np.array([r["direction"] == "short" or (r["direction"] == "both" and op == "<") for r, op in zip(rows, first, strict=True)], bool)
+        trend = np.array([r["trend"] for r in rows], str)
+        return cls(
+            np.array([r["rule_id"] for r in rows], np.int64), used, feature, above, level,
+            np.array([r["freshness"] for r in rows], np.int64), np.array([r["hold"] for r in rows], np.int64),
+            np.where(short, -1.0, 1.0), (trend == "both") | ((trend == "short_only") & short),
+        )
+
+    def part(self, s: slice) -> "RuleTable":
+        f = lambda a: a[..., s]
+        return replace(self, **{n: f(getattr(self, n)) for n in ("ids", "feature", "above", "level", "freshness", "hold", "sign", "needs_trend")})
+
+    def entries(self, features: np.ndarray, trend: np.ndarray) -> np.ndarray:
+        """bars x rules: may a position begin? Each condition was seen within the freshness window, and the
+        trend is on the rule's side where the rule asks for it."""
+        bars = np.ones((len(features), len(self.ids)), bool)
+        for j in range(len(self.feature)):
+            x = features[:, self.feature[j]]
+            seen = np.where(self.above[j], x > self.level[j], x < self.level[j])
+            fresh = seen.copy()
+            for lag in range(1, int(self.freshness.max(initial=1))):
+                fresh[lag:] |= seen[:-lag] & (self.freshness > lag)
+            bars &= fresh | (self.feature[j] < 0)
+        with_trend = np.sign(trend)[:, None] == self.sign
+        return bars & (with_trend | ~self.needs_trend)
+
+    def held(self, entries: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """bars x rules held, and the bars still to be held after the last one; `left` before the first. A
+        position runs its time before the next entry counts."""
+        out = np.empty_like(entries)
+        for t in range(len(entries)):
+            left = np.where((left == 0) & entries[t], self.hold, left)
+            out[t] = left > 0
+            left = np.maximum(left - 1, 0)
+        return out, left
+
+
+CELLS = 1 << 22  # bars x rules of one matrix
+
+
+def _by_group(batches, by: list[str]):
+    """Whole groups of a stream that is sorted by group."""
+    kept: list[pd.DataFrame] = []
+    for f in batches:
+        if len(f) == 0:
+            continue
+        new = np.zeros(len(f), bool)
+        for k in by:
+            c = f[k]
+            new[1:] |= ~((c.iloc[1:].values == c.iloc[:-1].values) | (c.iloc[1:].isna().values & c.iloc[:-1].isna().values))
+        cut = [0, *np.flatnonzero(new), len(f)]
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            part = f.iloc[a:z]
+            if kept and a == 0:
+                before = kept[-1].iloc[-1]
+                same = all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in ((before[k], part.iloc[0][k]) for k in by))
+                if not same:
+                    yield pd.concat(kept)
+                    kept = []
+            elif kept:
+                yield pd.concat(kept)
+                kept = []
+            kept.append(part)
+    if kept:
+        yield pd.concat(kept)
+
+
+def position_moments(panel: Panel, rules: DataFrame, *, ret: str, trend: str, lag: int = 1) -> DataFrame:
+    """Per rule: bars held with a known return, and sum and sum of squares of what they earn.
+
+    A position of bar t earns the return of bar t + lag.  The rules are a small table of a size
+    checked here and travel with the task.  A task takes one key (or one segment of a long
+    history) after the other as a matrix of bars x rules, and hands on one line of moments per
+    rule, so the shuffle is rules x tasks.  Over segments the hold counter is state: each segment
+    first says which count it would leave for every count it may begin with, these tables are chained
+    along the key, and the segments then run from their true counts.
+    """
+    table = RuleTable.of(rules)
+    most_fresh, most_hold = int(table.freshness.max(initial=1)), int(table.hold.max(initial=1))
+    frame = panel.frame(back=most_fresh - 1, ahead=lag)
+    part, ts = list(frame.part), panel.ts
+    df = frame.df.withColumn("_earned", frame.lead(ret, lag))
+    core = F.col("_core") if frame.segmented else F.lit(True)
+    cols = list(dict.fromkeys([*part, ts, *table.used, trend]))
+    df = checkpointed(df.select(*cols, "_earned", core.alias("_in"))) if frame.segmented else df.select(*cols, "_earned", core.alias("_in"))
+    groups = df.repartition(*part).sortWithinPartitions(*part, ts)
+
+    def matrices(f: pd.DataFrame):
+        """(rules, entries of the core bars, earned) for slices of the rules."""
+        features = f[table.used].to_numpy(dtype=float).reshape(len(f), -1)
+        side, inside = f[trend].to_numpy(dtype=float), f["_in"].to_numpy(dtype=bool)
+        step = max(1, CELLS // max(len(f), 1))
+        for lo in range(0, len(table.ids), step):
+            some = table.part(slice(lo, lo + step))
+            yield slice(lo, lo + step), some, some.entries(features, side)[inside]
+
+    chained = frame.segmented
+    if chained:
+        key = [df.schema[c] for c in part]
+
+        def tables(batches):
+            for f in _by_group(batches, part):
+                after = np.empty((most_hold, len(table.ids)), np.uint16)
+                for at, some, entries in matrices(f):
+                    for left in range(most_hold):
+                        after[left, at] = some.held(entries, np.full(len(some.ids), left))[1]
+                yield f[part].head(1).assign(after=[after.tobytes()])
+
+        def chain(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("_seg")
+            left, out = np.zeros(len(table.ids), np.uint16), []
+            for after in f["after"]:
+                out.append(left.tobytes())
+                left = np.frombuffer(after, np.uint16).reshape(most_hold, -1)[left, np.arange(len(left))]
+            return f[part].assign(left=out)
+
+        known = groups.mapInPandas(tables, T.StructType([*key, T.StructField("after", T.BinaryType())]))
+        by_key = known.groupBy(*panel.keys) if panel.keys else known.groupBy()
+        starts = by_key.applyInPandas(chain, T.StructType([*key, T.StructField("left", T.BinaryType())]))
+        groups = join_groups(df, starts, part).repartition(*part).sortWithinPartitions(*part, ts)
+
+    def evaluate(batches):
+        total = np.zeros((3, len(table.ids)))
+        for f in _by_group(batches, part):
+            earned = f["_earned"].to_numpy(dtype=float)[f["_in"].to_numpy(dtype=bool)]
+            known, gain = ~np.isnan(earned), np.nan_to_num(earned)
+            first = np.frombuffer(f["left"].iloc[0], np.uint16).astype(np.int64) if chained else np.zeros(len(table.ids), np.int64)
+            for at, some, entries in matrices(f):
+                held = some.held(entries, first[at])[0]
+                total[0, at] += known.astype(float) @ held
+                total[1, at] += some.sign * (gain @ held)
+                total[2, at] += (gain * gain) @ held
+        yield pd.DataFrame({"rule_id": table.ids, "n": total[0].astype(np.int64), "s": total[1], "q": total[2]})
+
+    lines = groups.mapInPandas(evaluate, "rule_id long, n long, s double, q double")
+    return lines.groupBy("rule_id").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
+
+
+def rule_search(panel: Panel, rules: DataFrame, actual_sharpe: float, *, ret: str, trend: str, lag: int = 1,
+                margin: float = 0.10, annualization: float = 252) -> DataFrame:
     """Best Sharpe any random rule reaches on the panel, and whether the strategy
-    beats it by the margin.  A rule earns the row's return while its conditions hold
-    and nothing otherwise, so every Sharpe is over all rows."""
-    moments = rule_moments(df, rules, value=ret)
-    n_all = df.agg(F.count(ret)).first()[0]
+    beats it by the margin.  A rule earns what its positions earn and nothing
+    otherwise, so every Sharpe is over all bars with a return."""
+    moments = position_moments(panel, rules, ret=ret, trend=trend, lag=lag)
+    n_all = panel.df.agg(F.count(ret)).first()[0]
     sharpes = moments.withColumn(
         "sharpe", moment_sharpe(F.lit(n_all), "s", "q", math.sqrt(annualization))
     )

@@ -146,6 +146,51 @@ def test_bootstrap_draws_come_from_the_date_pool(spark):
     assert len(out) == 20 and (out.n_used == 55).all() and out.boot_mean.between(lo, hi).all() and out.boot_mean.nunique() > 15
 
 
+def plain_positions(f, rules, trend, lag):
+    """Moments per rule, bar by bar."""
+    out = {}
+    for r in rules:
+        n = total = square = 0
+        sign = -1 if r.direction == "short" or (r.direction == "both" and r.conditions[0].op == "<") else 1
+        for _, g in f.groupby("asset"):
+            rows = g.sort_values("ts").to_dict("records")
+            holds = lambda c, t: rows[t][c.feature] > c.threshold if c.op == ">" else rows[t][c.feature] < c.threshold
+            left = 0
+            for t in range(len(rows)):
+                fresh = all(any(holds(c, b) for b in range(max(0, t - r.freshness + 1), t + 1)) for c in r.conditions)
+                asks = r.trend == "both" or (r.trend == "short_only" and sign < 0)
+                if left == 0 and fresh and (not asks or np.sign(rows[t][trend]) == sign):
+                    left = r.hold
+                if left and t + lag < len(rows) and not np.isnan(rows[t + lag]["ret"]):
+                    x = rows[t + lag]["ret"]
+                    n, total, square = n + 1, total + sign * x, square + x * x
+                left = max(left - 1, 0)
+        out[r.rule_id] = (n, total, square)
+    return out
+
+
+@pytest.mark.parametrize("rows,lag", [(None, 1), (13, 1), (40, 2), (13, 0)])
+def test_random_rules_hold_positions(spark, rows, lag):
+    rng = np.random.default_rng(5)
+    days = pd.bdate_range("2020-01-01", periods=150)
+    f = pd.concat([
+        pd.DataFrame({"asset": a, "ts": days[:n], "a": rng.normal(size=n), "b": rng.normal(size=n), "ret": rng.normal(size=n)})
+        for a, n in (("x", 150), ("y", 40), ("z", 1))
+    ])
+    f.loc[rng.uniform(size=len(f)) < 0.1, "ret"] = np.nan
+    f.loc[rng.uniform(size=len(f)) < 0.1, "a"] = np.nan
+    df = spark.createDataFrame(f)
+    df = df.select("asset", F.col("ts").cast("date").alias("ts"), *[F.nanvl(c, F.lit(None)).alias(c) for c in ("a", "b", "ret")])
+    rules = rz.random_rules(spark, ["a", "b"], n=60, stages=(1, 2), low=-1.5, high=1.5)
+    panel = Panel(df, grain="day") if rows is None else Panel(df, block="week", segment_rows=rows)
+    got = {r.rule_id: (r.n, r.s, r.q) for r in rz.position_moments(panel, rules, ret="ret", trend="a", lag=lag).collect()}
+    want = plain_positions(f, rules.collect(), "a", lag)
+    assert len({r.hold for r in rules.collect()}) > 5 and set(got) == set(want)
+    for k in want:
+        assert got[k][0] == want[k][0]
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-9, atol=1e-9)
+
+
 def ledger(spark, *events):
     base = [dict(zip(("seq", "hypothesis_id", "kind"), e[:3]), **(e[3] if len(e) > 3 else {})) for e in events]
     cols = {f.name for f in lg.EVENT_SCHEMA}
