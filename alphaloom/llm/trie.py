@@ -64,7 +64,7 @@ def turns(rows: DataFrame) -> DataFrame:
 
 def rebuilt(own: DataFrame, group: int = 20, most: int = 4) -> tuple[DataFrame, DataFrame]:
     """Every conversation c with the first h turns of c - c % group in place of its own first h,
-    h = crc32(c) % most: (turns, conversations)."""
+    h = crc32(c) % most: (turns, conversations). The remainder of a negative c is negative, as in SQL."""
     h = F.crc32(F.col("conv_id").cast("string")) % most
     base = F.col("conv_id") - F.col("conv_id") % group
     convs = own.where("pos = 1").select("conv_id", F.col("n"), base.alias("base"), h.alias("h"))
@@ -361,7 +361,8 @@ def trie_sql(conversations: str = "conversations", group: int = 20, most: int =
     return rf"""
 WITH own AS (
   SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
            md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
   FROM {conversations} WHERE conv_id IS NOT NULL
