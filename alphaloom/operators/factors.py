@@ -88,17 +88,19 @@ def pca_table(df: DataFrame, **kwargs) -> DataFrame:
 
 
 def concentration(candidates: DataFrame, survivors: DataFrame, *, series: str = "strategy_id",
-                  ts: str = "ts", net: str = "net", min_bars: int = 60) -> DataFrame:
+                  ts: str = "ts", net: str = "net", min_bars: int = 60, cut: bool = True) -> DataFrame:
     """Share of each candidate's variance along the survivors' first component over
     the bars both have.
 
     Zero with fewer than two survivors, fewer than `min_bars` common bars or a
     constant series.  The k x k covariance of the survivors is made once for every
     distinct set of bars among the candidates, not once per candidate; a candidate
-    then needs its k covariances with the survivors only.
+    then needs its k covariances with the survivors only.  Both tables are read several
+    times, so they are checkpointed unless `cut` says that they are cheap to read.
     """
-    candidates = checkpointed(candidates.select(series, ts, net))
-    survivors = checkpointed(survivors.select(series, ts, net))
+    if cut:
+        candidates = checkpointed(candidates.select(series, ts, net))
+        survivors = checkpointed(survivors.select(series, ts, net))
     names = series_index(survivors, series)
     ids = candidates.select(series).distinct()
     if len(names) < 2:

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core.expr import correlation
 from ..core.lineage import checkpointed
+from .correlations import pair_correlations
 from .factors import concentration
 from .significance import deflated_sharpe, moments
 
@@ -14,19 +14,14 @@ def survivor_correlations(candidates: DataFrame, survivors: DataFrame, *, series
                           ts: str = "ts", net: str = "net", min_bars: int = 30) -> DataFrame:
     """Correlation of each candidate with each survivor over common bars.
 
-    The result has a row per (candidate, survivor); they meet on the bar, and pairs
-    collapse to moments before the shuffle, so any number of survivors will do.
+    The result has a row per (candidate, survivor); their moments are blocked matrix
+    products over tiles of series, not rows per pair and bar.
     """
-    known = F.col(net).isNotNull()
-    held = survivors.filter(known).select(F.col(ts).alias("_ts"), F.col(series).alias("survivor_id"), F.col(net).alias("_y"))
-    pairs = candidates.filter(known).join(held, F.col(ts) == F.col("_ts")).select(
-        F.col(series).alias("candidate_id"), F.col(net).alias("_x"), "survivor_id", "_y"
-    ).filter("candidate_id <> survivor_id")
-    out = pairs.groupBy("candidate_id", "survivor_id").agg(
-        F.count("*").alias("n_overlap_bars"), correlation("_x", "_y").alias("correlation")
-    )
-    return out.filter((F.col("n_overlap_bars") >= min_bars) & F.col("correlation").isNotNull()).withColumn(
-        "abs_correlation", F.abs("correlation")
+    pairs = pair_correlations(candidates, survivors, series=series, ts=ts, value=net).where("left_id <> right_id")
+    out = pairs.filter((F.col("n") >= min_bars) & F.col("correlation").isNotNull())
+    return out.select(
+        F.col("left_id").alias("candidate_id"), F.col("right_id").alias("survivor_id"), F.col("n").alias("n_overlap_bars"),
+        "correlation", F.abs("correlation").alias("abs_correlation"),
     )
 
 
@@ -71,7 +66,7 @@ def evaluate(candidates: DataFrame, critic: DataFrame, survivors: DataFrame, *,
     )
     base = base.withColumn("_early", early)
     alive = candidates.join(base.filter("_early IS NULL").select(series), series, "left_semi")
-    pca = concentration(alive, survivors, series=series).withColumnRenamed("concentration", "pca_concentration")
+    pca = concentration(alive, survivors, series=series, cut=False).withColumnRenamed("concentration", "pca_concentration")
     out = base.join(pca, series, "left")
     q = F.col("pca_concentration")
     late = F.when(q >= pca_max, F.concat(F.lit("pca_concentration="), F.format_string("%.2f", q), F.lit(f">={pca_max}")))

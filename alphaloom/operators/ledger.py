@@ -82,7 +82,7 @@ def _replayed(events: DataFrame) -> DataFrame:
     verdict = F.when(F.col("kind") == "override", F.lit(True)).when(is_record, F.col("accepted"))
     ev = events.withColumn("_at", F.timestamp_micros("seq"))
     frame = Panel(ev, keys=("hypothesis_id",), ts="_at", block="second").frame()
-    run = checkpointed(cumulative(frame, {"_recs": ("sum", is_record.cast("int")), "_acc": ("last", verdict)}).core())
+    run = cumulative(frame, {"_recs": ("sum", is_record.cast("int")), "_acc": ("last", verdict)}).core()
     # a lone override makes a placeholder; a deployment of it before the first record makes it a row of its own
     before = lambda kind: F.when((F.col("_recs") == 0) & (F.col("kind") == kind), F.col("seq"))
     heads = run.groupBy("hypothesis_id").agg(F.min(before("override")).alias("_held"), F.max(before("deploy")).alias("_early"))

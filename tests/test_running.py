@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.core import Panel
 from alphaloom.operators import calendar as cal
+from alphaloom.operators import correlations as co
 from alphaloom.operators import gates as gt
 from alphaloom.operators import ledger as lg
 from alphaloom.operators import production as pr
@@ -191,6 +192,31 @@ def test_random_rules_hold_positions(spark, rows, lag):
         np.testing.assert_allclose(got[k], want[k], rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("tile,bars", [(256, 2048), (3, 16), (1, 7)])
+def test_pair_correlations_match_pandas(spark, tile, bars):
+    rng = np.random.default_rng(8)
+    wide = pd.DataFrame(rng.normal(size=(90, 9)), index=pd.bdate_range("2020-01-01", periods=90).date, columns=[f"s{i}" for i in range(9)])
+    wide["s1"] += wide["s0"] + 50.0
+    wide = wide.mask(rng.uniform(size=wide.shape) < 0.3)
+    wide["s2"] = 0.1  # constant
+    wide.loc[wide.index[:60], "s3"] = np.nan
+    wide.loc[wide.index[60:], "s4"] = np.nan  # no bar with s3
+    long = wide.rename_axis("ts").reset_index().melt("ts", var_name="strategy_id", value_name="net")
+    df = spark.createDataFrame(long).withColumn("net", F.nanvl("net", F.lit(None)))
+    left, right = df.filter("strategy_id < 's6'"), df.filter("strategy_id >= 's2'")
+    got = {(r.left_id, r.right_id): (r.n, r.correlation) for r in co.pair_correlations(left, right, tile=tile, bars=bars).collect()}
+    for a in wide.columns[:6]:
+        for b in wide.columns[2:]:
+            x, y = wide[a], wide[b]
+            n = int((x.notna() & y.notna()).sum())
+            if n == 0:
+                assert (a, b) not in got
+                continue
+            want = None if "s2" in (a, b) else x.corr(y) if a != b else 1.0
+            assert got[(a, b)][0] == n and (got[(a, b)][1] is None if want is None else abs(got[(a, b)][1] - want) < 1e-9), (a, b)
+    assert co.pair_correlations(left.limit(0), right).count() == 0
+
+
 def ledger(spark, *events):
     base = [dict(zip(("seq", "hypothesis_id", "kind"), e[:3]), **(e[3] if len(e) > 3 else {})) for e in events]
     cols = {f.name for f in lg.EVENT_SCHEMA}
