@@ -11,9 +11,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..core.lineage import written
 
@@ -47,30 +49,29 @@ def pair_moments(left: DataFrame, right: DataFrame, *, series: str = "strategy_i
     x = x.select("*", own(n_x).cast("int").alias("_i"), every(n_y).alias("_j"), block)
     y = y.select("*", every(n_x).alias("_i"), own(n_y).cast("int").alias("_j"), block)
 
-    def products(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["left_id", "right_id", *MOMENTS]
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({c: [] for c in names})
+    schema = T.StructType([
+        T.StructField("left_id", left.schema[series].dataType), T.StructField("right_id", right.schema[series].dataType),
+        T.StructField("n", T.LongType()), *[T.StructField(m, T.DoubleType()) for m in MOMENTS[1:]],
+    ])
+    arrow = to_arrow_schema(schema)
+
+    def products(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
+        a, b = left_rows.to_pandas(), right_rows.to_pandas()
         times = lambda f: pd.Index(f["_t"].to_numpy(dtype=object))
         shared = times(a).intersection(times(b)).unique()
-        a, b = a[a["_t"].isin(shared)], b[b["_t"].isin(shared)]
         if len(shared) == 0:
-            return pd.DataFrame({c: [] for c in names})
+            return arrow.empty_table()
+        a, b = a[times(a).isin(shared)], b[times(b).isin(shared)]
         (p, u), (q, v) = _matrix(a, shared), _matrix(b, shared)
         has_u, has_v = (~np.isnan(u)).astype(float), (~np.isnan(v)).astype(float)
         u, v = np.nan_to_num(u), np.nan_to_num(v)
         made = (has_u.T @ has_v, u.T @ has_v, has_u.T @ v, (u * u).T @ has_v, has_u.T @ (v * v), u.T @ v)
         i, j = np.nonzero(made[0])
-        out = {"left_id": p[i], "right_id": q[j]}
-        out |= {m: k[i, j] for m, k in zip(MOMENTS, made, strict=True)}
-        return pd.DataFrame(out).astype({"n": "int64"})
+        columns = [p[i].tolist(), q[j].tolist(), made[0][i, j].astype(np.int64), *[m[i, j] for m in made[1:]]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    schema = T.StructType([
-        T.StructField("left_id", left.schema[series].dataType), T.StructField("right_id", right.schema[series].dataType),
-        T.StructField("n", T.LongType()), *[T.StructField(m, T.DoubleType()) for m in MOMENTS[1:]],
-    ])
     key = ["_i", "_j", "_b"]
-    made = x.groupBy(*key).cogroup(y.groupBy(*key)).applyInPandas(products, schema)
+    made = x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(products, schema)
     if blocks == 1:
         return made
     return made.groupBy("left_id", "right_id").agg(*[F.sum(m).alias(m) for m in MOMENTS])
