@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core.lineage import checkpointed
 from ..functions import timeseries as ts
 from ..functions.base import Feature, add_feature_panel
 from ..operators import calendar as cal
@@ -245,13 +246,13 @@ def _(spark, sf):
 
 COLLAR = """records AS (
   SELECT CAST(o_orderdate AS DATE) AS effective_date, max(cents % 5000) / 1.0 AS long_put_strike, min(cents % 4000) / 1.0 AS short_put_strike
-  FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) WHERE o_orderpriority = '1-URGENT' GROUP BY 1
+  FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) GROUP BY 1
 )"""
 
 
 def collar_history(spark, sf):
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    return table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").groupBy(
+    return table(spark, sf, "orders").groupBy(
         F.col("o_orderdate").cast("date").alias("effective_date")
     ).agg((F.max(cents % 5000) / 1.0).alias("long_put_strike"), (F.min(cents % 4000) / 1.0).alias("short_put_strike"))
 
@@ -377,13 +378,26 @@ def _(spark, sf):
     return lg.overrides_audit(ledger_events(spark, sf))
 
 
-@query("ledger_portfolio_greeks", keys="hypothesis_id", ints="trial_no", nums="size delta gamma vega theta", sql=with_(LEDGER, GREEK_SQL) + """
-SELECT hypothesis_id, trial_no, size, g.d * size AS delta, g.g * size AS gamma, g.v * size AS vega, g.t * size AS theta
-FROM (SELECT hypothesis_id, trial_no, coalesce(nullif(size_multiplier, 0), 1) AS size FROM trials WHERE deployment_status IN ('paper', 'live') AND market_type = 'options')
-JOIN (SELECT hypothesis_id, max(struct_pack(a := ts, b := k, d := delta, g := gamma, v := vega, t := theta)) AS g FROM greeks GROUP BY 1) USING (hypothesis_id)""")
+GREEK_LIMITS = {"delta": 50.0, "vega": 2000.0}
+
+
+@query("ledger_portfolio_greeks", keys="hypothesis_id breached", ints="trial_no", nums="size delta gamma vega theta", sql=with_(LEDGER, GREEK_SQL, """per AS (
+  SELECT hypothesis_id, trial_no, size, g.d * size AS delta, g.g * size AS gamma, g.v * size AS vega, g.t * size AS theta
+  FROM (SELECT hypothesis_id, trial_no, coalesce(nullif(size_multiplier, 0), 1) AS size FROM trials WHERE deployment_status IN ('paper', 'live') AND market_type = 'options')
+  JOIN (SELECT hypothesis_id, max(struct_pack(a := ts, b := k, d := delta, g := gamma, v := vega, t := theta)) AS g FROM greeks GROUP BY 1) USING (hypothesis_id)
+)""") + """
+SELECT *, CAST(NULL AS VARCHAR) AS breached FROM per
+UNION ALL SELECT NULL, NULL, NULL, d, g, v, t, concat_ws(',', CASE WHEN abs(d) > 50 THEN 'delta' END, CASE WHEN abs(v) > 2000 THEN 'vega' END)
+FROM (SELECT coalesce(sum(delta), 0) AS d, coalesce(sum(gamma), 0) AS g, coalesce(sum(vega), 0) AS v, coalesce(sum(theta), 0) AS t FROM per)""")
 def _(spark, sf):
-    per, _net = lg.portfolio_greeks(trial_rows(spark, sf), greek_rows(spark, sf), ts=["ts", "k"])
-    return per
+    """A row per deployed option strategy and, with hypothesis_id NULL, the net with the limits it breaches."""
+    per, net = lg.portfolio_greeks(trial_rows(spark, sf), greek_rows(spark, sf), ts=["ts", "k"], limits=GREEK_LIMITS)
+    breached = F.concat_ws(",", *[F.when(F.col(f"{g}_breached"), g) for g in GREEK_LIMITS])
+    total = net.select(
+        F.lit(None).cast("string").alias("hypothesis_id"), F.lit(None).cast("bigint").alias("trial_no"), F.lit(None).cast("double").alias("size"),
+        *[F.col(f"net_{g}").alias(g) for g in ("delta", "gamma", "vega", "theta")], breached.alias("breached"),
+    )
+    return per.withColumn("breached", F.lit(None).cast("string")).unionByName(total)
 
 
 # --- gates --------------------------------------------------------------------------------
@@ -465,22 +479,36 @@ CHANCE = """chance AS (SELECT strategy_id, CASE WHEN any_value(actual) > quantil
   FROM trials JOIN prof USING (strategy_id) GROUP BY 1)"""
 
 
+EVERY = "every_ AS (SELECT strategy_id, ts, net FROM strat UNION ALL SELECT strategy_id, ts, net FROM book)"
+CORR_EVERY = """corrs AS (
+  SELECT s.strategy_id AS candidate_id, b.strategy_id AS survivor_id, corr(s.net, b.net) AS correlation
+  FROM every_ s JOIN book b ON s.ts = b.ts AND s.strategy_id <> b.strategy_id WHERE s.net IS NOT NULL AND b.net IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30
+)"""
+SHARE_MAX = 0.1
+
+
 @query("gate_evaluate_fork", keys="strategy_id gate_deflated_sharpe gate_correlation gate_pca_concentration gate_vs_random overall first_failure",
-       nums="dsr_pvalue max_correlation",
-       sql=with_(BARS, RETS, SIGNALS, STRAT, BASKETS, book_sql("basket_pos"), CORR, moments_sql(), FORK_DSR, perm_sql(1000, 7), CHANCE) + """
-SELECT *, CASE WHEN 'fail' IN (g1, g2, g4) THEN 'fail' WHEN g4 = 'warning' THEN 'warning' ELSE 'pass' END AS overall,
-  CASE WHEN g1 = 'fail' THEN 'deflated_sharpe' WHEN g2 = 'fail' THEN 'correlation' WHEN g4 = 'fail' THEN 'vs_random' END AS first_failure,
-  g1 AS gate_deflated_sharpe, g2 AS gate_correlation, 'pass' AS gate_pca_concentration, g4 AS gate_vs_random
-FROM (SELECT strategy_id, dsr_pvalue, m AS max_correlation, g4, CASE WHEN dsr_pvalue < 0.95 THEN 'pass' ELSE 'fail' END AS g1, CASE WHEN m < 0.1 THEN 'pass' ELSE 'fail' END AS g2
-  FROM fork JOIN (SELECT candidate_id AS strategy_id, max(abs(correlation)) AS m FROM corrs GROUP BY 1) USING (strategy_id) JOIN chance USING (strategy_id))""")
-def _(spark, sf):
+       ints="n_assets", nums="dsr_pvalue max_correlation top_share",
+       sql=_recursive(BARS, RETS, SIGNALS, STRAT, BASKETS, book_sql("basket_pos"), EVERY, CORR_EVERY, moments_sql("every_"), FORK_DSR, perm_sql(1000, 7), CHANCE, PCA_POS) + f"""
+SELECT *, CASE WHEN 'fail' IN (g1, g2, g3, g4) THEN 'fail' WHEN g4 = 'warning' THEN 'warning' ELSE 'pass' END AS overall,
+  CASE WHEN g1 = 'fail' THEN 'deflated_sharpe' WHEN g2 = 'fail' THEN 'correlation' WHEN g3 = 'fail' THEN 'pca_concentration' WHEN g4 = 'fail' THEN 'vs_random' END AS first_failure,
+  g1 AS gate_deflated_sharpe, g2 AS gate_correlation, g3 AS gate_pca_concentration, g4 AS gate_vs_random
+FROM (SELECT strategy_id, dsr_pvalue, m AS max_correlation, coalesce(n_assets, 1) AS n_assets, top_share, coalesce(chance.g4, 'warning') AS g4,
+    CASE WHEN dsr_pvalue < 0.95 THEN 'pass' ELSE 'fail' END AS g1, CASE WHEN m < 0.1 THEN 'pass' ELSE 'fail' END AS g2,
+    CASE WHEN n_assets > 1 AND NOT top_share < {SHARE_MAX} THEN 'fail' ELSE 'pass' END AS g3
+  FROM fork JOIN (SELECT candidate_id AS strategy_id, max(abs(correlation)) AS m FROM corrs GROUP BY 1) USING (strategy_id)
+  LEFT JOIN chance USING (strategy_id) LEFT JOIN ptop USING (strategy_id))""")
+def _(spark, sf):
+    """Single-asset strategies and many-asset books side by side; books have no permutation test, which is a warning."""
     signals = st.signal_rows(spark, sf)
-    rows = st.strategy_returns(signals)
-    cand, surv = rows.df, st.basket_returns(signals).df
-    dsr = sg.deflated_sharpe_fork(sg.moments(cand, by=["strategy_id"], min_obs=3), TRIALS, annualization=st.WEEKS)
-    pca = fa.position_concentration(cand, by=["strategy_id"])
+    rows, baskets = st.strategy_returns(signals), st.basket_positions(signals)
+    books = checkpointed(st.basket_returns(signals).df.select("strategy_id", "ts", "net"))
+    every = rows.df.select("strategy_id", "ts", "net").unionByName(books)
+    dsr = sg.deflated_sharpe_fork(sg.moments(every, by=["strategy_id"], min_obs=3), TRIALS, annualization=st.WEEKS)
+    held = ("strategy_id", "asset", "ts", "position")
+    pca = fa.position_concentration(rows.df.select(*held).unionByName(baskets.select(*held)), by=["strategy_id"])
     chance = rz.permutation_test(rows, n=1000, seed=7, annualization=st.WEEKS)
-    return gt.evaluate_fork(dsr, gt.max_correlation(cand, surv), pca, chance, corr_max=0.1)
+    return gt.evaluate_fork(dsr, gt.max_correlation(every, books), pca, chance, corr_max=0.1, pca_max=SHARE_MAX)
 
 
 # --- production ---------------------------------------------------------------------------

@@ -129,12 +129,16 @@ def _(spark, sf):
 # --- relational steps ----------------------------------------------------------------------
 
 
-@query("join_inner_align", keys="ts", nums="a b", sql=BASE + """
-SELECT a.ts, a.net AS a, b.net AS b FROM strat a JOIN strat b USING (ts) WHERE a.strategy_id = 'mom:Brand#1' AND b.strategy_id = 'rev:Brand#2'""")
+@query("join_inner_align", keys="asset ts", nums="a b", sql=BASE + """
+SELECT substr(a.strategy_id, 5) AS asset, ts, a.net AS a, b.net AS b FROM strat a JOIN strat b USING (ts)
+WHERE a.strategy_id LIKE 'mom:%' AND b.strategy_id = 'rev:' || substr(a.strategy_id, 5)""")
 def _(spark, sf):
+    """Momentum against reversion of every asset."""
     rows = st.strategy_returns(st.signal_rows(spark, sf)).df
-    one = lambda s, n: rows.filter(F.col("strategy_id") == s).select("ts", F.col("net").alias(n))
-    return rel.align(one("mom:Brand#1", "a"), one("rev:Brand#2", "b"), ["ts"])
+    one = lambda kind, n: rows.filter(F.col("strategy_id").startswith(kind)).select(
+        F.substring("strategy_id", 5, 1_000_000).alias("asset"), "ts", F.col("net").alias(n)
+    )
+    return rel.align(one("mom:", "a"), one("rev:", "b"), ["asset", "ts"])
 
 
 @query("join_left_merge", keys="ticker tradeDate", nums="iv30d dlt25Iv30d dlt75Iv30d clsPx ivPct1y", sql=with_(BARS, RAW) +
@@ -177,13 +181,10 @@ def _(spark, sf):
 
 
 @query("join_range_event_window", keys="asset ts", sql=with_(BARS) + """
-SELECT asset, ts FROM bars b WHERE EXISTS (SELECT 1 FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000) e
-  WHERE b.ts BETWEEN e.d - 3 AND e.d + 3)""")
+SELECT asset, ts FROM bars b WHERE EXISTS (SELECT 1 FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) e WHERE b.ts BETWEEN e.d - 3 AND e.d + 3)""")
 def _(spark, sf):
-    big = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' AND o_totalprice > 400000")
-    return rel.within_event_window(
-        trade_bars(spark, sf).df, big.select(F.col("o_orderdate").cast("date").alias("d")), ts="ts", date="d"
-    )
+    events = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d"))
+    return rel.within_event_window(trade_bars(spark, sf).df, events, ts="ts", date="d")
 
 
 @query("dedup_keep_first", ints="l_orderkey l_linenumber l_partkey", nums="l_extendedprice", sql="""
@@ -240,10 +241,11 @@ def event_stream(spark, sf):
 
 @query("stream_metrics_window", keys="window_start event_type", ints="n", nums="total min max", sql="""
 SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, sum(value) AS total, min(value) AS min, max(value) AS max
-FROM events GROUP BY 1, 2 HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+FROM events GROUP BY 1, 2""")
 def _(spark, sf):
+    """Also the last windows, which no later event closes."""
     out = jobs.window_metrics(event_stream(spark, sf), by=["event_type"])
-    return jobs.run_available(out, scratch_path(spark, "windows"))
+    return jobs.run_to_the_end(out, scratch_path(spark, "windows"), ["window_start", "event_type"])
 
 
 @query("stream_point_in_time", keys="event_type", ints="event_id", nums="value", sql="""

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core.lineage import checkpointed
 from ..core.panel import Panel
 from ..functions import timeseries as ts
 from ..functions.base import add_features
@@ -405,10 +406,45 @@ def _(spark, sf):
     return meta_rows(spark, sf).withColumn("target", meta.targets())
 
 
-@query("meta_fit_predict", keys="asset ts", nums="probability")
+META_FOLDS, NEWTON_STEPS = 5, 9
+
+
+def _newton_sql() -> str:
+    """Newton steps of the penalised likelihood per fold, three coefficients, written out step by step."""
+    ctes = [f"""folded AS (
+  SELECT *, CASE WHEN rn >= lo AND rn < hi THEN 'test' WHEN NOT (rn >= lo - 4 AND rn < hi + 4) THEN 'train' END AS role
+  FROM (SELECT *, {_bound('fold', META_FOLDS)} AS lo, {_bound('fold + 1', META_FOLDS)} AS hi FROM (
+    SELECT *, row_number() OVER {W} - 1 AS rn, count(*) OVER (PARTITION BY asset) AS n, unnest(range(0, {META_FOLDS})) AS fold FROM meta))
+),
+train AS (
+  SELECT fold, z, vol, CASE WHEN side * fwd > 0 THEN 1.0 ELSE 0.0 END AS y FROM folded
+  WHERE role = 'train' AND side IS NOT NULL AND fwd IS NOT NULL AND z IS NOT NULL AND vol IS NOT NULL
+),
+b0 AS (SELECT fold, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c FROM train GROUP BY 1)"""]
+    for k in range(NEWTON_STEPS):
+        ctes.append(f"""s{k} AS (
+  SELECT fold, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, sum(y - p) AS g0, sum((y - p) * z) - any_value(b) AS g1, sum((y - p) * vol) - any_value(c) AS g2,
+    sum(w) AS h00, sum(w * z) AS h01, sum(w * vol) AS h02, sum(w * z * z) + 1 AS h11, sum(w * z * vol) AS h12, sum(w * vol * vol) + 1 AS h22
+  FROM (SELECT *, p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-(a + b * z + c * vol))) AS p FROM train JOIN b{k} USING (fold))) GROUP BY fold
+),
+b{k + 1} AS (
+  SELECT fold, a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / d AS a,
+    b + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / d AS b,
+    c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / d AS c
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS d FROM s{k})
+)""")
+    return ",\n".join(ctes)
+
+
+@query("meta_fit_predict", keys="asset ts", ints="fold", nums="probability", sql=with_(BARS, RETS, SIGNALS, META_SQL, _newton_sql()) + f"""
+SELECT asset, ts, fold, 1 / (1 + exp(-(a + b * z + c * vol))) AS probability FROM folded JOIN b{NEWTON_STEPS} USING (fold) WHERE role = 'test'""")
 def _(spark, sf):
-    rows = meta_rows(spark, sf)
-    return meta.predict(rows, meta.fit(rows, ["z", "vol"]), ["z", "vol"])
+    """Each bar is judged by the model of the fold that holds it out; training rows whose forward return
+    reaches into the held-out block are purged."""
+    rows = Panel(checkpointed(meta_rows(spark, sf).select("asset", "ts", "side", "fwd", "z", "vol")), keys=("asset",), ts="ts", grain="week")
+    folds = sp.purged_kfold(sp.counted(rows), n_splits=META_FOLDS, purge=4, embargo=4)
+    beta, _gradient = meta.newton_folds(folds.filter("role = 'train'"), ["z", "vol"], META_FOLDS)
+    return meta.predict_folds(folds.filter("role = 'test'"), ["z", "vol"], beta)
 
 
 @query("meta_apply", keys="asset ts", nums="position", sql=with_(BARS, RETS, SIGNALS, META_SQL) + """

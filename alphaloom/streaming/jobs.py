@@ -31,6 +31,28 @@ def run_available(stream: DataFrame, path: str, *, fmt: str = "parquet", checkpo
     return spark.read.schema(stream.schema).format(fmt).load(path)
 
 
+def run_to_the_end(stream: DataFrame, path: str, keys: list[str], *, checkpoint: str | None = None) -> DataFrame:
+    """Process what has arrived and return the newest state of every key, also of windows that
+    the watermark hasn't closed.
+
+    Each batch is stored with its number, so a batch that is run again replaces itself; of a
+    key that several batches changed the newest batch counts.
+    """
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(each).outputMode("update")
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    seen = spark.read.option("basePath", path).parquet(path)
+    return seen.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_now")).select(*keys, "_now.*")
+
+
 def window_metrics(events: DataFrame, *, by: list[str], value: str = "value", ts: str = "ts", width: str = "1 hour",
                    slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Metrics per event-time window; rows later than `late` are dropped."""

@@ -265,6 +265,27 @@ def test_meta_labels(spark):
         meta.fit(df.limit(20), ["f1", "f2"])
 
 
+def test_newton_over_purged_folds(spark):
+    rng = np.random.default_rng(6)
+    n = 600
+    f = pd.DataFrame({"fold": np.arange(n) % 3, "side": rng.choice([-1.0, 1.0], n), "f1": rng.normal(size=n), "f2": rng.normal(size=n)})
+    f["fwd"] = f.side * (0.9 * f.f1 - 0.3 * f.f2 + rng.normal(0, 0.5, n))
+    f.loc[::40, "f2"] = np.nan
+    df = spark.createDataFrame(f).withColumn("f2", F.nanvl("f2", F.lit(None)))
+    beta, left = meta.newton_folds(df, ["f1", "f2"], 3, l2=2.0)
+    assert left.max() < 1e-6
+    for k, d in f.dropna().groupby("fold"):
+        x, y = np.column_stack([np.ones(len(d)), d.f1, d.f2]), (d.side * d.fwd > 0).to_numpy(float)
+        p = 1 / (1 + np.exp(-x @ beta[k]))
+        assert np.abs(x.T @ (y - p) - 2.0 * np.r_[0, beta[k][1:]]).max() < 1e-8
+    out = meta.predict_folds(df, ["f1", "f2"], beta).toPandas()
+    assert out[out.f2.isna()].probability.isna().all() and out.probability.dropna().between(0, 1).all()
+    with pytest.raises(ValueError):
+        meta.newton_folds(df.limit(60), ["f1", "f2"], 3)
+    with pytest.raises(ValueError):
+        meta.newton_folds(df, ["f1", "f2"], 4)
+
+
 def test_permutation_trials_agree_in_both_forms(spark, panel):
     rows = panel.df.withColumns({"position": F.signum(F.sin("close")), "net": F.sin(F.col("close") * 7) / 50}).select("asset", "ts", "position", "net")
     arrays = rz.permutation_trials(Panel(rows, grain="day"), n=60, seed=3)[1]

@@ -9,8 +9,7 @@ from alphaloom.catalog import REGISTRY
 from tools.check_oracle import TABLES, canon
 
 DATA = Path("/root/testdata/sf0.001")
-# No SQL: a fitted classifier, checked against Newton steps in test_backtest.py.
-ROWS_ONLY = {"meta_fit_predict"}
+ROWS_ONLY: set[str] = set()
 CHECKED = (
     "ts_momentum", "ts_ewma", "ts_triple_barrier", "cs_rank", "bt_metrics", "bt_portfolio", "wf_evaluate",
     "dsr_deflated", "vr_permutation", "sig_consensus", "svr_date_matched_bootstrap", "ledger_record",
