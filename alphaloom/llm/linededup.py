@@ -1,31 +1,39 @@
-"""Removal of repeated multi-line passages by content-defined chunks (DataFrame functions only).
+"""Removal of repeated passages by content-defined line chunks (DataFrame functions only).
 
-A document's lines are hashed; a rolling hash over each line and the one before it
-chooses chunk borders, so equal runs of lines get equal chunks wherever they stand. Chunk
-fingerprints are counted over the corpus. Of chunks that occur more than once the texts
-are compared byte by byte, by grouping on the text itself; the first occurrence, by
-doc_id, then text digest, then place, stays, and the others are cut out.
+Chunk borders depend on the lines around them alone, so equal runs of lines get equal chunks
+wherever they stand: a line of `LONG` words or more is a chunk of its own, a paragraph's first line begins
+one, and among shorter lines a hash of the line over a window of one line decides (one in
+`DIVISOR`). Blank lines belong to the chunk before them and don't count in comparisons.
+
+1. Chunk fingerprints are counted over the corpus. Only the texts of repeated ones are fetched and compared
+   byte by byte, by grouping on the text itself: equal texts are one class, named by their first
+   occurrence, by doc_id, then text digest, then place.
+2. Repeated chunks are extended over their neighbours: two adjacent chunks whose pair of classes occurs
+   elsewhere earlier are joined, and so on along the document. A chunk that isn't joined is a run by itself if
+   its class occurs earlier.
+3. A run of more than `RUN_WORDS` words is cut out: its first occurrence, pair by pair, stays.
 
 The two joins of the texts by row are merge joins at every size, so that the plan and its
-disk use stay in proportion to the input. Fingerprints travel without texts, and only texts of repeated chunks are compared. A chunk that a third of all documents share is one group
-whose first occurrence is a running minimum, so it is combined before the shuffle.
-
-Defined results: only chunks with `MIN_LINES` lines that hold words can go; a repeated
-single line stays. Rows equal in doc_id and text share their fate, NULL doc_ids sort
-first. NULL texts stay NULL, other columns are carried; n_lines, n_removed and n_chunks
-replace columns of those names. Empty tables give no rows. A document whose every chunk
-stands elsewhere earlier ends with an empty text.
+disk use stay in proportion to the input. Fingerprints travel without texts. A chunk that a third of all documents
+share is one group whose first occurrence is a running minimum, so it is combined before the shuffle.
+
+Defined results: repeated lines of up to RUN_WORDS words in a run stay. Rows equal in doc_id and text
+share their fate, NULL doc_ids sort first. NULL texts stay NULL, other columns are carried; n_lines, n_removed (lines) and
+n_chunks replace columns of those names, in any case. Empty tables give no rows. A document whose every
+chunk stands elsewhere earlier ends with an empty text.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alphaloom.core.lineage import scratch_path
+from alphaloom.core.lineage import written
 from alphaloom.llm.common import WORD, fresh_name, let
 
-MIN_LINES, MAX_LINES = 2, 32  # lines of a chunk; the last of a text may be shorter
-DIVISOR = 2  # one border in DIVISOR places, past MIN_LINES
+LONG = 8  # words of a line that is a chunk of its own
+DIVISOR = 2  # one border in DIVISOR shorter lines
+RUN_WORDS = 50  # a repeated run of more words is cut out
+BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def line_hash(line: Column) -> Column:
@@ -33,99 +41,107 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
 
 
-def chunk_starts(lines: Column) -> Column:
-    """First lines of the chunks: 0, and each border that isn't too near, or is overdue."""
+def chunk_starts(lines: Column, counts: Column) -> Column:
+    """First lines of the chunks."""
 
-    def starts(h: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            run = i - F.element_at(acc, -1)
-            border = (F.get(h, i - 1) * 31 + F.get(h, i)) % DIVISOR == 0
-            return F.when((run >= MIN_LINES) & border | (run >= MAX_LINES), F.array_append(acc, i)).otherwise(acc)
+    def border(i: Column) -> Column:
+        own, before = F.get(counts, i), F.get(counts, i - 1)
+        begins = (own >= LONG) | (before >= LONG) | (before == 0)
+        return (i == 0) | ((own > 0) & F.when(begins, True).otherwise(line_hash(F.get(lines, i)) % DIVISOR == 0))
 
-        rest = F.when(F.size(h) > 1, F.sequence(F.lit(1), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(rest, F.array(F.lit(0)), step)
-
-    return let(F.transform(lines, line_hash), starts)
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), border)
 
 
 def chunks(text: Column) -> Column:
-    """Array of arrays of lines."""
-
-    def cut(lines: Column) -> Column:
-        return let(chunk_starts(lines), lambda s: F.transform(
-            s, lambda a, k: F.slice(lines, a + 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - a)
-        ))
-
-    return let(F.split(text, "\n"), cut)
+    """Array of structs: lines and their number of words."""
+
+    def pieces(lines: Column, counts: Column) -> Column:
+        return let(chunk_starts(lines, counts), lambda s: F.transform(s, lambda a, k: let(
+            F.coalesce(F.get(s, k + 1), F.size(lines)) - a,
+            lambda n: F.struct(
+                F.slice(lines, a + 1, n).alias("lines"),
+                F.aggregate(F.slice(counts, a + 1, n), F.lit(0), lambda x, y: x + y).alias("words"),
+            ),
+        )))
+
+    return let(F.split(text, "\n"), lambda lines: let(
+        F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))), lambda counts: pieces(lines, counts)
+    ))
 
 
 def _joined(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def _counts(lines: Column) -> Column:
-    return F.size(F.filter(lines, lambda x: x.rlike(WORD))) >= MIN_LINES
+def _compared(lines: Column) -> Column:
+    return F.rtrim(_joined(lines), F.lit(BLANK))
+
+
+def _runs(seen: DataFrame) -> DataFrame:
+    """(r2, runs): the stretches of chunks to cut out of each row, from the classes of its repeated chunks."""
+    along = Window.partitionBy("rid").orderBy("place")
+    after = seen.withColumns({"next": F.lead("place").over(along), "k2": F.lead("kept").over(along)})
+    pairs = after.where("next = place + 1").select("rid", "place", "at", F.col("kept").alias("k1"), "k2")
+    first = written(pairs.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "pairs")
+    again = written(pairs.join(first, ["k1", "k2"]).where("at != first").select(F.col("rid").alias("r"), F.col("place").alias("p")), "again")
+    rows = seen.join(again, (F.col("rid") == F.col("r")) & (F.col("place") == F.col("p")), "left")
+    rows = rows.select("rid", "place", "words", F.col("p").isNotNull().alias("paired"), (F.col("at") != F.col("kept")).alias("repeated"))
+    before = F.coalesce(F.lag("paired").over(along) & (F.lag("place").over(along) == F.col("place") - 1), F.lit(False))
+    rows = rows.withColumn("joins", before)
+    rows = rows.where(F.col("joins") | F.col("paired") | F.col("repeated"))
+    rows = rows.withColumn("run", F.sum((~F.col("joins")).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("rid", "run").agg(F.min("place").alias("a"), F.max("place").alias("z"), F.sum("words").alias("words"))
+    return runs.where(F.col("words") > RUN_WORDS).groupBy(F.col("rid").alias("r2")).agg(F.collect_list(F.struct("a", "z")).alias("runs"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with cut texts, and n_lines, n_removed (lines) and n_chunks (removed) beside it."""
-    spark = docs.sparkSession
-    rid, gone = fresh_name(docs, "rid"), fresh_name(docs, "gone")
-    t = F.col(text)
+    own = ("n_lines", "n_removed", "n_chunks")
+    kept_columns = [c for c in docs.columns if c.lower() not in own]
+    docs = docs.select(*[f"`{c}`" for c in kept_columns])
+    rid, r2, gone = fresh_name(docs, "rid"), fresh_name(docs, "r2"), fresh_name(docs, "gone")
+    t = F.col(f"`{text}`")
     digest = F.md5(F.coalesce(t, F.lit("")))
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest))
+    key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)))
     narrow = docs.where(t.isNotNull()).select(key.alias("rid"), F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("o"), t.alias("text"))
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        """A written table's size is known, so the planner broadcasts it only while it is small."""
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
     # explode_outer, since the filter that explode implies would cut the texts into chunks twice
     cut = F.transform(chunks(F.col("text")), lambda c, i: F.struct(
-        i.alias("place"), _counts(c).alias("counts"), F.xxhash64(_joined(c)).alias("print")
+        i.alias("place"), c["words"].alias("words"), F.xxhash64(_compared(c["lines"])).alias("print")
     ))
-    marks = (
-        narrow.select("rid", F.explode_outer(F.filter(cut, lambda c: c["counts"])).alias("c"))
-        .where("c IS NOT NULL").select("rid", "c.place", "c.print").distinct()
-    )
+    marks = narrow.select("rid", F.explode_outer(F.filter(cut, lambda c: c["words"] > 0)).alias("c")).where("c IS NOT NULL").select("rid", "c.place", "c.print")
     repeated = marks.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     suspects = written(
-        marks.join(repeated, "print").groupBy("rid").agg(F.sort_array(F.collect_list("place")).alias("places")), "suspects"
+        marks.join(repeated, "print").groupBy("rid").agg(F.array_sort(F.collect_set("place")).alias("places")), "suspects"
     )
-    wanted = let(chunks(F.col("text")), lambda c: F.transform(
-        "places", lambda p: F.struct(p.alias("place"), _joined(F.get(c, p)).alias("text"))
-    ))
+    wanted = let(chunks(F.col("text")), lambda c: F.transform("places", lambda p: F.struct(
+        p.alias("place"), F.get(c, p)["words"].alias("words"), _compared(F.get(c, p)["lines"]).alias("text")
+    )))
     texts = written(
         narrow.join(suspects.hint("merge"), "rid").select("rid", "o", F.explode_outer(wanted).alias("c"))
-        .select("rid", F.struct("o", "c.place").alias("at"), "c.place", "c.text"), "texts",
+        .select("rid", F.struct("o", "c.place").alias("at"), "c.place", "c.words", "c.text"), "texts",
     )
     first = written(
         texts.groupBy("text").agg(F.min("at").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first"
     )
-    removed = written(
-        texts.join(first, "text").where(F.col("at") != F.col("kept")).groupBy("rid").agg(F.collect_set("place").alias("gone")),
-        "removed",
-    )
-    done = docs.withColumn(rid, key).join(
-        removed.withColumnsRenamed({"rid": "r2", "gone": gone}).hint("merge"), F.col(rid) == F.col("r2"), "left"
-    ).drop("r2")
-    none = F.array().cast("array<int>")
-
-    def rest(c: Column) -> Column:
-        return F.flatten(F.transform(c, lambda lines, i: F.when(
-            F.array_contains(F.col(gone), i), F.array().cast("array<string>")).otherwise(lines)))
-
-    kept = F.when(F.col(gone).isNull(), t).otherwise(_joined(let(chunks(t), rest)))
-    lost = F.when(F.col(gone).isNull(), 0).otherwise(
-        F.size(F.flatten(let(chunks(t), lambda c: F.transform(F.col(gone), lambda i: F.get(c, i)))))
-    )
-    own = ("n_lines", "n_removed", "n_chunks")
+    seen = written(texts.join(first, "text").select("rid", "place", "words", "at", "kept").dropDuplicates(["rid", "place"]), "classes")
+    removed = written(_runs(seen), "removed").withColumnsRenamed({"r2": r2, "runs": gone})
+    done = docs.withColumn(rid, key).join(removed.hint("merge"), F.col(rid) == F.col(r2), "left")
+    inside = lambda i: F.exists(F.col(gone), lambda r: (r["a"] <= i) & (i <= r["z"]))
+    rest = lambda c: F.filter(c, lambda x, i: ~inside(i))
+    left = F.when(F.col(gone).isNotNull(), let(chunks(t), rest))
+    done = done.withColumn(r2, let(left, lambda c: F.struct(
+        _joined(F.flatten(F.transform(c, lambda x: x["lines"]))).alias("text"),
+        F.aggregate(c, F.lit(0), lambda n, x: n + F.size(x["lines"])).alias("lines"),
+    )))
+    n_lines = F.coalesce(F.size(F.split(t, "\n")), F.lit(0))
+    n_chunks = F.aggregate(F.col(gone), F.lit(0), lambda n, r: n + r["z"] - r["a"] + 1)
+    cut_out = F.col(gone).isNotNull()
     return done.select(
-        *[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in own],
-        F.coalesce(F.size(F.split(t, "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
-        lost.cast("bigint").alias("n_removed"), F.size(F.coalesce(F.col(gone), none)).cast("bigint").alias("n_chunks"),
+        *[F.when(cut_out, F.col(f"{r2}.text")).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in kept_columns],
+        n_lines.cast("bigint").alias("n_lines"),
+        F.when(cut_out, n_lines - F.col(f"{r2}.lines")).otherwise(0).cast("bigint").alias("n_removed"),
+        F.coalesce(n_chunks, F.lit(0)).cast("bigint").alias("n_chunks"),
     )
 
 
@@ -137,26 +153,32 @@ SELECT {columns}, CASE WHEN n_chunks = 0 THEN text ELSE array_to_string(kept, ch
 FROM (
   WITH base AS (
     SELECT {columns}, text, string_split(text, chr(10)) AS ln FROM {source}
-  ), hashed AS (
-    SELECT *, list_transform(ln, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM base
+  ), counted AS (
+    SELECT *, list_transform(ln, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS wc FROM base
   ), started AS (
-    SELECT *, list_reduce(list_transform(range(1, len(ln)), lambda i: [i]), lambda acc, x:
-        CASE WHEN x[1] - acc[len(acc)] >= {MAX_LINES} OR (x[1] - acc[len(acc)] >= {MIN_LINES}
-                  AND (h[x[1]] * 31 + h[x[1] + 1]) % {DIVISOR} = 0)
-        THEN list_concat(acc, x) ELSE acc END, [CAST(0 AS BIGINT)]) AS st
-    FROM hashed
+    SELECT *, list_filter(range(0, len(ln)), lambda i: i = 0 OR (wc[i + 1] > 0 AND (wc[i + 1] >= {LONG} OR wc[i] >= {LONG} OR wc[i] = 0
+      OR CAST('0x' || substr(md5(ln[i + 1]), 1, 8) AS BIGINT) % {DIVISOR} = 0))) AS st FROM counted
   ), pieces AS (
-    SELECT doc_id, k, list_slice(ln, st[k] + 1, coalesce(st[k + 1], len(ln))) AS c
+    SELECT doc_id, k, list_slice(ln, st[k] + 1, coalesce(st[k + 1], len(ln))) AS c,
+           list_sum(list_slice(wc, st[k] + 1, coalesce(st[k + 1], len(ln)))) AS words
     FROM (SELECT *, unnest(range(1, len(st) + 1)) AS k FROM started)
-  ), marked AS (
-    SELECT *, len(list_filter(c, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) >= {MIN_LINES} AS counts,
-           row_number() OVER (PARTITION BY array_to_string(c, chr(10)),
-             len(list_filter(c, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) >= {MIN_LINES} ORDER BY doc_id, k) AS nth
-    FROM pieces
+  ), classed AS (
+    SELECT *, first_value(doc_id || ':' || k) OVER w AS class, row_number() OVER w > 1 AS repeated
+    FROM (SELECT *, rtrim(array_to_string(c, chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM pieces WHERE words > 0)
+    WINDOW w AS (PARTITION BY t ORDER BY doc_id, k)
+  ), followed AS (
+    SELECT *, lead(k) OVER w = k + 1 AS adjacent, lead(class) OVER w AS class2 FROM classed WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  ), paired AS (
+    SELECT *, adjacent AND row_number() OVER (PARTITION BY class, class2, adjacent ORDER BY doc_id, k) > 1 AS pair FROM followed
+  ), joined AS (
+    SELECT *, coalesce(lag(pair) OVER w AND lag(k) OVER w = k - 1, false) AS joins FROM paired WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  ), runs AS (
+    SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM joined WHERE joins OR coalesce(pair, false) OR repeated
+  ), gone AS (
+    SELECT doc_id, k FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM runs) WHERE total > {RUN_WORDS}
   ), judged AS (
-    SELECT doc_id, count(*) FILTER (counts AND nth > 1) AS n_chunks,
-           flatten(coalesce(list(c ORDER BY k) FILTER (NOT (counts AND nth > 1)), [])) AS kept
-    FROM marked GROUP BY doc_id
+    SELECT p.doc_id, count(g.k) AS n_chunks, flatten(coalesce(list(c ORDER BY p.k) FILTER (g.k IS NULL), [])) AS kept
+    FROM pieces p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.k = p.k GROUP BY p.doc_id
   )
   SELECT {', '.join('base.' + c.strip() for c in columns.split(','))}, text, len(ln) AS n_lines, kept, n_chunks
   FROM base JOIN judged USING (doc_id)

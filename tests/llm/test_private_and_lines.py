@@ -98,6 +98,36 @@ def test_repeated_chunks_go_and_first_stays(frame):
     assert linededup.without_repeats(df.limit(0)).count() == 0
 
 
+def test_short_passages_go_and_shorter_runs_stay(frame):
+    line = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    one, two, three = line("a", 51), line("b", 26) + "\n" + line("c", 25), "\n\n".join(line(t, 18) for t in "def")
+    short, items = line("g", 50), "\n".join(f"item {k}" for k in range(40))
+    rows = []
+    for i, passage in enumerate([one, two, three, short, items]):
+        for j in range(3):
+            d = 10 * i + j
+            rows.append((d, f"{line(f'x{d}_', 9)}\n{passage}\n\n{line(f'y{d}_', 9)}\nbye {d}"))
+    # the lines of a passage in another order, each known from elsewhere, are no passage
+    rows.append((100, "\n".join(reversed(three.split("\n\n")))))
+    df = frame([(a, b, "n", 1.0) for a, b in rows], "doc_id long, text string, N_Lines string, R2 double")
+    out = linededup.without_repeats(df)
+    assert out.columns == ["doc_id", "text", "R2", "n_lines", "n_removed", "n_chunks"]
+    by = {r.doc_id: r for r in out.collect()}
+    text = dict(rows)
+    for d in by:
+        stays = d % 10 == 0 or d // 10 == 3 or d == 100
+        assert (by[d].text == text[d]) == stays, d
+        if not stays and d // 10 != 4:
+            assert by[d].text == f"{line(f'x{d}_', 9)}\n{line(f'y{d}_', 9)}\nbye {d}"
+    assert all(by[d].n_removed >= 38 for d in (41, 42))
+
+
+def test_line_dedup_of_a_very_long_text(frame):
+    text = "\n".join(f"line number {k} of a long text with enough words in it" for k in range(20_000))
+    got = {r.doc_id: r for r in linededup.without_repeats(frame([(1, text), (2, "new\n" + text), (3, "x")])).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 20_000 and got[2].text == "new" and got[3].text == "x"
+
+
 def brute_leaks(docs, items):
     def cut(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
