@@ -13,7 +13,7 @@ from ..functions.base import add_features
 from ..plans.tables import trade_bars
 from .base import query
 from .sqltext import (
-    BARS, RETS, SIGNALS, STRAT, W, draw, sharpe_sql, with_,
+    BARS, RETS, SIGNALS, STRAT, W, base_sql, draw, mixed_sql, sharpe_sql, with_,
 )
 
 BASE = with_(BARS, RETS, SIGNALS, STRAT)
@@ -38,16 +38,18 @@ prof AS (
   FROM base GROUP BY 1
 ),
 sizes AS (SELECT strategy_id, row_number() OVER (PARTITION BY strategy_id ORDER BY ts) - 1 AS k, abs(prior) AS size FROM base WHERE active),
-pool AS (
-  SELECT b.strategy_id, b.ts, coalesce(asset_r, 0) AS r, n_bars, n_active, long_share, unnest(range(1, {n + 1})) AS trial
+open_bars AS (
+  SELECT b.strategy_id, row_number() OVER (PARTITION BY b.strategy_id ORDER BY b.ts) - 1 AS bar, coalesce(asset_r, 0) AS r, n_bars, n_active, long_share,
+    {base_sql(seed, 'b.strategy_id')} AS base_
   FROM base b JOIN prof p USING (strategy_id) WHERE n_active > 0 AND (asset_r IS NOT NULL OR n_obs < n_active)
 ),
-picked AS (
-  SELECT *, row_number() OVER (PARTITION BY strategy_id, trial ORDER BY md5(concat_ws('|', '{seed}', strategy_id, CAST(trial AS VARCHAR), CAST(ts AS VARCHAR)))) - 1 AS pos FROM pool
+pool AS (
+  SELECT *, {mixed_sql('h1', 'xor(base_, trial)')}, {mixed_sql('h2', 'xor(h1, bar)')}, {mixed_sql('h3', 'xor(h2, 1)')}, {mixed_sql('h4', 'xor(h2, 2)')}
+  FROM (SELECT *, unnest(range(1, {n + 1})) AS trial FROM open_bars)
 ),
+picked AS (SELECT *, row_number() OVER (PARTITION BY strategy_id, trial ORDER BY h2, bar) - 1 AS pos FROM pool),
 held_bars AS (
-  SELECT p.*, CAST(floor({draw(0, seed + 1, 'strategy_id', 'trial', 'ts')} * n_active) AS BIGINT) AS k,
-    CASE WHEN {draw(1, seed + 1, 'strategy_id', 'trial', 'ts')} < long_share THEN 1.0 ELSE -1.0 END AS side
+  SELECT p.*, CAST(floor(h3 / 4294967296.0 * n_active) AS BIGINT) AS k, CASE WHEN h4 / 4294967296.0 < long_share THEN 1.0 ELSE -1.0 END AS side
   FROM picked p WHERE pos < n_active
 ),
 trials AS (

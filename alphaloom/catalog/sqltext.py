@@ -55,6 +55,19 @@ def draw(piece: int, seed: int, *ids: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), {1 + 10 * piece}, 10)) AS BIGINT) / {float(16**10)})"
 
 
+def mixed_sql(name: str, x: str) -> str:
+    """Columns that mix a 32-bit integer into `name`, step by step."""
+    return (
+        f"xor({x}, ({x}) >> 15) AS {name}_a, ({name}_a * 739982445) & 4294967295 AS {name}_b, xor({name}_b, {name}_b >> 12) AS {name}_c, "
+        f"({name}_c * 695872825) & 4294967295 AS {name}_d, xor({name}_d, {name}_d >> 15) AS {name}"
+    )
+
+
+def base_sql(seed: int, *ids: str) -> str:
+    text = "concat_ws('|', '%d', %s)" % (seed, ", ".join(f"CAST({i} AS VARCHAR)" for i in ids))
+    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT)"
+
+
 def sharpe_sql(mean: str, std: str, ann: int = 52) -> str:
     return f"coalesce({mean} / nullif({std}, 0) * sqrt({ann}), 0)"
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
-from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -15,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core.draws import HEX_DIGITS, hash_order, spread, uniforms
+from ..core.draws import hash_order, spread, stream_base, trial_draws, uniforms
 from ..core.expr import col, join_groups, ratio, sharpe
 from ..core.lineage import checkpointed
 from ..core.panel import Panel
-from ..core.ranks import group_quantiles
+from ..core.ranks import group_quantiles, tally
 from ..core.scan import numbered
 from .splits import counted
 
@@ -81,28 +80,32 @@ def permutation_trials(panel: Panel, *, n: int = 1000, seed: int = 7, position:
     if panel.bounded:  # a key's bars are bounded by its calendar, so they travel as arrays
         sums = _array_sums(open_bars, sizes, keys, panel.ts, n, seed)
     else:
-        sums = _row_sums(open_bars, sizes, keys, panel.ts, n, seed)
+        sums = _row_sums(panel, open_bars, sizes, keys, panel.ts, n, seed)
     mean = ratio("_s", "_n")
     var = ratio(F.col("_q") - F.col("_s") * mean, F.col("_n") - 1)
     sr = ratio(mean, F.when(var > 0, F.sqrt(var))) * math.sqrt(annualization)
     return profile, sums.select(*keys, "trial", F.coalesce(sr, F.lit(0.0)).alias("sharpe"))
 
 
-def _row_sums(open_bars: DataFrame, sizes: DataFrame, keys: list[str], ts: str, n: int, seed: int) -> DataFrame:
+def _row_sums(panel: Panel, open_bars: DataFrame, sizes: DataFrame, keys: list[str], ts: str, n: int, seed: int) -> DataFrame:
     """Per key and trial the sum and square sum of random returns; a row per bar and trial."""
-    pool = spread(open_bars, *keys, ts).select(
-        *keys, ts, F.coalesce("_asset", F.lit(0.0)).alias("_r"), "n_bars", "n_active",
-        "long_share", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("trial"),
+    bars = numbered(panel.with_df(open_bars).frame(), "_bar").core()
+    pool = spread(bars, *keys, ts).select(
+        *keys, "_bar", F.coalesce("_asset", F.lit(0.0)).alias("_r"), "n_bars", "n_active", "long_share",
+        stream_base(seed, *keys).alias("_base"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("trial"),
     )
-    ids = [*keys, "trial", ts]
-    picked = hash_order(pool, [*keys, "trial"], "_pos", seed, ids).filter(
-        F.col("_pos") < F.col("n_active")
-    )
-    u_size, u_side = uniforms(2, seed + 1, *ids)
+
+    @F.pandas_udf("order long, u double, v double")
+    def draws(base: pd.Series, trial: pd.Series, bar: pd.Series) -> pd.DataFrame:
+        order, u, v = trial_draws(base.to_numpy(), trial.to_numpy(), bar.to_numpy())
+        return pd.DataFrame({"order": order.astype(np.int64), "u": u, "v": v})
+
+    pool = pool.withColumn("_d", draws("_base", "trial", "_bar")).withColumn("_place", F.struct("_d.order", "_bar"))
+    picked = tally(pool, [*keys, "trial"], "_place", prefix="_p_").filter(F.col("_p_lt") < F.col("n_active"))
     held = picked.withColumns(
         {
-            "_k": F.floor(u_size * F.col("n_active")).cast("bigint"),
-            "_side": F.when(u_side < F.col("long_share"), 1.0).otherwise(-1.0),
+            "_k": F.floor(F.col("_d.u") * F.col("n_active")).cast("bigint"),
+            "_side": F.when(F.col("_d.v") < F.col("long_share"), 1.0).otherwise(-1.0),
         }
     ).join(sizes, [*keys, "_k"])
     x = F.col("_size") * F.col("_side") * F.col("_r")
@@ -116,15 +119,14 @@ TRIAL_BLOCK = 50  # trials that one input row of the array form stands for
 
 def _array_sums(open_bars: DataFrame, sizes: DataFrame, keys: list[str], ts: str, n: int, seed: int) -> DataFrame:
     """The same sums with a key's bars as arrays: blocks of trials are spread over the
-    tasks, and only one row per trial leaves them."""
-    name = lambda k: F.concat_ws("|", F.lit(str(k)), *[F.col(c).cast("string") for c in keys]).alias(f"x_id{k - seed}")
+    tasks, drawn as matrices, and only one row per trial leaves them."""
     held = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_k", "_size"))).alias("_sizes"))
     bars = open_bars.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(ts).cast("string").alias("t"), F.coalesce("_asset", F.lit(0.0)).alias("r")))).alias("_bars"),
+        F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.coalesce("_asset", F.lit(0.0)).alias("r")))).alias("_bars"),
         F.first("n_bars").alias("_n"), F.first("n_active").alias("_active"), F.first("long_share").alias("_long"),
     )
     blocks = join_groups(bars, held, keys).select(
-        *keys, name(seed), name(seed + 1), F.col("_bars.t").alias("x_t"), F.col("_bars.r").alias("x_r"),
+        *keys, stream_base(seed, *keys).alias("x_base"), F.col("_bars.r").alias("x_r"),
         F.col("_sizes._size").alias("x_size"), F.col("_n").alias("x_n"), F.col("_active").alias("x_active"),
         F.col("_long").alias("x_long"),
         F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(TRIAL_BLOCK))).alias("x_first"),
@@ -134,26 +136,21 @@ def _array_sums(open_bars: DataFrame, sizes: DataFrame, keys: list[str], ts: str
                                           T.StructField("_q", T.DoubleType()), T.StructField("_n", T.LongType())]
     )
 
-    def one(row, trial: int) -> tuple[float, float]:
-        ids = [f"|{trial}|{t}".encode() for t in row.x_t]
-        order = np.array([int(md5(row.x_id0.encode() + i).hexdigest()[:15], 16) for i in ids])
-        picked = np.argsort(order, kind="stable")[: row.x_active]
-        drawn = [md5(row.x_id1.encode() + ids[k]).hexdigest() for k in picked]
-        unit = float(16**HEX_DIGITS)
-        u = np.array([int(d[:HEX_DIGITS], 16) for d in drawn]) / unit
-        v = np.array([int(d[HEX_DIGITS : 2 * HEX_DIGITS], 16) for d in drawn]) / unit
-        size = np.asarray(row.x_size)[np.floor(u * row.x_active).astype(int)]
-        x = size * np.where(v < row.x_long, 1.0, -1.0) * np.asarray(row.x_r)[picked]
-        return float(x.sum()), float((x * x).sum())
+    def block(row) -> pd.DataFrame:
+        trials = np.arange(row.x_first, min(row.x_first + TRIAL_BLOCK, n + 1))
+        r = np.asarray(row.x_r, dtype=float)
+        order, u, v = trial_draws(np.int64(row.x_base), trials[:, None], np.arange(len(r))[None, :])
+        picked = np.argsort(order, axis=1, kind="stable")[:, : row.x_active]
+        u, v = (np.take_along_axis(d, picked, axis=1) for d in (u, v))
+        size = np.asarray(row.x_size, dtype=float)[np.floor(u * row.x_active).astype(int)]
+        x = size * np.where(v < row.x_long, 1.0, -1.0) * r[picked]
+        made = {k: [getattr(row, k)] * len(trials) for k in keys}
+        return pd.DataFrame(made | {"trial": trials, "_s": x.sum(axis=1), "_q": (x * x).sum(axis=1), "_n": row.x_n})
 
     def run(frames):
         for f in frames:
-            out = [
-                (*(getattr(row, k) for k in keys), trial, *one(row, trial), row.x_n)
-                for row in f.itertuples(index=False)
-                for trial in range(row.x_first, min(row.x_first + TRIAL_BLOCK, n + 1))
-            ]
-            yield pd.DataFrame(out, columns=schema.names)
+            if len(f):
+                yield pd.concat([block(row) for row in f.itertuples(index=False)])[schema.names]
 
     return spread(blocks, *keys, "x_first").mapInPandas(run, schema)
 

@@ -8,7 +8,7 @@ from helpers import collect, price_frame
 from pyspark.sql import functions as F
 
 from alphaloom.core import Panel, cumulative, group_quantiles, numbered, tally
-from alphaloom.core.draws import hash_order, uniforms
+from alphaloom.core.draws import hash_order, mixed, trial_draws, uniforms
 from alphaloom.core.normal import expected_max_normal, normal_cdf, normal_ppf
 from alphaloom.core.ranks import average_rank, group_values_at
 from alphaloom.functions import options as opt
@@ -141,6 +141,16 @@ def test_draws_are_uniform_and_do_not_depend_on_partitions(spark):
     assert abs(one.a.mean() - 0.5) < 0.02 and abs(np.corrcoef(one.a, one.b)[0, 1]) < 0.05
 
 
+def test_counter_draws_are_uniform_and_independent():
+    order, u, v = trial_draws(np.int64(12345), np.arange(1, 201)[:, None], np.arange(300)[None, :])
+    assert len(np.unique(mixed(np.arange(1 << 16, dtype=np.uint64)))) == 1 << 16
+    for x in (order / 2**32, u, v):
+        assert abs(x.mean() - 0.5) < 0.005 and abs(x.std() - 12**-0.5) < 0.005
+        assert np.abs(x.mean(axis=0) - 0.5).max() < 0.1 and np.abs(x.mean(axis=1) - 0.5).max() < 0.08
+        assert np.abs(np.corrcoef(x[:20])[np.triu_indices(20, 1)]).max() < 0.25
+    assert abs(np.corrcoef(u.ravel(), v.ravel())[0, 1]) < 0.02 and abs(np.corrcoef(order.ravel().astype(float), u.ravel())[0, 1]) < 0.02
+
+
 def test_normal_functions(spark):
     z = np.r_[np.linspace(-9, 9, 61), 0.0]
     p = np.r_[1e-12, np.linspace(0.0005, 0.9995, 60)]
