@@ -1,7 +1,7 @@
 """Removal of repeated passages by content-defined line chunks (DataFrame functions only).
 
 Chunk borders depend on the lines around them alone, so equal runs of lines get equal chunks
-wherever they stand: a line of `LONG` words or more is a chunk of its own, a paragraph's first line begins
+wherever they stand: a line of `LONG` characters or more is a chunk of its own, a paragraph's first line begins
 one, and among shorter lines a hash of the line over a window of one line decides (one in
 `DIVISOR`). Blank lines belong to the chunk before them and don't count in comparisons.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from alphaloom.core.lineage import written
 from alphaloom.llm.common import WORD, fresh_name, let
 
-LONG = 8  # words of a line that is a chunk of its own
+LONG = 40  # characters, without blanks around, of a line that is a chunk of its own
 DIVISOR = 2  # one border in DIVISOR shorter lines
 RUN_WORDS = 50  # a repeated run of more words is cut out
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -41,11 +41,11 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
 
 
-def chunk_starts(lines: Column, counts: Column) -> Column:
+def chunk_starts(lines: Column, sizes: Column) -> Column:
     """First lines of the chunks."""
 
     def border(i: Column) -> Column:
-        own, before = F.get(counts, i), F.get(counts, i - 1)
+        own, before = F.get(sizes, i), F.get(sizes, i - 1)
         begins = (own >= LONG) | (before >= LONG) | (before == 0)
         return (i == 0) | ((own > 0) & F.when(begins, True).otherwise(line_hash(F.get(lines, i)) % DIVISOR == 0))
 
@@ -53,19 +53,15 @@ def chunk_starts(lines: Column, counts: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """Array of structs: lines and their number of words."""
+    """Array of arrays of lines."""
 
-    def pieces(lines: Column, counts: Column) -> Column:
-        return let(chunk_starts(lines, counts), lambda s: F.transform(s, lambda a, k: let(
-            F.coalesce(F.get(s, k + 1), F.size(lines)) - a,
-            lambda n: F.struct(
-                F.slice(lines, a + 1, n).alias("lines"),
-                F.aggregate(F.slice(counts, a + 1, n), F.lit(0), lambda x, y: x + y).alias("words"),
-            ),
-        )))
+    def pieces(lines: Column, sizes: Column) -> Column:
+        return let(chunk_starts(lines, sizes), lambda s: F.transform(
+            s, lambda a, k: F.slice(lines, a + 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - a)
+        ))
 
     return let(F.split(text, "\n"), lambda lines: let(
-        F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))), lambda counts: pieces(lines, counts)
+        F.transform(lines, lambda x: F.length(F.trim(x, F.lit(BLANK)))), lambda sizes: pieces(lines, sizes)
     ))
 
 
@@ -106,20 +102,20 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     narrow = docs.where(t.isNotNull()).select(key.alias("rid"), F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("o"), t.alias("text"))
 
     # explode_outer, since the filter that explode implies would cut the texts into chunks twice
-    cut = F.transform(chunks(F.col("text")), lambda c, i: F.struct(
-        i.alias("place"), c["words"].alias("words"), F.xxhash64(_compared(c["lines"])).alias("print")
-    ))
-    marks = narrow.select("rid", F.explode_outer(F.filter(cut, lambda c: c["words"] > 0)).alias("c")).where("c IS NOT NULL").select("rid", "c.place", "c.print")
+    cut = F.transform(chunks(F.col("text")), lambda c, i: let(_compared(c), lambda t: F.struct(
+        i.alias("place"), F.xxhash64(t).alias("print"), (t != "").alias("holds")
+    )))
+    marks = narrow.select("rid", F.explode_outer(cut).alias("c")).where("c.holds").select("rid", "c.place", "c.print")
     repeated = marks.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     suspects = written(
         marks.join(repeated, "print").groupBy("rid").agg(F.array_sort(F.collect_set("place")).alias("places")), "suspects"
     )
     wanted = let(chunks(F.col("text")), lambda c: F.transform("places", lambda p: F.struct(
-        p.alias("place"), F.get(c, p)["words"].alias("words"), _compared(F.get(c, p)["lines"]).alias("text")
+        p.alias("place"), _compared(F.get(c, p)).alias("text")
     )))
     texts = written(
         narrow.join(suspects.hint("merge"), "rid").select("rid", "o", F.explode_outer(wanted).alias("c"))
-        .select("rid", F.struct("o", "c.place").alias("at"), "c.place", "c.words", "c.text"), "texts",
+        .select("rid", F.struct("o", "c.place").alias("at"), "c.place", F.regexp_count("c.text", F.lit(WORD)).alias("words"), "c.text"), "texts",
     )
     first = written(
         texts.groupBy("text").agg(F.min("at").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first"
@@ -131,8 +127,7 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = lambda c: F.filter(c, lambda x, i: ~inside(i))
     left = F.when(F.col(gone).isNotNull(), let(chunks(t), rest))
     done = done.withColumn(r2, let(left, lambda c: F.struct(
-        _joined(F.flatten(F.transform(c, lambda x: x["lines"]))).alias("text"),
-        F.aggregate(c, F.lit(0), lambda n, x: n + F.size(x["lines"])).alias("lines"),
+        _joined(F.flatten(c)).alias("text"), F.size(F.flatten(c)).alias("lines"),
     )))
     n_lines = F.coalesce(F.size(F.split(t, "\n")), F.lit(0))
     n_chunks = F.aggregate(F.col(gone), F.lit(0), lambda n, r: n + r["z"] - r["a"] + 1)
@@ -147,6 +142,7 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def repeats_sql(source: str = "documents", columns: str = "doc_id") -> str:
     """DuckDB SQL for (columns, new_text, n_lines, n_removed, n_chunks)."""
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return rf"""
 SELECT {columns}, CASE WHEN n_chunks = 0 THEN text ELSE array_to_string(kept, chr(10)) END AS new_text,
        n_lines, n_lines - len(kept) AS n_removed, n_chunks
@@ -154,17 +150,16 @@ FROM (
   WITH base AS (
     SELECT {columns}, text, string_split(text, chr(10)) AS ln FROM {source}
   ), counted AS (
-    SELECT *, list_transform(ln, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS wc FROM base
+    SELECT *, list_transform(ln, lambda x: length(trim(x, {blank}))) AS wc FROM base
   ), started AS (
     SELECT *, list_filter(range(0, len(ln)), lambda i: i = 0 OR (wc[i + 1] > 0 AND (wc[i + 1] >= {LONG} OR wc[i] >= {LONG} OR wc[i] = 0
       OR CAST('0x' || substr(md5(ln[i + 1]), 1, 8) AS BIGINT) % {DIVISOR} = 0))) AS st FROM counted
   ), pieces AS (
-    SELECT doc_id, k, list_slice(ln, st[k] + 1, coalesce(st[k + 1], len(ln))) AS c,
-           list_sum(list_slice(wc, st[k] + 1, coalesce(st[k + 1], len(ln)))) AS words
+    SELECT doc_id, k, list_slice(ln, st[k] + 1, coalesce(st[k + 1], len(ln))) AS c
     FROM (SELECT *, unnest(range(1, len(st) + 1)) AS k FROM started)
   ), classed AS (
     SELECT *, first_value(doc_id || ':' || k) OVER w AS class, row_number() OVER w > 1 AS repeated
-    FROM (SELECT *, rtrim(array_to_string(c, chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM pieces WHERE words > 0)
+    FROM (SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT *, rtrim(array_to_string(c, chr(10)), {blank}) AS t FROM pieces) WHERE t <> '')
     WINDOW w AS (PARTITION BY t ORDER BY doc_id, k)
   ), followed AS (
     SELECT *, lead(k) OVER w = k + 1 AS adjacent, lead(class) OVER w AS class2 FROM classed WINDOW w AS (PARTITION BY doc_id ORDER BY k)
