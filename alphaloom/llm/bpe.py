@@ -167,7 +167,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encoded(df: DataFrame, path: str, pattern: str, *, text: str = "text") -> DataFrame:
     """The input's columns, `ids` (little-endian unsigned 32-bit integers, binary) and
     `decoded` (the bytes of the decoded ids). `path` must be readable on every executor."""
-    kept = [c for c in df.columns if c not in ("ids", "decoded")]
+    kept = [c for c in df.columns if c.lower() not in ("ids", "decoded")]
     schema = T.StructType(
         [df.schema[c] for c in kept]
         + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]

@@ -3,8 +3,8 @@
 Test items are partitioned by their number of distinct shingles into powers of two. The
 class of size 2^c keeps the minimum hashes below 2^(64 + 4 - c): 16 to 32 are expected in
 the sketch of each of its items, all hashes for small items. A long document is probed by
-all its hashes below the largest threshold in use, so a short item can't drown in it, and
-every shared minimum makes a candidate: an item contained to 0.8 is missed with a chance
+all its hashes below the largest threshold in use (items of less than 32 shingles keep all their hashes, so
+beside one of them that is every hash), so a short item can't drown in it, and every shared minimum makes a candidate: an item contained to 0.8 is missed with a chance
 of about 0.2^16. Candidates are verified by exact containment of word shingles.
 
 Containment is |item & document| / |item| over distinct shingles of five lower-cased
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.core.lineage import scratch_path
-from alphaloom.llm.common import let, words
+from alphaloom.llm.common import fresh_name, let, words
 
 SHINGLE = 5
 LOG_SKETCH = 4  # 2^4 minimum hashes are expected at least
@@ -86,11 +86,12 @@ def leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", threshold: i
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", threshold: int = 80) -> DataFrame:
     """The documents that contain no test item."""
-    bad = leaks(docs, items, text=text, threshold=threshold).select(F.col("doc_id").alias("leaked")).distinct()
+    leaked = fresh_name(docs, "leaked")
+    bad = leaks(docs, items, text=text, threshold=threshold).select(F.col("doc_id").alias(leaked)).distinct()
     path = scratch_path(docs.sparkSession, "leaked")
     bad.write.parquet(path)
     bad = docs.sparkSession.read.parquet(path)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
 
 
 def leaks_sql(docs: str = "documents", items: str = "benchmark", threshold: int = 80) -> str:

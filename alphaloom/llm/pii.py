@@ -299,7 +299,7 @@ def detected(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         spans[kind] = F.transform(
             rows, lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
         )
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "counts")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("spans", "counts")]
     counts = F.col("spans")
     full = docs.select(*kept, F.flatten(F.array(*spans.values())).alias("spans"))
     return full.withColumn("counts", F.struct(*[

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str =
 
 def scored(docs: DataFrame, weights: dict[int, float], *, text: str = "text", config: Config = Config()) -> DataFrame:
     """The input's columns, score (0 to 1) and predicted (1 from 0.5 on)."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in kept] + [
         T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
     ])

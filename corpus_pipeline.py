@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as
 Parquet in the shared folder and hands the next stage what it reads back. All but the last
-return the columns of documents.
+return the columns of documents, and other columns beside them, whatever their names.
+
+NULL ids are an id of their own: such rows are judged like all others, and go as copies only of
+a document with an id. Rows of one doc_id share the fate of their group in jaccard_join. NULL and blank
+texts go in quality_rules. Long texts are treated whole in every stage. Empty tables give empty tables.
 """
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.core.lineage import scratch_path
 from alphaloom.llm import bpe, decontaminate, jaccard, linededup, quality
-from alphaloom.llm.common import table
+from alphaloom.llm.common import fresh_name, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,12 +34,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays, with all rows of that doc_id."""
-    joined = jaccard.linked(docs).select(F.col("doc_id").alias("d"), F.col("component_id").alias("c"))
+    d, c = fresh_name(docs, "d"), fresh_name(docs, "c")
+    joined = jaccard.linked(docs).select(F.col("doc_id").alias(d), F.col("component_id").alias(c))
     # those that go are few, so their ids stay broadcastable for longer than the others'
     path = scratch_path(spark, "copies")
-    joined.groupBy("d").agg(F.max(F.expr("d <=> c")).alias("stays")).where("NOT stays").select("d").write.parquet(path)
+    stays = F.max(F.col(d).eqNullSafe(F.col(c)))
+    joined.groupBy(d).agg(stays.alias("stays")).where("NOT stays").select(d).write.parquet(path)
     copies = spark.read.parquet(path)
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col(d)), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
