@@ -368,11 +368,11 @@ def _(spark, sf):
 
 
 BOOT_SQL = f"""pool AS (
-  SELECT *, row_number() OVER (PARTITION BY horizon, tradeDate ORDER BY md5(concat_ws('|', '0', ticker, CAST(tradeDate AS VARCHAR), CAST(horizon AS VARCHAR)))) - 1 AS pick,
-    count(*) OVER (PARTITION BY horizon, tradeDate) AS n_pool FROM ok
+  SELECT *, row_number() OVER (PARTITION BY horizon, tradeDate ORDER BY ticker) - 1 AS pick, count(*) OVER (PARTITION BY horizon, tradeDate) AS n_pool,
+    {base_sql(1, 'ticker', 'tradeDate', 'horizon')} AS base_ FROM ok
 ),
 draws AS (
-  SELECT horizon, tradeDate, replicate, sign, CAST(floor({draw(0, 1, 'ticker', 'tradeDate', 'horizon', 'replicate')} * n_pool) AS BIGINT) AS pick
+  SELECT horizon, tradeDate, replicate, sign, {mixed_sql('h1', 'xor(base_, replicate)')}, {mixed_sql('h2', 'xor(h1, 1)')}, CAST(floor(h2 / 4294967296.0 * n_pool) AS BIGINT) AS pick
   FROM (SELECT *, unnest(range(1, {BOOTS + 1})) AS replicate FROM pool WHERE side IS NOT NULL)
 ),
 boots AS (

@@ -18,7 +18,7 @@ from .base import query
 from .chance import CAND, RAW, UNIVERSE
 from .running import DIAGNOSIS, FILLS, UNIFIED, bounds, macro_sources
 from ..operators import calendar as cal
-from ..plans.trials import fills
+from ..plans.trials import fills, ledger_events
 from .sqltext import BARS, BASKETS, HOURLY, RETS, SIGNALS, STRAT, book_sql, with_
 
 BASE = with_(BARS, RETS, SIGNALS, STRAT)
@@ -111,6 +111,31 @@ def _(spark, sf):
     return fs.read_jsonl(spark, path, fs.DECISION_SCHEMA).withColumn("event_id", F.col("metadata")["event_id"])
 
 
+def audit_rows(spark, sf):
+    """Pipeline events of the ledger: a record completes a step, an override is applied, a deployment ends the run."""
+    e = ledger_events(spark, sf)
+    kind, only = F.col("kind"), lambda k, c: F.when(F.col("kind") == k, c)
+    return e.select(
+        F.col("created_at").alias("timestamp"), F.col("hypothesis_id").alias("thesis_id"),
+        F.when(kind == "record", "step_complete").when(kind == "override", "override_applied").otherwise("pipeline_complete").alias("event_type"),
+        only("record", (F.col("seq") % 9 + 1).cast("int")).alias("step"), only("record", F.when(F.col("accepted"), "pass").otherwise("fail")).alias("status"),
+        only("record", F.create_map(F.lit("sharpe_ratio"), F.get_json_object("metrics_json", "$.sharpe_ratio"))).alias("metrics"),
+        F.col("failure").alias("failure_key"), "reason", only("deploy", F.col("status")).alias("decision"), F.col("seq").cast("string").alias("note"),
+    )
+
+
+@query("read_audit_log", keys="thesis_id event_type status failure_key decision", ints="seq step", nums="sharpe", sql="""
+SELECT o_orderkey AS seq, 'H' || o_custkey AS thesis_id, CASE WHEN k < 5 THEN 'step_complete' WHEN k < 7 THEN 'override_applied' ELSE 'pipeline_complete' END AS event_type,
+  CASE WHEN k < 5 THEN o_orderkey % 9 + 1 END AS step, CASE WHEN k < 5 THEN CASE WHEN o_orderstatus = 'F' THEN 'pass' ELSE 'fail' END END AS status,
+  CASE WHEN k < 5 THEN CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 401 AS DOUBLE) END AS sharpe, CASE WHEN k >= 5 AND k < 7 THEN o_orderpriority END AS failure_key,
+  CASE WHEN k >= 7 THEN (['paper', 'live', 'retired', 'archived'])[CAST(o_custkey % 4 AS INTEGER) + 1] END AS decision
+FROM (SELECT *, o_orderkey % 10 AS k FROM orders)""")
+def _(spark, sf):
+    path = scratch_path(spark, "audit")
+    fs.append_jsonl(audit_rows(spark, sf), path)
+    return fs.read_jsonl(spark, path).withColumns({"seq": F.col("note").cast("bigint"), "sharpe": F.col("metrics")["sharpe_ratio"].cast("double")})
+
+
 @query("append_jsonl_log", keys="symbol", ints="n", sql="SELECT event_type AS symbol, 2 * count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
     path = scratch_path(spark, "decisions")

@@ -4,14 +4,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.draws import hash_order, spread, uniforms
+from ..core.draws import UNIT, spread, stream_base, trial_draws
 from ..core.expr import col, ratio, valid_frame
 from ..core.lineage import checkpointed
 from ..core.panel import Frame, Panel
-from ..core.ranks import group_quantiles
+from ..core.ranks import group_quantiles, positions
 from ..core.scan import numbered
 from ..functions.base import Feature, add_features
 from ..functions.timeseries import forward_return, midrank_percentile
@@ -233,29 +235,56 @@ def pool_counts(long: DataFrame, *, price: str = "clsPx", price_floor: float = 1
     )
 
 
+POOL, FIRES, DRAWN = 1 << 18, 4096, 256  # pool rows and fires of a block, fires drawn for at once
+
+
 def bootstrap_means(fires: DataFrame, pool: DataFrame, *, date: str, keys: list[str], n_boot: int = 2000,
                     seed: int = 0) -> DataFrame:
     """(horizon, replicate, boot_mean, n_used): every fire replaced by a random pool
     row of its date, its side kept.
 
-    The pool of a date is numbered in digest order (any size of date), a draw is a
-    number, and draws meet the pool on (horizon, date, number), so a date with a
-    third of all rows is spread over many join keys.
+    A date's pool is numbered by the range-partitioned ranks and travels as arrays of up to
+    POOL values, its fires as blocks of about FIRES counters and signs.  A task draws all
+    replicates of a block as a matrix and hands on one line of sums per horizon and replicate, so
+    neither draws nor replicates are shuffled, and a date with a third of all rows is many blocks.
     """
-    dates = pool.groupBy("horizon", date).agg(F.count("*").alias("n_pool"))
-    indexed = hash_order(pool, ["horizon", date], "pick", seed, [*keys, date, "horizon"]).select(
-        "horizon", date, "pick", F.col("fwd").alias("drawn")
-    )
-    draws = spread(fires.join(dates, ["horizon", date]), "horizon", date, *keys).select(
-        "horizon", date, *keys, "sign", "n_pool",
-        F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate"),
+    day = ["horizon", date]
+    at = positions(pool, day, F.struct(*keys, "fwd"))
+    chunks = (
+        at.select(*day, "_lt", "_n", F.explode(F.array_repeat("_v.fwd", F.col("_eq").cast("int"))).alias("x"))
+        .groupBy(*day, F.floor(F.col("_lt") / POOL).alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct("_lt", "x"))).alias("p"), F.first("_n").alias("n"))
+        .select(*day, "n", F.col("p._lt")[0].alias("start"), F.col("p.x").alias("pool"))
     )
-    (u,) = uniforms(1, seed + 1, *keys, date, "horizon", "replicate")
-    draws = draws.select(
-        "horizon", date, "replicate", "sign", F.floor(u * F.col("n_pool")).cast("bigint").alias("pick")
+    sizes = fires.groupBy(*day).agg(F.count("*").alias("fired"))
+    part = F.pmod(F.xxhash64(*keys), F.greatest(F.ceil(F.col("fired") / FIRES), F.lit(1)))
+    blocks = (
+        fires.join(sizes, day).groupBy(*day, part.alias("block"))
+        .agg(F.collect_list(F.struct(stream_base(seed + 1, *keys, date, "horizon").alias("base"), F.col("sign").cast("double").alias("sign"))).alias("f"))
+        .select(*day, F.col("f.base").alias("base"), F.col("f.sign").alias("sign"))
     )
-    return draws.join(indexed, ["horizon", date, "pick"]).groupBy("horizon", "replicate").agg(
-        F.avg(F.col("sign") * F.col("drawn")).alias("boot_mean"), F.count("*").alias("n_used")
+    replicates = np.arange(1, n_boot + 1)
+
+    def draw(frames):
+        total: dict = {}
+        for f in frames:
+            for row in f.itertuples(index=False):
+                sums = total.setdefault(row.horizon, np.zeros((2, n_boot)))
+                values, base, sign = (np.asarray(x) for x in (row.pool, row.base, row.sign))
+                for lo in range(0, len(base), DRAWN):
+                    u = trial_draws(base[lo : lo + DRAWN, None], replicates[None, :], np.int64(1))[0] / UNIT
+                    pick = np.floor(u * row.n).astype(np.int64) - row.start
+                    here = (pick >= 0) & (pick < len(values))
+                    drawn = np.where(here, values[np.clip(pick, 0, len(values) - 1)], 0.0)
+                    sums += ((drawn * sign[lo : lo + DRAWN, None]).sum(axis=0), here.sum(axis=0))
+        for h, (s, n) in total.items():
+            yield pd.DataFrame({"horizon": h, "replicate": replicates, "s": s, "n": n.astype(np.int64)})
+
+    kind = fires.schema["horizon"].dataType.simpleString()
+    met = spread(blocks.join(chunks, day).select("horizon", "n", "start", "pool", "base", "sign"), "horizon", "base")
+    lines = met.mapInPandas(draw, f"horizon {kind}, replicate int, s double, n bigint")
+    return lines.groupBy("horizon", "replicate").agg(F.sum("s").alias("s"), F.sum("n").alias("n_used")).select(
+        "horizon", "replicate", ratio("s", "n_used").alias("boot_mean"), "n_used"
     )
 
 

@@ -134,6 +134,18 @@ def test_consensus_by_hand(spark):
         sgl.consensus(p.with_df(p.df.drop("sigma")))
 
 
+def test_bootstrap_blocks_do_not_change_the_draws(spark, monkeypatch):
+    f, p = signal_frame(spark, n=60)
+    pool = sgl.eligible(sgl.by_horizon(sgl.forward_panel(p).df))
+    fires = pool.withColumn("sign", F.when(F.col("ticker") == "T2", -1).otherwise(1))
+    once = lambda: collect(sgl.bootstrap_means(fires, pool, date="tradeDate", keys=["ticker"], n_boot=15, seed=3), "horizon", "replicate")
+    whole = once()
+    monkeypatch.setattr(sgl, "POOL", 2)
+    monkeypatch.setattr(sgl, "FIRES", 1)
+    monkeypatch.setattr(sgl, "DRAWN", 1)
+    pd.testing.assert_frame_equal(whole, once(), rtol=1e-12)
+
+
 def test_bootstrap_draws_come_from_the_date_pool(spark):
     f, p = signal_frame(spark, n=60)
     rows = sgl.by_horizon(sgl.forward_panel(p).df)
