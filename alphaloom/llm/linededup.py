@@ -106,7 +106,8 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         i.alias("place"), F.xxhash64(t).alias("print"), (t != "").alias("holds")
     )))
     marks = narrow.select("rid", F.explode_outer(cut).alias("c")).where("c.holds").select("rid", "c.place", "c.print")
-    repeated = marks.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    # written, so that the join reads plain shuffles and the planner can split a fingerprint with many rows
+    repeated = written(marks.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "prints")
     suspects = written(
         marks.join(repeated, "print").groupBy("rid").agg(F.array_sort(F.collect_set("place")).alias("places")), "suspects"
     )
