@@ -155,7 +155,7 @@ GREEK_NUMS = " ".join(f"{n}_abs_{g}" for g in rk.GREEKS for n in ("mean", "max")
        ", ".join(f"CASE WHEN sum({g}) > 1 THEN 'long' WHEN sum({g}) < -1 THEN 'short' ELSE 'neutral' END AS net_{g}_sign" for g in ("vega", "gamma", "delta")) +
        " FROM greeks GROUP BY 1")
 def _(spark, sf):
-    return rk.greek_summary(greek_rows(spark, sf), by=["hypothesis_id"])
+    return rk.greek_summary(greek_rows(spark, sf), by=["hypothesis_id"], order=["k"])
 
 
 @query("risk_concentration", keys="strategy_id", ints="n_unique_tickers_held", bools="single_asset", nums="max_ticker_share_pct",

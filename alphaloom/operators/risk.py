@@ -1,10 +1,11 @@
 """Risk statistics of positions, returns and greeks, per strategy."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.expr import bias_corrected_kurtosis, bias_corrected_skew, join_groups, ratio
+from ..core.lineage import written
 from ..core.panel import Panel
 from ..core.ranks import group_quantiles
 from ..functions.crosssection import with_group
@@ -12,6 +13,8 @@ from .diagnostics import observed, underwater_runs
 from .relational import within_event_window
 
 GREEKS = ("delta", "gamma", "vega", "theta")
+NET_GREEKS = ("vega", "gamma", "delta")
+ROUNDING = 1e-15  # times the count and the sum of sizes: more than two orders of adding can differ
 
 
 def position_stats(df: DataFrame, *, by: list[str], position: str = "position") -> DataFrame:
@@ -50,14 +53,42 @@ def tail_metrics(panel: Panel, net: str = "net") -> DataFrame:
     )
 
 
-def greek_summary(df: DataFrame, *, by: list[str]) -> DataFrame:
-    """Mean and max absolute greeks and the sign of the net ones (+-1 is neutral)."""
+def greek_summary(df: DataFrame, *, by: list[str], order: list[str] | None = None) -> DataFrame:
+    """Mean and max absolute greeks and the sign of the net ones (+-1 is neutral).
+
+    Doubles added up in another order differ in their last digits, which decides the sign of a
+    net that lies on the threshold.  With `order` every net counts as the sum of its rows in
+    that order: partial sums decide the groups that no order of adding could move over the
+    threshold, and only the rows of the others are sorted and added one after the other.
+    """
     present = [g for g in GREEKS if g in df.columns]
+    nets = [g for g in NET_GREEKS if g in present]
     aggs = [f(F.abs(g)).alias(f"{n}_abs_{g}") for g in present for n, f in (("mean", F.avg), ("max", F.max))]
-    for g in ("vega", "gamma", "delta"):
-        net = F.sum(g) if g in present else F.lit(0.0)
-        aggs.append(F.when(net > 1.0, "long").when(net < -1.0, "short").otherwise("neutral").alias(f"net_{g}_sign"))
-    return df.groupBy(*by).agg(*aggs)
+    sums = [F.sum(g).alias(f"_net_{g}") for g in nets]
+    if order is None:
+        return _with_signs(df.groupBy(*by).agg(*aggs, *sums), nets)
+    near = F.lit(False)
+    for g in nets:
+        reach = F.count(g) * ROUNDING * F.sum(F.abs(g))
+        near = near | F.coalesce(F.abs(F.abs(F.sum(g)) - 1.0) <= reach, F.lit(False))
+    out = written(df.groupBy(*by).agg(*aggs, *sums, near.alias("_near")), "greeks")
+    rows = join_groups(df, out.where("_near").select(*by), by, "left_semi")
+    w = Window.partitionBy(*by).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = rows.select(*by, F.row_number().over(w).alias("_i"), *[F.sum(g).over(upto).alias(f"_upto_{g}") for g in nets])
+    last = added.groupBy(*by).agg(*[F.max_by(f"_upto_{g}", "_i").alias(f"_last_{g}") for g in nets], F.lit(True).alias("_added"))
+    both = join_groups(out, last, by, "left")
+    exact = {f"_net_{g}": F.when(F.col("_added"), F.col(f"_last_{g}")).otherwise(F.col(f"_net_{g}")) for g in nets}
+    return _with_signs(both.withColumns(exact).drop("_near", "_added", *[f"_last_{g}" for g in nets]), nets)
+
+
+def _with_signs(df: DataFrame, nets: list[str]) -> DataFrame:
+    """A net_{g}_sign for each greek in place of the nets; an absent greek is neutral."""
+    signs = {}
+    for g in NET_GREEKS:
+        net = F.col(f"_net_{g}") if g in nets else F.lit(0.0)
+        signs[f"net_{g}_sign"] = F.when(net > 1.0, "long").when(net < -1.0, "short").otherwise("neutral")
+    return df.withColumns(signs).drop(*[f"_net_{g}" for g in nets])
 
 
 def concentration(df: DataFrame, *, by: list[str], asset: str = "asset", ts: str = "ts", position: str = "position") -> DataFrame:

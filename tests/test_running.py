@@ -518,6 +518,29 @@ def test_risk_statistics(spark):
     assert p.fraction_at_max == pytest.approx((a >= a.quantile(0.99)).mean()) and p.concentration_share == pytest.approx(a.max() / a.sum())
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_net_greeks_on_the_threshold_do_not_depend_on_partitions(spark, parts):
+    """Tenths whose net is exactly +-1: rounding alone, and so the order of adding, decides the sign."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for h in range(60):
+        x = rng.integers(-100, 101, 11)
+        x = np.r_[x, rng.choice([-10, 10]) - x.sum()] / 10.0  # tenths with a net of exactly +-1
+        rows += [(f"H{h}" if h else None, h * 12 + i, float(v), None if i % 3 else float(v), float(h)) for i, v in enumerate(x)]
+    want = {}
+    for h, _, d, g, v in rows:
+        net = want.setdefault(h, [0.0, 0.0, 0.0])
+        for i, y in enumerate((v, g, d)):
+            net[i] += y or 0.0
+    sign = lambda y: "long" if y > 1 else "short" if y < -1 else "neutral"
+    want = {h: tuple(map(sign, net)) for h, net in want.items()}
+    assert len({s[2] for s in want.values()}) == 3
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(h, int(k), d, g, v) for h, k, d, g, v in rows], "h string, k long, delta double, gamma double, vega double")
+    out = rk.greek_summary(df.repartition(parts, "k"), by=["h"], order=["k"]).collect()
+    assert {r.h: (r.net_vega_sign, r.net_gamma_sign, r.net_delta_sign) for r in out} == want and len(out) == 60
+
+
 def test_tca_keeps_symbols_without_a_shortfall(spark):
     rows = [("S1", 1, 1.0, 10.0, 10.0, 10.1), ("S2", 1, 1.0, None, None, 10.0), (None, 1, 1.0, 10.0, 10.0, 10.2)]
     df = spark.createDataFrame(rows, "symbol string, side int, quantity double, arrival_price double, decision_price double, fill_price double")
