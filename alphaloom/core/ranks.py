@@ -3,9 +3,10 @@
 A rank window or an exact percentile over a group would send it to one task.  Instead equal
 values collapse map-side and the distinct (group, value) rows are range-partitioned by group
 and value, so that a group with a third of all rows lies in a third of the ranges.  Each
-range counts its groups by itself, in one ordered pass, and is written.  A group that ends
-inside its range is done; only the first and the last group of a range can go on in a
-neighbour, so what earlier ranges hold of them is a table of two rows per range.
+range is sorted by Spark and passes through its task in blocks of bounded size.  A block
+counts its groups by itself and is written.  A group that ends inside its block is done; only
+the first and the last group of a block can go on in a neighbour, so what earlier blocks hold
+of them is a table of two rows per block.
 NULL keys form a group like any other, and values keep their own type.
 """
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 from .expr import col, join_groups
 from .lineage import written
 
-FIRST, LAST = 1, 2  # bits of _edge: the group is the first or the last of its range
+FIRST, LAST = 1, 2  # bits of _edge: the group is the first or the last of its block
+BLOCK = 1 << 16  # rows of a range that a task holds at a time
 
 
 def _changes(a: pa.Array) -> np.ndarray:
@@ -36,35 +38,48 @@ def _changes(a: pa.Array) -> np.ndarray:
     return np.r_[True, differ.to_numpy(zero_copy_only=False)]
 
 
-def _count_range(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts inside one sorted range. It is held as Arrow columns while it is counted."""
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches as tables of at most `rows` rows."""
+    held, n = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
+            if n + part.num_rows > rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _count_range(keys: list[str], rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts inside one sorted range, block by block; one block is held as Arrow columns at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows).combine_chunks()
-        n = t.num_rows
-        new = np.zeros(n, bool)
-        new[0] = True
-        for k in keys:
-            new |= _changes(pa.concat_arrays(t.column(k).chunks))
-        start = np.flatnonzero(new)
-        weight = t.column("_w").to_numpy()
-        upto = np.cumsum(weight)
-        before = upto - weight
-        sizes = np.diff(np.r_[start, n])
-        total = upto[np.r_[start[1:] - 1, n - 1]] - before[start]
-        edge = np.zeros(len(start), np.int32)
-        edge[0] |= FIRST
-        edge[-1] |= LAST
-        more = {
-            "_lt": before - np.repeat(before[start], sizes), "_n": np.repeat(total, sizes),
-            "_edge": np.repeat(edge, sizes), "_range": np.full(n, TaskContext.get().partitionId(), np.int32),
-        }
-        for name, values in more.items():
-            t = t.append_column(name, pa.array(values))
-        yield from t.to_batches(max_chunksize=65536)
+        for block, t in enumerate(_blocks(batches, rows)):
+            n = t.num_rows
+            new = np.zeros(n, bool)
+            new[0] = True
+            for k in keys:
+                new |= _changes(pa.concat_arrays(t.column(k).chunks))
+            start = np.flatnonzero(new)
+            weight = t.column("_w").to_numpy()
+            upto = np.cumsum(weight)
+            before = upto - weight
+            sizes = np.diff(np.r_[start, n])
+            total = upto[np.r_[start[1:] - 1, n - 1]] - before[start]
+            edge = np.zeros(len(start), np.int32)
+            edge[0] |= FIRST
+            edge[-1] |= LAST
+            more = {
+                "_lt": before - np.repeat(before[start], sizes), "_n": np.repeat(total, sizes),
+                "_edge": np.repeat(edge, sizes), "_range": np.full(n, TaskContext.get().partitionId(), np.int32),
+                "_block": np.full(n, block, np.int64),
+            }
+            for name, values in more.items():
+                t = t.append_column(name, pa.array(values))
+            yield from t.to_batches()
 
     return run
 
@@ -81,17 +96,19 @@ def positions(df: DataFrame, keys: list[str], value: str | Column, *, ranges: in
     schema = T.StructType([
         *spread.schema.fields, T.StructField("_lt", T.LongType()), T.StructField("_n", T.LongType()),
         T.StructField("_edge", T.IntegerType()), T.StructField("_range", T.IntegerType()),
+        T.StructField("_block", T.LongType()),
     ])
-    local = written(spread.sortWithinPartitions(*order).mapInArrow(_count_range(keys), schema), "ranges")
-    # what a range holds of its first and its last group, and what earlier ranges hold of them
-    parts = local.where("_edge > 0").groupBy(*keys, "_range", "_edge").agg(F.sum("_w").alias("_c"))
+    local = written(spread.sortWithinPartitions(*order).mapInArrow(_count_range(keys, BLOCK), schema), "ranges")
+    # what a block holds of its first and its last group, and what earlier blocks hold of them
+    parts = local.where("_edge > 0").groupBy(*keys, "_range", "_block", "_edge").agg(F.sum("_w").alias("_c"))
     group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = group.orderBy("_range", "_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = written(parts.select(
-        F.col("_range").alias("_r"), F.col("_edge").alias("_e"),
+        F.col("_range").alias("_r"), F.col("_block").alias("_b"), F.col("_edge").alias("_e"),
         F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_carried"), F.sum("_c").over(group).alias("_whole"),
     ), "carry")
-    joined = local.join(carry, (F.col("_range") == F.col("_r")) & (F.col("_edge") == F.col("_e")), "left")
+    same = (F.col("_range") == F.col("_r")) & (F.col("_block") == F.col("_b")) & (F.col("_edge") == F.col("_e"))
+    joined = local.join(carry, same, "left")
     return joined.select(
         *keys, "_v", "_eq", (F.col("_lt") + F.coalesce("_carried", F.lit(0))).alias("_lt"),
         F.coalesce("_whole", "_n").alias("_n"),

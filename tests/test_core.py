@@ -204,3 +204,42 @@ def test_a_single_key_spreads_over_all_ranges(spark, monkeypatch):
     assert len(rows) == 8 and max(rows) < 1200
     assert [(r._lt, r._eq, r._n) for r in at.orderBy("_v").collect()] == [(i, 1, 4000) for i in range(4000)]
     assert len(kept) == 2 and kept[1].count() <= 16
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_ranks_do_not_depend_on_the_size_of_a_block(spark, monkeypatch, block):
+    from alphaloom.core import ranks
+
+    data = [(g, x) for g in ("hot", None, "few", "none") for i in range(300 if g == "hot" else 9) for x in [None if g == "none" or i % 11 == 0 else i * 37 % 101]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id long, g string, x long")
+    monkeypatch.setattr(ranks, "BLOCK", block)
+    got = {r.id: (r.lt, r.eq, r.n) for r in tally(df, ["g"], "x", ranges=3).collect()}
+    for i, (g, x) in enumerate(data):
+        of = [y for h, y in data if h == g and y is not None]
+        assert got[i] == ((None,) * 3 if x is None else (sum(y < x for y in of), of.count(x), len(of)))
+    q = {r.g: r.m for r in group_quantiles(df, ["g"], "x", {"m": 0.5}, ranges=3).collect()}
+    assert set(q) == {"hot", None, "few", "none"} and q["none"] is None
+    assert q["hot"] == np.median([x for g, x in data if g == "hot" and x is not None])
+
+
+def test_a_range_passes_its_task_in_blocks(monkeypatch):
+    """A task gives rows out before it has read its whole range, and holds no more than a block."""
+    import pyarrow as pa
+
+    from alphaloom.core import ranks
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 5)
+
+    monkeypatch.setattr(ranks, "TaskContext", Task)
+    read = []
+    batch = lambda i: pa.record_batch({"g": ["k"] * 40, "_w": pa.array([1] * 40, pa.int64())})
+    out = ranks._count_range(["g"], 100)(read.append(i) or batch(i) for i in range(50))
+    first = next(out)
+    assert len(read) <= 4 and first.num_rows <= 100 and first.column("_lt").to_pylist() == list(range(first.num_rows))
+    rest = list(out)
+    assert len(read) == 50 and first.num_rows + sum(b.num_rows for b in rest) == 2000
+    assert [b.column("_block")[0].as_py() for b in rest] == list(range(1, len(rest) + 1))
+    big = pa.record_batch({"g": ["k"] * 1000, "_w": pa.array([1] * 1000, pa.int64())})
+    assert max(b.num_rows for b in ranks._count_range(["g"], 100)(iter([big]))) <= 100
